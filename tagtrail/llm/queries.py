@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtrail.llm import packing, tokens
+from tagtrail.llm import packing, shared_spans, tokens
 from tagtrail.plans.registry import Registry
 from tagtrail.sources.tables import table
 
@@ -27,3 +27,15 @@ def _sized(spark: SparkSession, root: str) -> DataFrame:
 def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     """Where every text goes: one row per text, or per piece of a text larger than a container."""
     return packing.pack(_sized(spark, root)).withColumnRenamed("key", "doc_id")
+
+
+@REGISTRY.add("p8_found")
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return shared_spans.shared_spans(table(spark, root, "documents")).select("doc_id").distinct()
+
+
+@REGISTRY.add("p8_coverage")
+def p8_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """How much of each document stands elsewhere too."""
+    docs = table(spark, root, "documents")
+    return shared_spans.coverage(docs, shared_spans.shared_spans(docs))
