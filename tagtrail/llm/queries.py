@@ -5,13 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtrail.llm import packing, shared_spans, tokens
+from tagtrail.functions import reading
+from tagtrail.llm import batch_dedup, packing, shared_spans, tokens
 from tagtrail.plans.registry import Registry
+from tagtrail.plans.work import work_path
 from tagtrail.sources.tables import table
 
 REGISTRY = Registry()
 
 
+@REGISTRY.add("p2_found")
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Index of the history, then all batches in order: rows found to repeat something."""
+    sha = reading.content_sha("content_sha").alias("content_sha")
+    held = table(spark, root, "chunk_index").select("point_id", sha, reading.file_path("file_path").alias("file_path"))
+    held = held.filter("content_sha is not null and file_path is not null")
+    index = batch_dedup.AcceptedIndex(spark, work_path(spark, "accepted"))
+    index.load(
+        held.select("point_id"),
+        held.select("content_sha").unionByName(table(spark, root, "vector_cache").select(sha)),
+        table(spark, root, "chunks").select("content"),
+    )
+    batch = table(spark, root, "chunk_index_batch").select("row_id", "batch_no", "point_id", sha, "content")
+    return index.judge(batch)
+
+
 @REGISTRY.add("p6_ids")
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode(table(spark, root, "documents"), tokens.vocabulary(spark))
