@@ -1,13 +1,14 @@
 """New batches checked for repetition against everything accepted before.
 
 The store holds an index of what was accepted: keys (hashes of identifiers, checksums and word
-sequences), texts as word hashes, and *segments*. A text of n words may be met by a near copy
-with at most ``n // (EVERY - 1)`` edits, so it is cut into one segment more than that, all of the
-same number of words; one of them must stand unedited in every near copy, near its own place. A
-new text therefore probes the segments with its own word runs of those lengths; position and
-length bounds (left and right of a segment at most as many shifts as there are segments on that
-side) select the run and segment pairs worth verifying, and a bounded edit distance decides. Texts
-of the history are never read again as texts.
+sequences), texts as word hashes, and *segments*. A near copy of a text of n words differs from it
+by at most ``n // (EVERY - 1)`` edits. The text is cut into segments of the same number of words;
+each edit spoils one of them, so of any choice of one segment more than that, one stands unedited
+in every near copy, not far from its own place. The store keeps that many, the rarest ones, so
+phrases that a great share of all texts repeat don't make candidates. A new text probes the
+segments with its own word runs; bounds on position and length and a parity sketch of the words
+(each edit changes at most two of its bits) select the pairs worth verifying, and a bounded edit
+distance decides. Texts of the history are never read again as texts.
 
 Rows of a delivery are judged in order, and only what an *accepted* earlier row holds counts. All
 candidate links within the delivery are found first, at the level of distinct word sequences;
@@ -29,7 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagtrail.plans.work import materialise
@@ -53,32 +54,52 @@ def _text_columns(rows: DataFrame) -> DataFrame:
 
 
 def _width(n: Column) -> Column:
-    """Words of each segment of a text of n words."""
-    return (n / (F.floor(n / (EVERY - 1)) + 1)).cast("int")
+    """Words of each segment of a text of n words; always leaves more segments than there may be edits."""
+    return F.when(n < 36, 4).when(n < 54, 5).otherwise(6)
+
+
+def _edits(n: Column) -> Column:
+    """Most edits between a text of n words and a near copy of any length."""
+    return F.floor(n / (EVERY - 1)).cast("int")
+
+
+def _parity(half: int) -> Column:
+    """64 bits of the parity sketch: each word flips one bit of one half."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    bit = lambda c: F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))
+    mine = lambda c: F.shiftrightunsigned(c, 6).bitwiseAND(F.lit(1)) == half
+    return F.aggregate("codes", zero, lambda acc, c: F.when(mine(c), acc.bitwiseXOR(bit(c))).otherwise(acc))
 
 
 def segments(texts: DataFrame) -> DataFrame:
-    """(h, width, number, n, cls, *rest) of texts (cls, codes, *rest): the segments of each text."""
+    """(h, width, number, n, p0, p1, cls, *rest) of texts (cls, codes, *rest): the rarest segments of each text."""
     rest = [c for c in texts.columns if c not in ("cls", "codes")]
-    sized = texts.withColumn("n", F.size("codes")).filter(F.col("n") >= EVERY - 1).withColumn("width", _width(F.col("n")))
-    numbers = F.sequence(F.lit(0), F.floor(F.col("n") / (EVERY - 1)).cast("int"))
+    sized = texts.withColumns({"n": F.size("codes"), "p0": _parity(0), "p1": _parity(1)}).filter(F.col("n") >= EVERY - 1)
+    sized = sized.withColumn("width", _width(F.col("n")))
+    numbers = F.sequence(F.lit(0), (F.col("n") / F.col("width")).cast("int") - 1)
     cut = F.transform(numbers, lambda i: F.xxhash64(F.slice("codes", i * F.col("width") + 1, F.col("width"))))
-    return sized.select(F.posexplode(cut).alias("number", "h"), "width", "n", "cls", *rest)
+    every = sized.select(F.posexplode(cut).alias("number", "h"), "width", "n", "p0", "p1", "cls", *rest)
+    every = materialise(every, "segments")
+    often = every.groupBy("h").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("cls").orderBy("often", "number")
+    return (
+        every.join(often, "h").withColumn("place_", F.row_number().over(rarest))
+        .filter(F.col("place_") <= _edits(F.col("n")) + 1).drop("often", "place_")
+    )
 
 
 def probes(texts: DataFrame) -> DataFrame:
-    """(h, width, place, m, q, *rest): the runs of words of each text that a segment may equal."""
+    """(h, width, place, m, q0, q1, q, *rest): the runs of words of each text that a segment may equal."""
     rest = [c for c in texts.columns if c not in ("cls", "codes")]
     m = F.col("m")
     shortest = F.greatest(m - F.floor(m / EVERY).cast("int"), F.lit(EVERY - 1))
-    longest = m + F.floor(m / (EVERY - 1)).cast("int")
-    widths = F.array_distinct(F.transform(F.sequence(shortest, longest), _width))
+    widths = F.array_distinct(F.transform(F.sequence(shortest, m + _edits(m)), _width))
     by_width = (
-        texts.withColumn("m", F.size("codes")).filter((m >= EVERY - 1) & (shortest <= longest))
-        .select("cls", "codes", "m", *rest, F.explode(widths).alias("width")).filter(F.col("width") <= m)
+        texts.withColumns({"m": F.size("codes"), "q0": _parity(0), "q1": _parity(1)}).filter(m >= EVERY - 1)
+        .select("cls", "codes", "m", "q0", "q1", *rest, F.explode(widths).alias("width")).filter(F.col("width") <= m)
     )
     runs = F.transform(F.sequence(F.lit(0), m - F.col("width")), lambda p: F.xxhash64(F.slice("codes", p + 1, F.col("width"))))
-    return by_width.select(F.posexplode(runs).alias("place", "h"), "width", "m", F.col("cls").alias("q"), *rest)
+    return by_width.select(F.posexplode(runs).alias("place", "h"), "width", "m", "q0", "q1", F.col("cls").alias("q"), *rest)
 
 
 def within(a: list[int], b: list[int], limit: int) -> bool:
@@ -131,12 +152,12 @@ def near_pairs(queries: DataFrame, index: DataFrame, texts: DataFrame) -> DataFr
     are paired. ``texts``: (cls, codes) of what the index holds.
     """
     runs = probes(queries).withColumnRenamed("rank", "q_rank")
-    i, k = F.col("number"), F.floor(F.col("n") / (EVERY - 1)).cast("int")
-    shift = F.col("place") - i * F.col("width")
+    shift = F.col("place") - F.col("number") * F.col("width")
     longer = F.col("m") - F.col("n")
+    limit = F.floor(F.greatest("m", "n") / EVERY)
+    flips = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")))
     fits = (
-        (F.abs(longer) <= F.floor(F.greatest("m", "n") / EVERY))
-        & (F.abs(shift) <= i) & (F.abs(shift - longer) <= k - i)
+        (F.abs(shift) + F.abs(longer - shift) <= limit) & (flips <= 2 * limit)
         & (F.col("held") | (F.col("rank") < F.col("q_rank")))
     )
     candidates = runs.join(index, ["h", "width"]).filter(fits).select("q", "cls", "held").distinct()
@@ -152,9 +173,9 @@ class AcceptedIndex:
         self.spark, self.path = spark, path.rstrip("/")
 
     _KINDS = {
-        "keys": "key string",
+        "keys": "key binary",
         "texts": "cls string, codes array<bigint>",
-        "segments": "h bigint, width int, number int, n int, cls string",
+        "segments": "number int, h bigint, width int, n int, p0 bigint, p1 bigint, cls string",
     }
 
     def _table(self, name: str) -> DataFrame:
@@ -165,22 +186,18 @@ class AcceptedIndex:
 
     def append(self, keys: DataFrame, texts: DataFrame) -> None:
         """Take in keys (key) and texts (cls, codes); repeated ones do no harm."""
-        keys.select("key").write.mode("append").parquet(f"{self.path}/keys")
+        keys.select("key").distinct().write.mode("append").parquet(f"{self.path}/keys")
         new = texts.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("codes").alias("codes"))
         distinct = materialise(new, "accepted-texts")
         distinct.write.mode("append").parquet(f"{self.path}/texts")
-        segments(distinct).write.mode("append").parquet(f"{self.path}/segments")
+        segments(distinct).select("number", "h", "width", "n", "p0", "p1", "cls").write.mode("append").parquet(f"{self.path}/segments")
 
-    def load(self, points: DataFrame, shas: DataFrame, contents: DataFrame) -> None:
-        """The history: point_id, content_sha and content values, each a table of one column."""
-        keys = points.select(point_key(F.col("point_id")).alias("key")).unionByName(
-            shas.select(sha_key(F.col("content_sha")).alias("key"))
-        )
-        texts = materialise(_text_columns(contents.select("content").filter("content is not null")), "history-texts")
-        keys = keys.filter("key is not null").unionByName(
-            texts.filter("cls is not null").select(text_key(F.col("cls")).alias("key"))
-        )
-        self.append(keys, texts)
+    def load(self, keys: DataFrame, contents: DataFrame) -> None:
+        """The history: keys (see :func:`point_key`, :func:`sha_key`) and a table with the column content."""
+        texts = _text_columns(contents.select("content").filter("content is not null"))
+        texts = materialise(texts.filter("cls is not null"), "history-texts")
+        keys = keys.select("key").filter("key is not null")
+        self.append(keys.unionByName(texts.select(text_key(F.col("cls")).alias("key"))), texts)
 
     def judge(self, rows: DataFrame) -> DataFrame:
         """(row_id) of the rows found to repeat something; the others are accepted and appended.
@@ -200,9 +217,10 @@ class AcceptedIndex:
             open_rows.filter("cls is not null").groupBy("cls").agg(F.min("rank").alias("rank"), F.first("codes").alias("codes")),
             "delivery-texts",
         )
-        index = self._table("segments").withColumns(
+        held = self._table("segments").withColumns(
             {"held": F.lit(True), "rank": F.lit(None).cast(classes.schema["rank"].dataType)}
-        ).unionByName(segments(classes).withColumn("held", F.lit(False)))
+        )
+        index = held.unionByName(segments(classes).withColumn("held", F.lit(False)))
         texts = self._table("texts").unionByName(classes.select("cls", "codes"))
         near = materialise(near_pairs(classes, index, texts), "delivery-near")
         beside_held = near.filter("held").select(F.col("q").alias("cls")).distinct()
@@ -224,16 +242,23 @@ class AcceptedIndex:
         return read.select("row_id").join(accepted, "row_id", "left_anti")
 
 
+def _key(kind: str, value: Column) -> Column:
+    return F.unhex(F.md5(F.concat(F.lit(kind), value)))
+
+
 def point_key(point_id: Column) -> Column:
-    return F.concat(F.lit("p:"), point_id)
+    """The key of an identifier, as 16 bytes."""
+    return _key("p:", point_id)
 
 
 def sha_key(sha: Column) -> Column:
-    return F.concat(F.lit("s:"), sha)
+    """The key of a checksum, as 16 bytes."""
+    return _key("s:", sha)
 
 
 def text_key(cls: Column) -> Column:
-    return F.concat(F.lit("w:"), cls)
+    """The key of a word sequence, as 16 bytes."""
+    return _key("w:", cls)
 
 
 def _in_order(rows: DataFrame, keys: DataFrame, heard: DataFrame) -> DataFrame:

@@ -17,16 +17,16 @@ REGISTRY = Registry()
 @REGISTRY.add("p2_found")
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Index of the history, then all batches in order: rows found to repeat something."""
-    sha = reading.content_sha("content_sha").alias("content_sha")
-    held = table(spark, root, "chunk_index").select("point_id", sha, reading.file_path("file_path").alias("file_path"))
-    held = held.filter("content_sha is not null and file_path is not null")
+    sha = reading.content_sha("content_sha")
+    says_something = sha.isNotNull() & (F.btrim("file_path", F.lit(reading.BLANKS)) != "")
+    both = F.array(batch_dedup.point_key(F.col("point_id")), batch_dedup.sha_key(sha))
+    keys = table(spark, root, "chunk_index").filter(says_something).select(F.explode(both).alias("key"))
+    keys = keys.unionByName(table(spark, root, "vector_cache").select(batch_dedup.sha_key(sha).alias("key")))
     index = batch_dedup.AcceptedIndex(spark, work_path(spark, "accepted"))
-    index.load(
-        held.select("point_id"),
-        held.select("content_sha").unionByName(table(spark, root, "vector_cache").select(sha)),
-        table(spark, root, "chunks").select("content"),
+    index.load(keys, table(spark, root, "chunks"))
+    batch = table(spark, root, "chunk_index_batch").select(
+        "row_id", "batch_no", "point_id", sha.alias("content_sha"), "content"
     )
-    batch = table(spark, root, "chunk_index_batch").select("row_id", "batch_no", "point_id", sha, "content")
     return index.judge(batch)
 
 
