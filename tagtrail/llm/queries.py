@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagtrail.functions import reading
-from tagtrail.llm import batch_dedup, packing, shared_spans, tokens
+from tagtrail.llm import batch_dedup, doc_pairs, packing, shared_spans, tokens
 from tagtrail.plans.registry import Registry
 from tagtrail.plans.work import work_path
 from tagtrail.sources.tables import table
@@ -30,6 +30,17 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return index.judge(batch)
 
 
+@REGISTRY.add("p5_found")
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return doc_pairs.pairs(table(spark, root, "chunks"), code=False).select("point_id", "function_name").distinct()
+
+
+@REGISTRY.add("p5_pairs")
+def p5_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Code and description of every documented function."""
+    return doc_pairs.pairs(table(spark, root, "chunks"))
+
+
 @REGISTRY.add("p6_ids")
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode(table(spark, root, "documents"), tokens.vocabulary(spark))
