@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagtrail.functions import reading
-from tagtrail.llm import batch_dedup, doc_pairs, packing, shared_spans, tokens
+from tagtrail.llm import batch_dedup, doc_pairs, neighbours, packing, shared_spans, tokens
 from tagtrail.plans.registry import Registry
 from tagtrail.plans.work import work_path
 from tagtrail.sources.tables import table
@@ -30,6 +30,25 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return index.judge(batch)
 
 
+def _vectors(spark: SparkSession, root: str) -> DataFrame:
+    cache = table(spark, root, "vector_cache")
+    return neighbours.usable(
+        cache.select(reading.content_sha("content_sha").alias("id"), "vector", F.col("cached_at").alias("at"))
+    )
+
+
+@REGISTRY.add("p3_found")
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    links = neighbours.nearest(_vectors(spark, root), least=0.9)
+    return neighbours.mutual(links).withColumnsRenamed({"a": "content_sha_a", "b": "content_sha_b"})
+
+
+@REGISTRY.add("p3_nearest")
+def p3_nearest(spark: SparkSession, root: str) -> DataFrame:
+    """The five most similar of every twentieth vector, among all."""
+    return neighbours.nearest(_vectors(spark, root), one_in=20, trees=16, probes=160)
+
+
 @REGISTRY.add("p5_found")
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return doc_pairs.pairs(table(spark, root, "chunks"), code=False).select("point_id", "function_name").distinct()
