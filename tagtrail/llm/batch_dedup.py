@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagtrail.operators.greedy import first_accepted
 from tagtrail.plans.work import materialise
 
 #: One edit is allowed for so many words of the longer text.
@@ -233,8 +234,8 @@ class AcceptedIndex:
                 "row_id", "rank", text_key(F.col("b")).alias("key")
             )
         )
-        accepted = _in_order(
-            undecided.select("row_id", "rank"), materialise(keys.select("row_id", "rank", "key"), "delivery-keys"),
+        accepted = first_accepted(
+            undecided.select("row_id", "rank"), materialise(keys.select("row_id", "key"), "delivery-keys"),
             materialise(heard, "delivery-heard"),
         )
         taken = open_rows.join(accepted, "row_id", "left_semi")
@@ -259,24 +260,3 @@ def sha_key(sha: Column) -> Column:
 def text_key(cls: Column) -> Column:
     """The key of a word sequence, as 16 bytes."""
     return _key("w:", cls)
-
-
-def _in_order(rows: DataFrame, keys: DataFrame, heard: DataFrame) -> DataFrame:
-    """(row_id) accepted, of rows (row_id, rank): a row is accepted if no accepted row of a lesser rank has a key it hears."""
-    state = materialise(rows.withColumn("verdict", F.lit(0)), "verdicts")  # 1 accepted, 2 found
-    while True:
-        holders = keys.join(state.filter("verdict < 2").select("row_id", "verdict"), "row_id").groupBy("key").agg(
-            F.min(F.when(F.col("verdict") == 1, F.col("rank"))).alias("sure"),
-            F.min(F.when(F.col("verdict") == 0, F.col("rank"))).alias("open"),
-        )
-        waiting = heard.join(state.filter("verdict = 0").select("row_id"), "row_id", "left_semi")
-        verdicts = waiting.join(holders, "key").groupBy("row_id").agg(
-            F.coalesce(F.bool_or(F.col("sure") < F.col("rank")), F.lit(False)).alias("repeats"),
-            F.coalesce(F.bool_or(F.col("open") < F.col("rank")), F.lit(False)).alias("waits"),
-        )
-        decided = F.when(F.col("verdict") > 0, F.col("verdict")).when(F.col("repeats"), 2).when(F.col("waits"), 0).otherwise(1)
-        state = materialise(
-            state.join(verdicts, "row_id", "left").select("row_id", "rank", decided.alias("verdict")), "verdicts"
-        )
-        if state.filter("verdict = 0").isEmpty():
-            return state.filter("verdict = 1").select("row_id")

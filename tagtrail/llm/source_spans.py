@@ -10,13 +10,8 @@ from __future__ import annotations
 
 import re
 
-_PHP = re.compile(
-    r"""(?P<comment>/\*.*?(?:\*/|\Z)|(?://|\#(?!\[))[^\n]*?(?=\?>|\n|\Z))
-      |(?P<here><<<[ \t]*(?P<q>['"]?)(?P<id>[A-Za-z_]\w*)(?P=q)[ \t]*\n.*?(?:^[ \t]*(?P=id)\b|\Z))
-      |(?P<string>'(?:\\.|[^'\\])*(?:'|\Z)|"(?:\\.|[^"\\])*(?:"|\Z)|`(?:\\.|[^`\\])*(?:`|\Z))
-      |(?P<markup>\?>.*?(?:<\?(?:php\b|=)|\Z))""",
-    re.S | re.M | re.X,
-)
+from tagtrail.functions.code_text import blank, closing, masked, php_pieces, without_attributes
+
 _SCRIPT = re.compile(
     r"""(?P<comment>/\*.*?(?:\*/|\Z)|//[^\n]*)
       |(?P<string>'(?:\\.|[^'\\\n])*(?:'|$|\Z)|"(?:\\.|[^"\\\n])*(?:"|$|\Z))
@@ -24,15 +19,10 @@ _SCRIPT = re.compile(
       |(?P<regex>(?:(?<=[(,=:\[!&|?{};\n+])|(?<=return)|(?<=\A))(?P<gap>\s*)/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*)""",
     re.S | re.M | re.X,
 )
-_NOT_LINES = re.compile(r"[^\n]")
 _SECTION = re.compile(r"<script\b[^>]*>(.*?)(?:</script\s*>|\Z)", re.S | re.I)
 _TAGGED = re.compile(r"<(?:script|template|style)\b", re.I)
 
 
-def _blank(text: str) -> str:
-    return _NOT_LINES.sub(" ", text)
-
-
 def _template_end(text: str, at: int) -> int:
     """Behind the template literal that opens before ``at``; what ``${}`` holds may hold others."""
     depth = 0
@@ -55,12 +45,7 @@ def _template_end(text: str, at: int) -> int:
 def _pieces(text: str, language: str):
     """(kind, start, stop) of comments and of stretches that hold no code, in order."""
     if language == "php":
-        at = 0
-        if (opening := re.search(r"<\?(?:php\b|=)", text)) and _looks_like_markup(text[: opening.start()]):
-            yield "markup", 0, opening.end()
-            at = opening.end()
-        for m in _PHP.finditer(text, at):
-            yield m.lastgroup if m.lastgroup in ("comment", "string", "markup") else "here", m.start(), m.end()
+        yield from php_pieces(text)
         return
     at = 0
     while m := _SCRIPT.search(text, at):
@@ -75,19 +60,15 @@ def _pieces(text: str, language: str):
         at = max(at, start + 1)
 
 
-def _looks_like_markup(before: str) -> bool:
-    return bool(before.strip()) and before.lstrip().startswith("<")
-
-
 def prepared(content: str, language: str) -> str:
     """The text whose offsets all spans use: one kind of line end; of a Vue component the scripts alone."""
     text = content.replace("\r\n", "\n").replace("\r", "\n")
     if language == "vue" and _TAGGED.search(text):
         kept, at = [], 0
         for m in _SECTION.finditer(text):
-            kept += [_blank(text[at : m.start(1)]), m.group(1)]
+            kept += [blank(text[at : m.start(1)]), m.group(1)]
             at = m.end(1)
-        text = "".join([*kept, _blank(text[at:])])
+        text = "".join([*kept, blank(text[at:])])
     return text
 
 
@@ -102,32 +83,11 @@ def doc_comments(text: str, language: str) -> list[tuple[int, int]]:
 
 def _code_only(text: str, language: str) -> str:
     """The text with comments and the insides of strings blanked."""
-    out, at = [], 0
-    for kind, a, b in _pieces(text, language):
-        out.append(text[at:a])
-        if kind == "string" and b - a > 1:
-            out += ["'", _blank(text[a + 1 : b - 1]), "'"]
-        else:
-            out.append(_blank(text[a:b]))
-        at = b
-    out.append(text[at:])
-    return "".join(out)
-
-
-def _closing(code: str, at: int) -> int:
-    """The offset of the bracket that closes the one at ``at``; -1 if it is cut off."""
-    depth = 0
-    for m in _BRACKETS.finditer(code, at):
-        depth += 1 if m.group() in "([{" else -1
-        if not depth:
-            return m.start()
-    return -1
+    return masked(text, _pieces(text, language))
 
 
-_BRACKETS = re.compile(r"[()\[\]{}]")
 _WORD = r"[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*"
 _PHP_NAMED = re.compile(rf"(?<![\w$>:\\])function\s*&?\s*({_WORD.replace('$', '')})\s*\(", re.I)
-_ATTRIBUTE = re.compile(r"#\[")
 
 
 def _end_of_body(code: str, at: int) -> int:
@@ -137,21 +97,16 @@ def _end_of_body(code: str, at: int) -> int:
         return len(code)
     if m.group() == ";":
         return m.end()
-    end = _closing(code, m.start())
+    end = closing(code, m.start())
     return len(code) if end < 0 else end + 1
 
 
 def _php_functions(text: str) -> list[tuple[str, int, int, int]]:
-    code = _code_only(text, "php")
-    at = 0
-    while m := _ATTRIBUTE.search(code, at):
-        end = _closing(code, m.start() + 1)
-        at = len(code) if end < 0 else end + 1
-        code = code[: m.start()] + _blank(code[m.start() : at]) + code[at:]
+    code = without_attributes(_code_only(text, "php"))
     found = []
     for m in _PHP_NAMED.finditer(code):
         reach = _back(code, m.start(), _PHP_WORDS)
-        close = _closing(code, m.end() - 1)
+        close = closing(code, m.end() - 1)
         found.append((m.group(1), reach, m.start(), len(code) if close < 0 else _end_of_body(code, close + 1)))
     return found
 
@@ -222,7 +177,7 @@ def _script_functions(text: str) -> list[tuple[str, int, int, int]]:
         reach = _back(code, m.start(), _SCRIPT_WORDS)
         if re.search(r"[:=(,?&|!]\Z|\breturn\Z", code[:reach]):
             continue  # an expression; a member's value is found below by the member's name
-        close = _closing(code, code.index("(", m.end() - 1) if "(" in code[m.end() - 1 :] else m.end() - 1)
+        close = closing(code, code.index("(", m.end() - 1) if "(" in code[m.end() - 1 :] else m.end() - 1)
         found.append((m.group(1), reach, m.start(), len(code) if close < 0 else _end_of_body(code, close + 1)))
     for m in _SCRIPT_MEMBER.finditer(code):
         name = m.group("name")
@@ -262,7 +217,7 @@ def _ends_line(code: str, a: int, b: int) -> bool:
 
 def _method_end(code: str, bracket: int, reach: int, start: int) -> int:
     """The end of a method whose parameters open at ``bracket``; 0 if it is a call."""
-    close = _closing(code, bracket)
+    close = closing(code, bracket)
     modified = bool(code[reach:start].strip())
     if close < 0:
         return len(code) if modified or _holder(code, start) in ("type", "object") else 0
@@ -270,7 +225,7 @@ def _method_end(code: str, bracket: int, reach: int, start: int) -> int:
     if not m:
         return 0
     if m.group("next") == "{":
-        end = _closing(code, m.end() - 1)
+        end = closing(code, m.end() - 1)
         return len(code) if end < 0 else end + 1
     holder = _holder(code, start)
     if holder == "type" or (not holder and (modified or m.group("type"))):
@@ -283,11 +238,11 @@ def _value_end(code: str, m: re.Match) -> int:
     kind = m.group("kind")
     if kind == "function":
         at = code.find("(", m.end())
-        close = _closing(code, at) if at >= 0 else -1
+        close = closing(code, at) if at >= 0 else -1
         return len(code) if close < 0 else _end_of_body(code, close + 1)
     at = m.end()
     if kind == "(":
-        close = _closing(code, m.end() - 1)
+        close = closing(code, m.end() - 1)
         if close < 0:
             return len(code) if m.group("value") else 0
         arrow = _ARROW.match(code, close + 1)
@@ -296,7 +251,7 @@ def _value_end(code: str, m: re.Match) -> int:
         at = arrow.end()
     rest = re.compile(r"\s*").match(code, at).end()
     if rest < len(code) and code[rest] in "{(":
-        end = _closing(code, rest)
+        end = closing(code, rest)
         return len(code) if end < 0 else end + 1
     stop = re.compile(r"[,;\n}]").search(code, rest)
     return stop.start() if stop else len(code)
