@@ -23,8 +23,8 @@ def unknown(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_vectors(chunks: DataFrame, cache: DataFrame, key: str = "content_sha") -> DataFrame:
-    """Chunks with the vector held for their content, or null. The cache has one row per key."""
-    return chunks.join(cache.select(key, "vector"), key, "left")
+    """Chunks with the vector held for their content, or null (in place of one they had). The cache has one row per key."""
+    return chunks.drop("vector").join(cache.select(key, "vector"), key, "left")
 
 
 def pending_tags(tags: DataFrame, done: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def pending_tags(tags: DataFrame, done: DataFrame) -> DataFrame:
 
 def backfill(points: DataFrame, chunk_index: DataFrame, cache: DataFrame) -> DataFrame:
     """(content_sha, vector) the cache lacks, from stored points (point_id, vector): the point with the least id counts."""
-    joined = points.filter(F.col("vector").isNotNull()).join(chunk_index.select("point_id", "content_sha"), "point_id")
+    joined = points.select("point_id", "vector").filter(F.col("vector").isNotNull()).join(chunk_index.select("point_id", "content_sha"), "point_id")
     new = unknown(joined.filter(F.col("content_sha").isNotNull()), cache, ["content_sha"])
     return new.groupBy("content_sha").agg(F.min_by("vector", "point_id").alias("vector"))
 
