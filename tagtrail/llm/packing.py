@@ -1,6 +1,7 @@
 """Filling fixed-capacity containers, mixture-controlled.
 
-Items wait in one queue per source, in key order. Deficit round-robin serves the queues in
+Items wait in one queue per source, in the order of a hash of their keys, so that runs of like items
+don't end up in one window. Deficit round-robin serves the queues in
 rounds: each round adds the source's quantum (its target share of a window) to its deficit, and
 the source sends items from the head while the deficit covers them. What one round serves is a
 *window*; it holds every source in its target proportion up to one item.
@@ -18,7 +19,7 @@ Defined results
     * an item larger than the capacity is cut into full containers of its own and a rest, which
       is packed like an item; no other item is split;
     * an item of size 0 (null or empty text) needs no container: container, piece and start are null;
-    * a null source is a source of its own; ties and repeated sizes keep key order;
+    * a null source is a source of its own; ties and repeated sizes go by key;
     * with ``targets`` (shares by source), a source that ends early leaves its part of later
       windows unused; sources not named get the share of their sizes in what is left of 1;
     * an empty table gives no rows; other columns are dropped.
@@ -59,7 +60,8 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], int]:
 def rounds(items: DataFrame, capacity: int, window: int, targets: dict[str, float] | None = None) -> DataFrame:
     """Items (key, source, size > 0) with ``round``, the deficit round-robin round that sends them."""
     laid = materialise(
-        items.repartitionByRange("source", "key").withColumn("part", F.spark_partition_id()), "packing-queues"
+        items.withColumn("turn", F.xxhash64("key")).repartitionByRange("source", "turn").withColumn("part", F.spark_partition_id()),
+        "packing-queues",
     )
     sums = laid.groupBy("source", "part").agg(F.sum("size").alias("here"))
     by_source = Window.partitionBy("source")
@@ -84,7 +86,7 @@ def rounds(items: DataFrame, capacity: int, window: int, targets: dict[str, floa
     quantum = F.greatest(share * F.col("of_all") / windows, F.lit(1e-9))
     queues = carries.crossJoin(F.broadcast(total)).select("source", "part", "carry", quantum.alias("quantum"))
     queues = queues.withColumnRenamed("source", "q_source").withColumnRenamed("part", "q_part")
-    sent = F.sum("size").over(Window.partitionBy("source", "part").orderBy("key", "piece"))
+    sent = F.sum("size").over(Window.partitionBy("source", "part").orderBy("turn", "key", "piece"))
     summed = laid.withColumn("sent", sent)
     joined = summed.join(queues, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("part") == F.col("q_part")))
     number = F.ceil((F.col("carry") + F.col("sent")) / F.col("quantum") - F.lit(1e-9)).cast("bigint")

@@ -109,11 +109,12 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         i = j
 
 
-def _counter(h: np.ndarray, row: int) -> np.ndarray:
-    return (_mixed(h + np.uint64(row), _MIX[row % 2]) >> np.uint64(64 - (COUNTERS.bit_length() - 1))).astype(np.int64)
+def _counter(h: np.ndarray, row: int, counters: int) -> np.ndarray:
+    """The counter of each hash in a row of the sketch; ``counters`` is a power of two."""
+    return (_mixed(h + np.uint64(row), _MIX[row % 2]) >> np.uint64(64 - (counters.bit_length() - 1))).astype(np.int64)
 
 
-def repeated_counters(texts: DataFrame, span: int, gram: int) -> list[np.ndarray]:
+def repeated_counters(texts: DataFrame, span: int, gram: int, counters: int) -> list[np.ndarray]:
     """For every row of the merged sketch, one bit a counter: whether it counts two records or more."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +129,7 @@ def repeated_counters(texts: DataFrame, span: int, gram: int) -> list[np.ndarray
                 found.append(h[first])  # once a record
         h = np.concatenate(found) if found else np.empty(0, np.uint64)
         for row in range(ROWS):
-            counter, count = np.unique(_counter(h, row), return_counts=True)
+            counter, count = np.unique(_counter(h, row, counters), return_counts=True)
             if not len(counter):
                 continue
             block = counter // BLOCK
@@ -136,7 +137,7 @@ def repeated_counters(texts: DataFrame, span: int, gram: int) -> list[np.ndarray
             once = [x.astype(np.uint16).tobytes() for x in np.split(counter % BLOCK, edges[1:])]
             twice = [x[y].astype(np.uint16).tobytes() for x, y in zip(np.split(counter % BLOCK, edges[1:]), np.split(count > 1, edges[1:]), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block[edges] + row * (COUNTERS // BLOCK), pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())],
+                [pa.array(block[edges] + row * (counters // BLOCK), pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())],
                 names=["block", "once", "twice"],
             )
 
@@ -162,9 +163,9 @@ def repeated_counters(texts: DataFrame, span: int, gram: int) -> list[np.ndarray
 
     partial = texts.mapInArrow(sketch, "block int, once binary, twice binary")
     merged = partial.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
-    rows = [np.zeros(COUNTERS // 8, np.uint8) for _ in range(ROWS)]
-    per_row = COUNTERS // BLOCK
-    for block, bits in merged.collect():  # at most ROWS * COUNTERS bits
+    rows = [np.zeros(counters // 8, np.uint8) for _ in range(ROWS)]
+    per_row = counters // BLOCK
+    for block, bits in merged.collect():  # at most ROWS * counters bits
         at = block % per_row * (BLOCK // 8)
         rows[block // per_row][at : at + BLOCK // 8] = np.frombuffer(bits, np.uint8)
     return rows
@@ -182,7 +183,7 @@ def _surroundings(texts: DataFrame, bits, span: int, gram: int) -> DataFrame:
                 which, at, h = anchors(part, span, gram)
                 keep = np.ones(len(h), bool)
                 for row, counts in enumerate(rows):
-                    c = _counter(h, row)
+                    c = _counter(h, row, 8 * len(counts))
                     keep &= (counts[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
                 seen: dict[tuple, list[int]] = {}
                 for w, p, g in zip(which[keep].tolist(), at[keep].tolist(), h[keep].view(np.int64).tolist(), strict=True):
@@ -296,13 +297,15 @@ def _by_shuffle(classes: DataFrame, span: int) -> DataFrame:
     )
 
 
-def shared_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shared_spans(
+    docs: DataFrame, span: int = SPAN, gram: int = GRAM, key: str = "doc_id", text: str = "text", counters: int = COUNTERS
+) -> DataFrame:
     """(key, start, stop): maximal stretches of a record made of spans that stand in another record too."""
     spark = docs.sparkSession
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(
         F.col("key").isNotNull() & (F.char_length("text") >= span)
     )
-    bits = spark.sparkContext.broadcast(repeated_counters(texts, span, gram))
+    bits = spark.sparkContext.broadcast(repeated_counters(texts, span, gram, counters))
     found = _surroundings(texts, bits, span, gram).withColumns(
         {"c1": F.xxhash64("around", "before"), "c2": F.xxhash64(F.lit(span), "before", "around")}
     )
