@@ -85,8 +85,7 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame | None = None, chunk_
     state = F.struct("n", "d1", "d2")
     new = left.filter(~F.col("as_before")).select("snapshot", "key", state.alias("new"))
     old = left.filter(~F.col("as_after")).select((F.col("snapshot") + 1).alias("snapshot"), "key", state.alias("old"))
-    last, first = F.max("snapshot"), F.min("snapshot")
-    bounds = (snapshots or states).agg(first.alias("first"), last.alias("last"))  # one row
+    first, last = (snapshots or states).agg(F.min("snapshot"), F.max("snapshot")).first()  # two numbers
     change = (
         F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed")
         .when(F.col("old") != F.col("new"), "changed")
@@ -94,7 +93,5 @@ def snapshot_changes(rows: DataFrame, snapshots: DataFrame | None = None, chunk_
     return (
         new.join(old, ["snapshot", "key"], "full_outer")
         .select("snapshot", "key", change.alias("change"))
-        .filter(F.col("change").isNotNull())
-        .join(F.broadcast(bounds), (F.col("snapshot") > F.col("first")) & (F.col("snapshot") <= F.col("last")))
-        .select("snapshot", "key", "change")
+        .filter(F.col("change").isNotNull() & (F.col("snapshot") > F.lit(first)) & (F.col("snapshot") <= F.lit(last)))
     )

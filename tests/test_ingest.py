@@ -129,3 +129,18 @@ def test_tools(store, landed):
         tools.call("nothing")
     with pytest.raises(ValueError):
         tools.call("find_deprecations", limit=0)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tagtrail import cli
+
+    land(tmp_path / "tree")
+    at = ["--store", str(tmp_path / "store"), "--dim", "16"]
+    cli.main([*at, "tags", str(tmp_path / "tree")], spark)
+    cli.main([*at, "ingest", str(tmp_path / "tree"), "--dry-run"], spark)
+    assert Store(spark, str(tmp_path / "store")).read("chunks").count() == 0
+    for command in (["ingest", str(tmp_path / "tree"), "--tags", "v6.7.*"], ["status"], ["warm-cache"], ["query", "class A", "--limit", "1"]):
+        cli.main([*at, *command], spark)
+    said = capsys.readouterr().out
+    assert "v6.6.0.0" in said and "symbol_fqn" in said
+    assert [r["tag"] for r in Store(spark, str(tmp_path / "store")).tag_summary().collect()] == ["v6.7.0.0"]
