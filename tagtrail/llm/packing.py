@@ -70,21 +70,19 @@ def rounds(items: DataFrame, capacity: int, window: int, targets: dict[str, floa
         (F.sum("here").over(by_source.orderBy("part")) - F.col("here")).alias("carry"),
         F.sum("here").over(by_source).alias("of_source"),
     )
-    total = laid.agg(F.sum("size").alias("of_all"))
-    named = targets or {}
-    rest = max(0.0, 1.0 - sum(named.values()))
-    if named:
-        unnamed = laid.filter(~F.coalesce(F.col("source").isin(list(named)), F.lit(False)))
-        total = total.crossJoin(unnamed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("of_unnamed")))  # one row each
-        share = F.lit(rest) * F.col("of_source") / F.greatest(F.col("of_unnamed"), F.lit(1))
-        for source, target in named.items():
+    of_all = laid.agg(F.sum("size")).first()[0] or 1  # a number
+    if targets:
+        rest = max(0.0, 1.0 - sum(targets.values()))
+        unnamed = laid.filter(~F.coalesce(F.col("source").isin(list(targets)), F.lit(False)))
+        share = F.lit(rest / (unnamed.agg(F.sum("size")).first()[0] or 1)) * F.col("of_source")
+        for source, target in targets.items():
             share = F.when(F.col("source") == source, F.lit(float(target))).otherwise(share)
     else:
-        share = F.col("of_source") / F.col("of_all")
+        share = F.col("of_source") / F.lit(of_all)
     # as many whole windows as the corpus fills, so that the last is as full as the others
-    windows = F.greatest(F.lit(1), F.round(F.col("of_all") / (capacity * window)))
-    quantum = F.greatest(share * F.col("of_all") / windows, F.lit(1e-9))
-    queues = carries.crossJoin(F.broadcast(total)).select("source", "part", "carry", quantum.alias("quantum"))
+    windows = max(1, round(of_all / (capacity * window)))
+    quantum = F.greatest(share * F.lit(of_all / windows), F.lit(1e-9))
+    queues = carries.select("source", "part", "carry", quantum.alias("quantum"))
     queues = queues.withColumnRenamed("source", "q_source").withColumnRenamed("part", "q_part")
     sent = F.sum("size").over(Window.partitionBy("source", "part").orderBy("turn", "key", "piece"))
     summed = laid.withColumn("sent", sent)
