@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -239,6 +240,37 @@ def upgrade_notes(content: Column, name: Column) -> Column:
     )
 
 
+_PHP_DECLARATION = (
+    r"(?dm)^(?:/\*\*(?s:.*?)\*/\s*\n)?(?:#\[(?s:.*?)\]\s*\n)*(?:final\s+|abstract\s+|readonly\s+)?"
+    r"(class|interface|trait|enum)\s+([A-Za-z_][A-Za-z0-9_]*)"
+)
+
+
+def php_types(content: Column, name: Column) -> Column:
+    """The older reading of PHP, as a column: one chunk per type, from its documentation up to the next type's.
+
+    A type's deprecation is the last one marked anywhere before its name, so one type's mark shows
+    at the types behind it; :func:`php_symbols` is the reading that is indexed.
+    """
+    space = T.first_found(content, r"(?dm)^namespace\s+([A-Za-z0-9_\\]+)\s*;")
+    matches = T.found(content, _PHP_DECLARATION, 0)
+    at = spans(content, matches)
+    parts = F.arrays_zip(
+        T.found(content, _PHP_DECLARATION, 1).alias("kind"), T.found(content, _PHP_DECLARATION, 2).alias("name"), at.alias("at"),
+        F.concat(F.slice(F.transform(at, lambda x: x["start"]), 2, 1_000_000), F.array(F.char_length(content))).alias("until"),
+    )
+
+    def chunk(p: Column) -> Column:
+        return _chunk(
+            symbol_kind=p["kind"], symbol_name=p["name"], symbol_fqn=F.concat_ws("\\", space, p["name"]),
+            content=T.strip(F.substring(content, p["at"]["start"] + 1, p["until"] - p["at"]["start"])),
+            deprecated_in=T.last_deprecation(F.left(content, p["at"]["stop"])),
+            start_line=line_at(content, p["at"]["start"]), end_line=line_at(content, p["until"] - 1),
+        )
+
+    return F.when(F.size(matches) > 0, F.transform(parts, chunk)).otherwise(F.array(_whole(content, name)))
+
+
 _TYPE = re.compile(r"(?<![\w$>:\\])(class|interface|trait|enum)\s+([A-Za-z_\u0080-￿][\w\u0080-￿]*)", re.I)
 _NAMESPACE = re.compile(r"(?<![\w$>:\\])namespace\s+([\w\\\u0080-￿]+)\s*[;{]", re.I)
 _FUNCTION = re.compile(r"(?<![\w$>:\\])function\s*&?\s*([A-Za-z_\u0080-￿][\w\u0080-￿]*)\s*\(", re.I)
@@ -270,7 +302,8 @@ def _head(code: str, raw: str, at: int) -> int:
 
 def _doc_before(text: str, code: str, comments: list[tuple[int, int]], start: int) -> str:
     """The nearest comment that opens with ``/**`` before ``start``, with nothing but comments between."""
-    for a, b in reversed([c for c in comments if c[1] <= start]):
+    for i in range(bisect_right(comments, start, key=lambda c: c[1]) - 1, -1, -1):
+        a, b = comments[i]
         if code[b:start].strip():
             break
         if text.startswith("/**", a):
@@ -350,8 +383,11 @@ def point_id(tag: Column, path: Column, idx: Column, sha: Column) -> Column:
     return _point_id(tag, path, idx, sha)
 
 
-def chunk_files(files: DataFrame, ids: bool = True) -> DataFrame:
-    """Chunks of all files, with ``content_sha``, ``chunk_idx``, ``version_tuple`` and, if asked, ``point_id``."""
+def chunk_files(files: DataFrame, ids: bool = True, methods: bool = True) -> DataFrame:
+    """Chunks of all files, with ``content_sha``, ``chunk_idx``, ``version_tuple`` and, if asked, ``point_id``.
+
+    Without ``methods`` PHP is cut by type alone, see :func:`php_types`.
+    """
     given = files.select("version", "file_path", "area", "language", T.read_text("content").alias("content")).filter(
         (F.col("area") != "other") & F.col("language").isNotNull() & F.col("content").isNotNull()
     )
@@ -365,18 +401,19 @@ def chunk_files(files: DataFrame, ids: bool = True) -> DataFrame:
         F.when(kind.isin("scss", "css"), scss(content, name)).when(kind == "xml", xml(content, name))
         .when(kind.isin("ts", "js", "typescript", "javascript"), script(content, name)).when(kind == "vue", vue(content, name))
         .when(kind == "twig", twig(content, name)).when(kind == "changelog", changelog(content, name, path))
-        .when(kind == "upgrade", upgrade_notes(content, name))
+        .when(kind == "upgrade", upgrade_notes(content, name)).when(kind == "php", php_types(content, name))
     )
+    scanned = (F.col("language") == "php") & F.lit(methods)
     read_as = F.when(F.col("language") == "css", "scss").otherwise(F.col("language"))
     native = (
-        given.filter(F.col("language") != "php")
+        given.filter(~scanned)
         .select("version", "file_path", "area", read_as.alias("language"), F.posexplode(chunks).alias("chunk_idx", "c"))
         .select("version", "file_path", "area", "language", "chunk_idx", "c.*")
     )
     schema = "version string, file_path string, area string, language string, chunk_idx int, " + ", ".join(
         f"{k} {FIELDS[k]}" for k in _PHP_FIELDS
     )
-    php = given.filter(F.col("language") == "php").mapInPandas(_php, schema)
+    php = given.filter(scanned).mapInPandas(_php, schema)
     out = native.unionByName(php, allowMissingColumns=True).withColumn("content_sha", T.sha("content")).withColumn(
         "version_tuple", versions.version_tuple("version")
     )

@@ -13,16 +13,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_OWN: dict[str, str] = {}  # the folder of a local application for which none is set
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; also set as the session's checkpoint folder."""
     where = spark.conf.get(_KEY, None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError(f"set {_KEY} to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="tagtrail-")
-        spark.conf.set(_KEY, where)
+        where = _OWN.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="tagtrail-")
+        _OWN[context.applicationId] = where
     spark.sparkContext.setCheckpointDir(where)
     return where
 
@@ -43,7 +45,7 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Remove every table written by :func:`materialise` under the session's shared folder."""
-    where = spark.conf.get(_KEY, None)
+    where = spark.conf.get(_KEY, None) or _OWN.get(spark.sparkContext.applicationId)
     if where:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{where.rstrip('/')}/tagtrail-work")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

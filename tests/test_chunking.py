@@ -126,3 +126,13 @@ def test_point_ids_are_stable_and_distinct(spark):
     a, b = (chunks(spark, "src/A.php", "php", PHP) for _ in range(2))
     assert [c["point_id"] for c in a] == [c["point_id"] for c in b] and len({c["point_id"] for c in a}) == len(a)
     assert all(len(c["point_id"]) == 36 for c in a)
+
+
+def test_php_by_type(spark):
+    text = "<?php\nnamespace A\\B;\n/** x\n * @deprecated tag:v6.8.0 y\n */\nfinal class One {\n function f() {}\n}\n\nclass Two {}\n"
+    df = spark.createDataFrame([("6.7.0.0", "src/A.php", "core", "php", text), ("6.7.0.0", "src/B.php", "core", "php", "<?php echo 1;")], SCHEMA)
+    got = [r for r in chunk_files(df, ids=False, methods=False).orderBy("file_path", "chunk_idx").collect()]
+    assert [(r["symbol_kind"], r["symbol_fqn"], r["deprecated_in"], r["start_line"], r["end_line"]) for r in got] == [
+        ("class", "A\\B\\One", "v6.8.0", 3, 9), ("class", "A\\B\\Two", "v6.8.0", 10, 10), ("file", "", None, 1, 1)
+    ]
+    assert got[0]["content"].startswith("/** x") and got[0]["content"].endswith("}")
