@@ -37,7 +37,22 @@ def _vectors(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-@REGISTRY.add("p3_found")
+_SHA = reading.sql_content_sha("content_sha")
+
+
+@REGISTRY.add(
+    "p3_found",
+    f"""
+WITH u AS (
+    SELECT {_SHA} AS sha, CAST(vector AS DOUBLE[]) AS v FROM vector_cache
+    WHERE {_SHA} IS NOT NULL AND len(vector) = 64 AND list_bool_and([x IS NOT NULL AND isfinite(x) for x in vector])
+      AND list_bool_or([x <> 0 for x in vector])
+    QUALIFY row_number() OVER (PARTITION BY {_SHA} ORDER BY cached_at NULLS LAST, vector) = 1),
+s AS (SELECT a.sha AS a, b.sha AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.sha <> b.sha),
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+SELECT least(a, b) AS content_sha_a, greatest(a, b) AS content_sha_b FROM k WHERE c >= 0.9 GROUP BY ALL HAVING count(*) = 2
+""",
+)
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     links = neighbours.nearest(_vectors(spark, root), least=0.9)
     return neighbours.mutual(links).withColumnsRenamed({"a": "content_sha_a", "b": "content_sha_b"})
@@ -77,7 +92,15 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(_sized(spark, root)).withColumnRenamed("key", "doc_id")
 
 
-@REGISTRY.add("p8_found")
+@REGISTRY.add(
+    "p8_found",
+    """
+WITH w AS (SELECT doc_id, hash(substr(text, i, 240)) AS h
+           FROM (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS i FROM documents WHERE length(text) >= 240)),
+r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
+SELECT DISTINCT doc_id FROM w JOIN r USING (h)
+""",
+)
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, root, "documents")).select("doc_id").distinct()
 

@@ -9,6 +9,7 @@ JavaScript; of a Vue component only the script sections count.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from tagtrail.functions.code_text import blank, closing, masked, php_pieces, without_attributes
 
@@ -122,7 +123,8 @@ def _back(code: str, at: int, words: frozenset[str]) -> int:
     """Back from ``at`` over white space and modifiers (and, in scripts, decorators and a star)."""
     script = words is _SCRIPT_WORDS
     while True:
-        at = len(code[:at].rstrip())
+        while at and code[at - 1].isspace():
+            at -= 1
         m = _LAST_WORD.search(code, max(0, at - 200), at)
         if m and m.group().lower() in words:
             at = m.start()
@@ -149,35 +151,54 @@ _ARROW = re.compile(r"\s*(?::[^=;{}]*)?=>")
 _TYPED = re.compile(r"\s*(?::(?P<type>[^;{}=]*(?:\{[^{}]*\}[^;{}=]*)?))?\s*(?P<next>[{;]|\Z)")
 
 
-def _holder(code: str, at: int) -> str:
-    """What the innermost open brace before ``at`` holds: 'type' (class or interface), 'object', 'block', or '' if none is open."""
-    depth = 0
-    for i in range(at - 1, -1, -1):
-        c = code[i]
-        if c in ")]}":
-            depth += 1
-        elif c in "([{":
-            if depth:
-                depth -= 1
-            elif c == "{":
-                head = code[max(0, i - 300) : i].rstrip()
-                head = re.split(r"[;{}]", head)[-1]
-                if re.search(r"(?<![\w$.])(?:class|interface|enum)\b", head) or re.search(r"\btype\s+[\w$]+[^=]*=\s*\Z", head):
-                    return "type"
-                return "object" if re.search(r"[(,=:\[?]\Z|\breturn\Z|\bdefault\Z", head) and not re.search(r"=>\Z|\)\s*:[^:]*\Z", head) else "block"
-            else:
-                return "object" if c == "[" else "call"
-    return ""
+_TYPE_HEAD = re.compile(r"(?<![\w$.])(?:class|interface|enum)\b|\btype\s+[\w$]+[^=]*=\s*\Z")
+_OBJECT_HEAD = re.compile(r"[(,=:\[?]\Z|\b(?:return|default)\Z")
+_FUNCTION_HEAD = re.compile(r"=>\Z|\)\s*:[^:]*\Z")
+
+
+class _Nesting:
+    """Which bracket encloses a place of a text, and what it holds."""
+
+    def __init__(self, code: str):
+        self.code, self.places, self.inside = code, [], []
+        open_at: list[int] = []
+        for m in _ANY_BRACKET.finditer(code):
+            if m.group() in "([{":
+                open_at.append(m.start())
+            elif open_at:
+                open_at.pop()
+            self.places.append(m.start())
+            self.inside.append(open_at[-1] if open_at else -1)
+
+    def holder(self, at: int) -> str:
+        """'type' (a class or interface), 'object', 'block', 'call', or '' at top level."""
+        i = bisect_left(self.places, at) - 1
+        opener = self.inside[i] if i >= 0 else -1
+        if opener < 0:
+            return ""
+        if self.code[opener] != "{":
+            return "object" if self.code[opener] == "[" else "call"
+        head = re.split(r"[;{}]", self.code[max(0, opener - 300) : opener].rstrip())[-1]
+        if _TYPE_HEAD.search(head):
+            return "type"
+        return "object" if _OBJECT_HEAD.search(head) and not _FUNCTION_HEAD.search(head) else "block"
+
+
+_ANY_BRACKET = re.compile(r"[()\[\]{}]")
+_EXPRESSION = re.compile(r"[:=(,?&|!]\Z|\breturn\Z")
+_DECLARED = re.compile(r"(?<![\w$.])(?:const|let|var)\Z")
 
 
 def _script_functions(text: str) -> list[tuple[str, int, int, int]]:
     code = _code_only(text, "ts")
+    nesting = _Nesting(code)
     found = []
     for m in _SCRIPT_NAMED.finditer(code):
         reach = _back(code, m.start(), _SCRIPT_WORDS)
-        if re.search(r"[:=(,?&|!]\Z|\breturn\Z", code[:reach]):
+        if _EXPRESSION.search(code, max(0, reach - 10), reach):
             continue  # an expression; a member's value is found below by the member's name
-        close = closing(code, code.index("(", m.end() - 1) if "(" in code[m.end() - 1 :] else m.end() - 1)
+        bracket = code.find("(", m.end() - 1)
+        close = closing(code, bracket) if bracket >= 0 else -1
         found.append((m.group(1), reach, m.start(), len(code) if close < 0 else _end_of_body(code, close + 1)))
     for m in _SCRIPT_MEMBER.finditer(code):
         name = m.group("name")
@@ -185,49 +206,41 @@ def _script_functions(text: str) -> list[tuple[str, int, int, int]]:
             continue
         start = m.start()
         reach = _back(code, start, _SCRIPT_WORDS)
-        before = code[:reach].rstrip()
-        declared = re.search(r"(?<![\w$.])(?:const|let|var)\Z", before)
+        declared = _DECLARED.search(code, max(0, reach - 10), reach)
         if declared:
             start = declared.start()
             reach = _back(code, start, _SCRIPT_WORDS)
-            before = code[:reach].rstrip()
-        if before and before[-1] not in "{};,":
-            if not (before[-1] == ")" or _ends_line(code, reach, start)):
-                continue
-            if not m.group("kind") and not _ends_line(code, reach, start):
+        if reach and code[reach - 1] not in "{};,":  # then a member begins only on a line of its own
+            if "\n" not in code[reach:start] and not (code[reach - 1] == ")" and m.group("kind")):
                 continue
         if m.group("call") is not None:
             if declared:
                 continue
-            end = _method_end(code, m.end() - 1, reach, start)
+            end = _method_end(code, m.end() - 1, reach, start, nesting)
         else:
-            if code[m.end("name") :].lstrip()[:1] == "=" and not declared and _holder(code, start) not in ("type", ""):
-                continue  # an assignment in a block
-            if code[m.end("name") :].lstrip()[:1] == ":" and not declared and _holder(code, start) == "block":
-                continue
+            assigned = "=" in code[m.end("name") : m.start("kind")]
+            holder = nesting.holder(start)
+            if not declared and (holder in ("block", "call") or assigned and holder == "object"):
+                continue  # an assignment or a label
             end = _value_end(code, m)
         if end:
             found.append((name, reach, start, end))
     return found
 
 
-def _ends_line(code: str, a: int, b: int) -> bool:
-    return "\n" in code[a:b]
-
-
-def _method_end(code: str, bracket: int, reach: int, start: int) -> int:
+def _method_end(code: str, bracket: int, reach: int, start: int, nesting: _Nesting) -> int:
     """The end of a method whose parameters open at ``bracket``; 0 if it is a call."""
     close = closing(code, bracket)
     modified = bool(code[reach:start].strip())
     if close < 0:
-        return len(code) if modified or _holder(code, start) in ("type", "object") else 0
+        return len(code) if modified or nesting.holder(start) in ("type", "object") else 0
     m = _TYPED.match(code, close + 1)
     if not m:
         return 0
     if m.group("next") == "{":
         end = closing(code, m.end() - 1)
         return len(code) if end < 0 else end + 1
-    holder = _holder(code, start)
+    holder = nesting.holder(start)
     if holder == "type" or (not holder and (modified or m.group("type"))):
         return m.end()
     return 0
