@@ -228,7 +228,7 @@ def nearest(
     spark = vectors.sparkSession
     copies = Window.partitionBy("vector").orderBy("id")
     ranked = vectors.select("id", "vector", F.row_number().over(copies).alias("copy"))
-    bounded = ranked.filter(F.col("copy") <= k + 1)  # partial limits before the shuffle
+    bounded = ranked.filter(F.col("copy") <= k + 1)  # every task keeps its first k + 1 before the shuffle
     ordered = bounded.repartitionByRange("id").sortWithinPartitions("id").select(
         F.monotonically_increasing_id().alias("n"), "id", "vector", "copy"
     )
@@ -278,9 +278,11 @@ def nearest(
     )
     if one_in > 1:
         return named
-    first = members.filter(F.col("copy") <= k).select("vector", F.col("name").alias("other"), F.col("copy").alias("rank"))
-    rest = ranked.filter(F.col("copy") > k + 1).select("id", "vector").join(first, "vector")
-    return named.unionByName(rest.select("id", "other", "rank", F.lit(1.0).alias("similarity")))
+    # copies beyond the first k + 1: their class has k + 1 members here, all of lesser id
+    classes = members.groupBy("vector").agg(F.array_sort(F.collect_list("name")).alias("first")).filter(F.size("first") == k + 1)
+    beyond = vectors.select("id", "vector").join(classes, "vector").filter(F.col("id") > F.element_at("first", k + 1))
+    rest = beyond.select("id", F.posexplode(F.slice("first", 1, k)).alias("at", "other"))
+    return named.unionByName(rest.select("id", "other", (F.col("at") + 1).alias("rank"), F.lit(1.0).alias("similarity")))
 
 
 def mutual(links: DataFrame) -> DataFrame:
