@@ -10,11 +10,12 @@ segments with its own word runs; bounds on position and length and a parity sket
 (each edit changes at most two of its bits) select the pairs worth verifying, and a bounded edit
 distance decides. Texts of the history are never read again as texts.
 
-Rows of a delivery are judged in order, and only what an *accepted* earlier row holds counts. All
-candidate links within the delivery are found first, at the level of distinct word sequences;
-then rounds decide every row that has no undecided earlier link, until none is left. The number of
-rounds is the longest chain of links, not the number of rows or batches. Accepted rows are
-appended to the store.
+Rows of a delivery are judged in order, and only what an *accepted* earlier row holds counts. Rows
+that repeat nothing of the store are taken in a few parts of growing size, in order; what a part
+accepts is held for the next. Within a part, links are found at the level of distinct word
+sequences; then rounds decide every row that has no undecided earlier link, until none is left.
+The number of rounds is the longest chain of links, not the number of rows or batches. Accepted
+rows are appended to the store.
 
 Defined results
     * a missing content_sha follows from the content; a row without content is judged by its
@@ -38,6 +39,8 @@ from tagtrail.plans.work import materialise
 
 #: One edit is allowed for so many words of the longer text.
 EVERY = 10
+#: Rows of a delivery's first part, and how much larger each next part is.
+FIRST, GROWTH = 2048, 16
 
 
 def words(content: Column | str) -> Column:
@@ -209,38 +212,84 @@ class AcceptedIndex:
         read = _text_columns(rows.select(
             "row_id", F.struct("batch_no", "row_id").alias("rank"), "point_id", sha.alias("content_sha"), "content"
         ))
-        read = materialise(read, "delivery")
-        own = F.array_compact(F.array(point_key(F.col("point_id")), sha_key(F.col("content_sha")), text_key(F.col("cls"))))
-        own_keys = read.select("row_id", "rank", F.explode(own).alias("key"))
-        repeated = own_keys.join(self._table("keys"), "key", "left_semi").select("row_id").distinct()
-        open_rows = materialise(read.join(repeated, "row_id", "left_anti"), "delivery-open")
-        classes = materialise(
-            open_rows.filter("cls is not null").groupBy("cls").agg(F.min("rank").alias("rank"), F.first("codes").alias("codes")),
-            "delivery-texts",
-        )
-        held = self._table("segments").withColumns(
-            {"held": F.lit(True), "rank": F.lit(None).cast(classes.schema["rank"].dataType)}
-        )
-        index = held.unionByName(segments(classes).withColumn("held", F.lit(False)))
-        texts = self._table("texts").unionByName(classes.select("cls", "codes"))
-        near = materialise(near_pairs(classes, index, texts), "delivery-near")
-        beside_held = near.filter("held").select(F.col("q").alias("cls")).distinct()
-        undecided = open_rows.join(beside_held, "cls", "left_anti")
-        links = near.filter("not held").select(F.col("q").alias("a"), F.col("cls").alias("b"))
-        links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        keys = undecided.select("row_id", "rank", "cls", F.explode(own).alias("key"))
-        heard = keys.select("row_id", "rank", "key").unionByName(
-            undecided.select("row_id", "rank", "cls").join(links.withColumnRenamed("a", "cls"), "cls").select(
-                "row_id", "rank", text_key(F.col("b")).alias("key")
-            )
-        )
-        accepted = first_accepted(
-            undecided.select("row_id", "rank"), materialise(keys.select("row_id", "key"), "delivery-keys"),
-            materialise(heard, "delivery-heard"),
-        )
-        taken = open_rows.join(accepted, "row_id", "left_semi")
-        self.append(taken.select(F.explode(own).alias("key")), taken.select("cls", "codes"))
-        return read.select("row_id").join(accepted, "row_id", "left_anti")
+        keys = F.array_compact(F.array(point_key(F.col("point_id")), sha_key(F.col("content_sha")), text_key(F.col("cls"))))
+        read = materialise(read.withColumn("keys", keys).drop("point_id", "content_sha"), "delivery")
+        repeated = read.select("row_id", F.explode("keys").alias("key")).join(self._table("keys"), "key", "left_semi")
+        unheld = materialise(read.join(repeated.select("row_id").distinct(), "row_id", "left_anti"), "delivery-unheld")
+        classes = _classes(unheld)
+        held = self._table("segments").withColumns({"held": F.lit(True), "rank": F.lit(None).cast(unheld.schema["rank"].dataType)})
+        beside = near_pairs(classes, held, self._table("texts")).select(F.col("q").alias("cls")).distinct()
+        new = materialise(unheld.join(beside, "cls", "left_anti"), "delivery-new")
+        taken: list[DataFrame] = []
+        for part in _parts(new):
+            taken.append(materialise(part.join(_accepted_of(part, taken), "row_id", "left_semi"), "delivery-accepted"))
+        accepted = _union(taken) if taken else new
+        self.append(accepted.select(F.explode("keys").alias("key")), accepted.select("cls", "codes"))
+        return read.select("row_id").join(accepted.select("row_id"), "row_id", "left_anti")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(cls, rank, codes): the distinct word sequences of rows, each with its first rank."""
+    found = rows.filter("cls is not null").groupBy("cls").agg(F.min("rank").alias("rank"), F.first("codes").alias("codes"))
+    return materialise(found, "delivery-texts")
+
+
+def _parts(rows: DataFrame) -> list[DataFrame]:
+    """Rows in parts of growing size, in order of rank: about ``FIRST`` rows, then ``GROWTH`` times as many, and so on.
+
+    What a part accepts is held for the next, so of a great many near copies only those of the part
+    in which the first of them stands are linked with each other. Bounds come from a bounded sample.
+    """
+    count = rows.count()
+    if not count:
+        return []
+    seen = rows.sample(min(1.0, 8 * FIRST / count), 5).select("rank.*").collect()  # about 8 * FIRST numbers
+    seen.sort(key=lambda r: [(x is not None, x) for x in r])
+    kinds = [f.dataType for f in rows.schema["rank"].dataType.fields]
+    bounds, upto, size = [], FIRST, FIRST
+    while upto < count and seen:
+        at = seen[min(len(seen) - 1, int(upto / count * len(seen)))]
+        bounds.append(F.struct(*[F.lit(x).cast(k).alias(n) for x, k, n in zip(at, kinds, ("batch_no", "row_id"), strict=True)]))
+        size *= GROWTH
+        upto += size
+    edges = [None, *bounds, None]
+    parts = []
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = rows if low is None else rows.filter(F.col("rank") > low)
+        parts.append(part if high is None else part.filter(F.col("rank") <= high))
+    return parts
+
+
+def _accepted_of(part: DataFrame, taken: list[DataFrame]) -> DataFrame:
+    """(row_id) of the rows of a part that repeat nothing of ``taken`` and no accepted earlier row of the part."""
+    if taken:
+        before = _union(taken)
+        known = before.select(F.explode("keys").alias("key")).distinct()
+        repeated = part.select("row_id", F.explode("keys").alias("key")).join(known, "key", "left_semi").select("row_id").distinct()
+        part = materialise(part.join(repeated, "row_id", "left_anti"), "part")
+    classes = _classes(part)
+    index, texts = segments(classes).withColumn("held", F.lit(False)), classes.select("cls", "codes")
+    if taken:
+        accepted = _classes(before)
+        index = index.unionByName(segments(accepted).withColumn("held", F.lit(True)))
+        texts = texts.unionByName(accepted.select("cls", "codes"))
+    near = materialise(near_pairs(classes, index, texts), "part-near")
+    undecided = part.join(near.filter("held").select(F.col("q").alias("cls")).distinct(), "cls", "left_anti")
+    links = near.filter("not held").select("q", F.col("cls").alias("other"))
+    links = links.unionByName(links.select(F.col("other").alias("q"), F.col("q").alias("other")))
+    own = undecided.select("row_id", "rank", "cls", F.explode("keys").alias("key"))
+    linked = undecided.select("row_id", "rank", "cls").join(links.withColumnRenamed("q", "cls"), "cls")
+    heard = own.drop("cls").unionByName(linked.select("row_id", "rank", text_key(F.col("other")).alias("key")))
+    return first_accepted(
+        undecided.select("row_id", "rank"), materialise(own.select("row_id", "key"), "part-keys"), materialise(heard, "part-heard")
+    )
 
 
 def _key(kind: str, value: Column) -> Column:

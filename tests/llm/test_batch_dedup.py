@@ -113,3 +113,16 @@ def test_a_third_repeats_one_key_and_a_phrase_stands_in_all(spark):
     held = [(f"p{i}", f"s{i}", text()) for i in range(150)]
     batch = [(i, 1, "hot" if i % 3 == 0 else f"b{i}", None, text()) for i in range(300)]
     assert judged(spark, loaded(spark, held), batch) == {i for i in range(3, 300, 3)}
+
+
+def test_parts_of_a_delivery_change_nothing(spark, monkeypatch):
+    from tagtrail.llm import batch_dedup
+
+    monkeypatch.setattr(batch_dedup, "FIRST", 9)
+    monkeypatch.setattr(batch_dedup, "GROWTH", 2)
+    for seed in (5, 6):
+        held, batch = case(seed, 90)
+        assert judged(spark, loaded(spark, held), batch) == loop(held, batch)
+    held, batch = case(7, 40)
+    batch = [(r[0], None if r[1] == 0 else r[1], *r[2:]) for r in batch]  # a missing batch number comes first
+    assert judged(spark, loaded(spark, held), batch) == loop(held, [(r[0], -1 if r[1] is None else r[1], *r[2:]) for r in batch])
