@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tagtrail.plans.work import materialise
 
 #: Trees, leaves seen by a query, vectors of a leaf, most levels, sample of the fit, most vectors of a block.
-TREES, PROBES, LEAF, DEPTH, SAMPLE, BLOCK = 12, 14, 256, 14, 65_536, 8192
+TREES, PROBES, LEAF, DEPTH, SAMPLE, BLOCK = 12, 18, 256, 14, 65_536, 8192
 #: What half precision can add to or take from a similarity; spare candidates of each leaf.
 ROUNDING, SPARE = 2e-3, 3
 
