@@ -9,7 +9,7 @@ from tagtrail.functions import reading
 from tagtrail.operators.history import EntityHistory
 from tagtrail.operators.snapshot_diff import snapshot_changes
 from tagtrail.plans.registry import Registry
-from tagtrail.plans.work import work_path
+from tagtrail.plans.work import materialise, work_path
 from tagtrail.sources.tables import snapshots, sql_snapshots, table
 
 REGISTRY = Registry()
@@ -33,9 +33,11 @@ def symbol_history(spark: SparkSession, root: str) -> DataFrame:
         .withColumnRenamed("snapshot", "period")
     )
     late = F.coalesce(F.col("recorded_at") >= F.col("closes"), F.lit(False))
-    store = EntityHistory(spark, work_path(spark, "symbol-history"), ["deprecated_in", "first_version_seen"])
-    store.deliver(changes.filter(~late))
-    store.deliver(changes.filter(late))
+    attributes = ["deprecated_in", "first_version_seen"]
+    read = materialise(changes.select("entity", "period", "recorded_at", *attributes, late.alias("late")), "symbol-deliveries")
+    store = EntityHistory(spark, work_path(spark, "symbol-history"), attributes)
+    store.deliver(read.filter(~F.col("late")))
+    store.deliver(read.filter("late"))
     return store.chains()
 
 
