@@ -8,16 +8,18 @@ indexed. A query walks all trees at once with one shared priority queue: the bra
 a node waits with its distance from the hyperplane, and the least one over all trees goes next,
 until ``PROBES`` leaves are seen.
 
-Vectors and queries meet by a shuffle on the leaf, in half precision; leaves that the sample
-expects to be large are split into blocks which every query of the leaf visits, so no task gets an
-unbounded group. Each leaf gives a query its best candidates; those are merged, joined with the
-full vectors, and reranked exactly in double precision.
+Vectors and queries meet by a shuffle on the leaf, with their values as given; leaves that the
+sample expects to be large are split into blocks which every query of the leaf visits, so no task
+gets an unbounded group. Each block ranks all of its vectors for a query in double precision, ties
+by id, and gives the first k; the first k of those over all leaves are the result. So what is lost
+is only what shares no leaf with the query.
 
 Defined results
     * usable vectors have the expected number of finite values, not all zero; of rows with the same
       id the earliest counts (null time is the latest; a tie goes to the lesser vector);
-    * equal similarities go by id, the lesser first. Of exactly equal vectors only the first
-      ``k + 1`` by id can be among anyone's k nearest; those beyond get the first k of their copies;
+    * equal similarities go by id, the lesser first. Copies are vectors of exactly one direction,
+      whatever their lengths. Of copies only the first ``k + 1`` by id can be among anyone's k
+      nearest; those beyond get the first k of their copies;
     * empty tables and single vectors give no rows; other columns, of whatever name, are dropped.
 """
 
@@ -35,8 +37,8 @@ from tagtrail.plans.work import materialise
 
 #: Trees, leaves seen by a query, vectors of a leaf, most levels, sample of the fit, most vectors of a block.
 TREES, PROBES, LEAF, DEPTH, SAMPLE, BLOCK = 12, 18, 256, 14, 65_536, 8192
-#: What half precision can add to or take from a similarity; spare candidates of each leaf.
-ROUNDING, SPARE = 2e-3, 3
+#: More than the order of summation can change in a similarity; most similarities, and most pairs, computed at once.
+SLACK, CELLS, PAIRS = 1e-12, 1 << 22, 1 << 16
 
 
 def usable(rows: DataFrame, dim: int = 64) -> DataFrame:
@@ -113,13 +115,32 @@ def fit(sample: np.ndarray, count: int, trees: int, leaf: int, most: int = DEPTH
     return Forest(normal, place, expected * (count / max(1, len(sample))), depth)
 
 
-def _units(column: pa.Array, kind: type, dim: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), dim).astype(np.float64)
+def direction(vector: Column | str) -> Column:
+    """A 128-bit key that vectors of single precision share if one is exactly a positive multiple of the other.
+
+    Quotients of two single-precision numbers that differ do so by more than double precision rounds.
+    """
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  # what is bound by a lambda is computed once
+    largest = F.array_max(F.transform(vector, lambda x: F.abs(x).cast("double")))
+    scaled = once(largest, lambda most: F.transform(vector, lambda x: x.cast("double") / most + F.lit(0.0)))
+    return once(scaled, lambda v: F.struct(F.xxhash64(v).alias("a"), F.xxhash64(F.lit(1), v).alias("b")))
+
+
+def _units(raw: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision, the same to the last bit for copies."""
+    raw = raw.astype(np.float64)
+    raw /= np.abs(raw).max(axis=1, keepdims=True)
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
+def _similarity(q: np.ndarray, m: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Of stated pairs, summed in one order wherever they meet."""
+    parts = [(q[row[i : i + PAIRS]] * m[col[i : i + PAIRS]]).sum(axis=1) for i in range(0, len(row), PAIRS)]
+    return np.minimum(1.0, np.concatenate([np.empty(0), *parts]))
+
+
 def _routed(members: DataFrame, forest, probes: int, dim: int, queries: Column) -> DataFrame:
-    """(leaf, block, role, id, half) rows: 0 a vector that is also a query, 1 a vector, 2 a query."""
+    """(leaf, block, role, id, raw) rows: 0 a vector that is also a query, 1 a vector, 2 a query."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: Forest = forest.value
@@ -128,9 +149,9 @@ def _routed(members: DataFrame, forest, probes: int, dim: int, queries: Column)
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 ids, asks = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-                unit = _units(batch.column(1), np.float32, dim)
-                half = pa.array([x.tobytes() for x in unit.astype(np.float16)], pa.binary())
-                seen = f.walk(unit.astype(np.float32), probes)
+                values = np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, dim)
+                raw = pa.array([x.tobytes() for x in values], pa.binary())
+                seen = f.walk(_units(values).astype(np.float32), probes)
                 row, i = np.indices(seen.shape).reshape(2, -1)
                 leaf, own = seen.ravel(), i < len(f.normal)
                 keep = own | asks[row]
@@ -150,37 +171,33 @@ def _routed(members: DataFrame, forest, probes: int, dim: int, queries: Column)
                 out.append((spread, number, np.full(len(spread), 2)))
                 p, b, r = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf[p]), pa.array(b.astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(ids[row[p]]), half.take(pa.array(row[p]))],
-                    names=["leaf", "block", "role", "id", "half"],
+                    [pa.array(leaf[p]), pa.array(b.astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(ids[row[p]]), raw.take(pa.array(row[p]))],
+                    names=["leaf", "block", "role", "id", "raw"],
                 )
 
-    return members.select("id", "raw", queries.alias("asks")).mapInArrow(route, "leaf bigint, block int, role int, id bigint, half binary")
+    return members.select("id", "vector", queries.alias("asks")).mapInArrow(route, "leaf bigint, block int, role int, id bigint, raw binary")
 
 
 def _candidates(routed: DataFrame, k: int, least: float | None, dim: int) -> DataFrame:
-    """(q, c, near): the best of every leaf for its queries."""
-    take = k + SPARE
+    """(q, c, similarity): the k nearest of every block for its queries, exactly, ties by id."""
 
     def best(q_id: np.ndarray, q: np.ndarray, m_id: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
         near = q @ m.T
         near[q_id[:, None] == m_id[None, :]] = -2
+        floor = np.full(len(q), -1.5 if least is None else least - SLACK)
+        many = np.flatnonzero((near >= floor[:, None]).sum(axis=1) > k)
+        if len(many):
+            floor[many] = np.maximum(floor[many], np.partition(near[many], -k, axis=1)[:, -k] - SLACK)
+        row, col = np.nonzero(near >= floor[:, None])
+        value = _similarity(q, m, row, col)
         if least is not None:
-            row, col = np.nonzero(near >= least - ROUNDING)
-            value = near[row, col]
-            order = np.lexsort((-value, row))
-            row, col, value = row[order], col[order], value[order]
-            first = np.searchsorted(row, row)
-            keep = np.arange(len(row)) - first < take
-            row, col, value = row[keep], col[keep], value[keep]
-        else:
-            n = min(take, near.shape[1])
-            col = np.argpartition(-near, n - 1, axis=1)[:, :n].ravel()
-            row = np.repeat(np.arange(len(q)), n)
-            value = near[row, col]
-            keep = value > -1.5
-            row, col, value = row[keep], col[keep], value[keep]
+            high = value >= least
+            row, col, value = row[high], col[high], value[high]
+        order = np.lexsort((m_id[col], -value, row))
+        row, col, value = row[order], col[order], value[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
         return pa.RecordBatch.from_arrays(
-            [pa.array(q_id[row]), pa.array(m_id[col]), pa.array(value.astype(np.float32))], names=["q", "c", "near"]
+            [pa.array(q_id[row[keep]]), pa.array(m_id[col[keep]]), pa.array(value[keep])], names=["q", "c", "similarity"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +206,7 @@ def _candidates(routed: DataFrame, k: int, least: float | None, dim: int) -> Dat
             if not batch.num_rows:
                 continue
             leaf, block, role, ids = (batch.column(i).to_numpy() for i in range(4))
-            half = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+            unit = _units(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float32).reshape(-1, dim))
             edges = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(block) != 0)) + 1
             for a, b in zip([0, *edges], [*edges, len(leaf)], strict=True):
                 if key != (leaf[a], block[a]):
@@ -198,22 +215,24 @@ def _candidates(routed: DataFrame, k: int, least: float | None, dim: int) -> Dat
                 held = a + int(np.searchsorted(role[a:b], 2))
                 if held > a:
                     m_id.append((ids[a:held], role[a:held] == 0))
-                    m.append(half[a:held])
+                    m.append(unit[a:held])
                 if held < b and m:
                     all_id, all_m = np.concatenate([x for x, _ in m_id]), np.concatenate(m)
-                    for i in range(held, b, 2048):
-                        yield best(ids[i : min(b, i + 2048)], half[i : min(b, i + 2048)], all_id, all_m)
+                    step = max(1, CELLS // len(all_m))
+                    for i in range(held, b, step):
+                        yield best(ids[i : min(b, i + step)], unit[i : min(b, i + step)], all_id, all_m)
         yield from own_queries(m_id, m)
 
     def own_queries(m_id: list, m: list) -> Iterator[pa.RecordBatch]:
         if m:
             all_id, asks, all_m = np.concatenate([x for x, _ in m_id]), np.concatenate([x for _, x in m_id]), np.concatenate(m)
             q_id, q = all_id[asks], all_m[asks]
-            for i in range(0, len(q), 2048):
-                yield best(q_id[i : i + 2048], q[i : i + 2048], all_id, all_m)
+            step = max(1, CELLS // len(all_m))
+            for i in range(0, len(q), step):
+                yield best(q_id[i : i + step], q[i : i + step], all_id, all_m)
 
     met = routed.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "role")
-    return met.mapInArrow(run, "q bigint, c bigint, near float")
+    return met.mapInArrow(run, "q bigint, c bigint, similarity double")
 
 
 def nearest(
@@ -226,7 +245,7 @@ def nearest(
     whose number in id order it divides are asked for; all are searched.
     """
     spark = vectors.sparkSession
-    copies = Window.partitionBy("vector").orderBy("id")
+    copies = Window.partitionBy(direction("vector")).orderBy("id")
     ranked = vectors.select("id", "vector", F.row_number().over(copies).alias("copy"))
     bounded = ranked.filter(F.col("copy") <= k + 1)  # every task keeps its first k + 1 before the shuffle
     ordered = bounded.repartitionByRange("id").sortWithinPartitions("id").select(
@@ -242,34 +261,11 @@ def nearest(
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     forest = spark.sparkContext.broadcast(fit(sample.astype(np.float32), count, trees, leaf))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([v.tobytes() for v in values], pa.binary())], names=["id", "raw"]
-            )
-
-    packed = members.select("id", "vector").mapInArrow(pack, "id bigint, raw binary")
     asked = F.lit(True) if one_in == 1 else F.col("id") % one_in == 0
-    found = _candidates(_routed(packed, forest, probes, dim, asked), k, least, dim)
-    merged = found.groupBy("q", "c").agg(F.max("near").alias("near"))
-    by_query = Window.partitionBy("q")
-    short = merged.withColumn("r", F.row_number().over(by_query.orderBy(F.desc("near"), "c"))).filter(F.col("r") <= k + SPARE)
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (_units(batch.column(i), np.float32, dim) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.minimum(1.0, (a * b).sum(axis=1)))], names=["q", "c", "similarity"]
-            )
-
-    full = short.select("q", "c").join(packed.withColumnsRenamed({"id": "q", "raw": "q_raw"}), "q").join(
-        packed.withColumnsRenamed({"id": "c", "raw": "c_raw"}), "c"
-    )
-    exact = full.select("q", "c", "q_raw", "c_raw").mapInArrow(rerank, "q bigint, c bigint, similarity double")
-    if least is not None:
-        exact = exact.filter(F.col("similarity") >= least)
-    top = exact.withColumn("rank", F.row_number().over(by_query.orderBy(F.desc("similarity"), "c"))).filter(F.col("rank") <= k)
+    found = _candidates(_routed(members, forest, probes, dim, asked), k, least, dim)
+    merged = found.groupBy("q", "c").agg(F.max("similarity").alias("similarity"))
+    by_query = Window.partitionBy("q").orderBy(F.desc("similarity"), "c")
+    top = merged.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
     names = members.select("id", "name")
     named = (
         top.join(names.withColumnsRenamed({"id": "q", "name": "of"}), "q")
@@ -279,8 +275,8 @@ def nearest(
     if one_in > 1:
         return named
     # copies beyond the first k + 1: their class has k + 1 members here, all of lesser id
-    classes = members.groupBy("vector").agg(F.array_sort(F.collect_list("name")).alias("first")).filter(F.size("first") == k + 1)
-    beyond = vectors.select("id", "vector").join(classes, "vector").filter(F.col("id") > F.element_at("first", k + 1))
+    classes = members.groupBy(direction("vector").alias("copies")).agg(F.array_sort(F.collect_list("name")).alias("first")).filter(F.size("first") == k + 1)
+    beyond = vectors.select("id", direction("vector").alias("copies")).join(classes, "copies").filter(F.col("id") > F.element_at("first", k + 1))
     rest = beyond.select("id", F.posexplode(F.slice("first", 1, k)).alias("at", "other"))
     return named.unionByName(rest.select("id", "other", (F.col("at") + 1).alias("rank"), F.lit(1.0).alias("similarity")))
 

@@ -67,6 +67,27 @@ def test_copies_and_ties(spark):
     assert all(len(got[c]) == 5 for c, _ in copies)
 
 
+def test_a_crowd_of_near_copies_is_ranked_exactly(spark):
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=64)
+    rows = [(f"n{i:03}", (one + 0.01 * rng.normal(size=64)).astype(np.float32).tolist()) for i in range(240)]
+    want = exact(rows, 5)
+    for least in (None, 0.9):
+        got = {(r["id"], r["rank"]): r["other"] for r in nb.nearest(frame(spark, rows), 5, least=least, leaf=1000).collect()}
+        assert got == {(a, i + 1): o for a, best in want.items() for i, (o, _) in enumerate(best)}
+
+
+def test_multiples_of_a_vector_are_copies(spark):
+    rng = np.random.default_rng(9)
+    one = rng.integers(-99, 99, size=8)
+    multiples = [(f"m{i:03}", (one * float(f)).tolist()) for i, f in enumerate(rng.integers(1, 9999, size=60))]
+    rows = [*multiples, *clustered(80, 8, 10), ("opposite", (one * -1.0).tolist())]
+    got = {}
+    for r in nb.nearest(frame(spark, rows), 5, dim=8, leaf=1000).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["other"])
+    assert got == {a: [o for o, _ in best] for a, best in exact(rows, 5).items()}
+
+
 def test_stated_queries(spark):
     rows = clustered(400, 8, 5)
     links = nb.nearest(frame(spark, rows), 5, one_in=20, dim=8, leaf=500).collect()
