@@ -139,7 +139,7 @@ def _similarity(q: np.ndarray, m: np.ndarray, row: np.ndarray, col: np.ndarray)
     return np.minimum(1.0, np.concatenate([np.empty(0), *parts]))
 
 
-def _routed(members: DataFrame, forest, probes: int, dim: int, queries: Column) -> DataFrame:
+def _routed(members: DataFrame, forest, probes: int, dim: int) -> DataFrame:
     """(leaf, block, role, id, raw) rows: 0 a vector that is also a query, 1 a vector, 2 a query."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +175,7 @@ def _routed(members: DataFrame, forest, probes: int, dim: int, queries: Column)
                     names=["leaf", "block", "role", "id", "raw"],
                 )
 
-    return members.select("id", "vector", queries.alias("asks")).mapInArrow(route, "leaf bigint, block int, role int, id bigint, raw binary")
+    return members.select("id", "vector", "asks").mapInArrow(route, "leaf bigint, block int, role int, id bigint, raw binary")
 
 
 def _candidates(routed: DataFrame, k: int, least: float | None, dim: int) -> DataFrame:
@@ -235,6 +235,19 @@ def _candidates(routed: DataFrame, k: int, least: float | None, dim: int) -> Dat
     return met.mapInArrow(run, "q bigint, c bigint, similarity double")
 
 
+def _one_in(ids: DataFrame, n: int) -> DataFrame:
+    """(id) of distinct ids: those whose number in id order, from 0, ``n`` divides, however the rows are spread."""
+    number = F.monotonically_increasing_id()  # the part's in the upper bits, the row's within it in the lower 33
+    placed = materialise(
+        ids.select("id").repartitionByRange("id").sortWithinPartitions("id").select(
+            "id", F.shiftright(number, 33).alias("part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")
+        ), "numbers",
+    )
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    parts = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(parts), "part").filter((F.col("before") + F.col("at")) % n == 0).select("id")
+
+
 def nearest(
     vectors: DataFrame, k: int = 5, least: float | None = None, one_in: int = 1, dim: int = 64,
     trees: int = TREES, probes: int = PROBES, leaf: int = LEAF,
@@ -242,14 +255,18 @@ def nearest(
     """(id, other, rank, similarity) of vectors (id string, vector): the k most similar others.
 
     ``least`` leaves out similarities below it, before they are shuffled. ``one_in``: only vectors
-    whose number in id order it divides are asked for; all are searched.
+    whose number in id order among all, copies too, it divides are asked for; all are searched.
     """
     spark = vectors.sparkSession
     copies = Window.partitionBy(direction("vector")).orderBy("id")
-    ranked = vectors.select("id", "vector", F.row_number().over(copies).alias("copy"))
+    rows = vectors.select("id", "vector", F.lit(True).alias("asks"))
+    if one_in > 1:
+        chosen = _one_in(vectors, one_in).select("id", F.lit(True).alias("asks"))
+        rows = vectors.select("id", "vector").join(chosen, "id", "left").fillna(False, ["asks"])
+    ranked = rows.select("id", "vector", "asks", F.row_number().over(copies).alias("copy"))
     bounded = ranked.filter(F.col("copy") <= k + 1)  # every task keeps its first k + 1 before the shuffle
     ordered = bounded.repartitionByRange("id").sortWithinPartitions("id").select(
-        F.monotonically_increasing_id().alias("n"), "id", "vector", "copy"
+        F.monotonically_increasing_id().alias("n"), "id", "vector", "asks"
     )
     members = materialise(ordered.withColumnRenamed("id", "name").withColumnRenamed("n", "id"), "vectors")
     count = members.count()
@@ -261,8 +278,7 @@ def nearest(
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     forest = spark.sparkContext.broadcast(fit(sample.astype(np.float32), count, trees, leaf))
 
-    asked = F.lit(True) if one_in == 1 else F.col("id") % one_in == 0
-    found = _candidates(_routed(members, forest, probes, dim, asked), k, least, dim)
+    found = _candidates(_routed(members, forest, probes, dim), k, least, dim)
     merged = found.groupBy("q", "c").agg(F.max("similarity").alias("similarity"))
     by_query = Window.partitionBy("q").orderBy(F.desc("similarity"), "c")
     top = merged.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
@@ -272,11 +288,9 @@ def nearest(
         .join(names.withColumnsRenamed({"id": "c", "name": "other"}), "c")
         .select(F.col("of").alias("id"), "other", "rank", "similarity")
     )
-    if one_in > 1:
-        return named
     # copies beyond the first k + 1: their class has k + 1 members here, all of lesser id
     classes = members.groupBy(direction("vector").alias("copies")).agg(F.array_sort(F.collect_list("name")).alias("first")).filter(F.size("first") == k + 1)
-    beyond = vectors.select("id", direction("vector").alias("copies")).join(classes, "copies").filter(F.col("id") > F.element_at("first", k + 1))
+    beyond = rows.filter("asks").select("id", direction("vector").alias("copies")).join(classes, "copies").filter(F.col("id") > F.element_at("first", k + 1))
     rest = beyond.select("id", F.posexplode(F.slice("first", 1, k)).alias("at", "other"))
     return named.unionByName(rest.select("id", "other", (F.col("at") + 1).alias("rank"), F.lit(1.0).alias("similarity")))
 

@@ -97,6 +97,24 @@ def test_stated_queries(spark):
     assert all(r["other"] in {o for o, _ in want[r["id"]]} for r in links)
 
 
+def test_copies_are_asked_for_too_however_rows_are_spread(spark):
+    rows = [*[(f"c{i:03}", [1.0, 2.0, 3.0]) for i in range(130)], *clustered(70, 3, 11)]
+    want = sorted(r[0] for r in rows)[::20]
+    parts, adaptive = (spark.conf.get(f"spark.sql.{c}") for c in ("shuffle.partitions", "adaptive.enabled"))
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 3):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {}
+            for r in nb.nearest(frame(spark, rows), 5, one_in=20, dim=3, leaf=500).orderBy("id", "rank").collect():
+                got.setdefault(r["id"], []).append(r["other"])
+            assert sorted(got) == want and all(len(v) == 5 for v in got.values())
+            assert got["c120"] == [f"c{i:03}" for i in range(5)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 @pytest.mark.parametrize("rows", [[], [("a", [1.0, 0.0])]])
 def test_too_few(spark, rows):
     assert nb.nearest(frame(spark, rows), 5, dim=2).count() == 0
