@@ -363,7 +363,7 @@ def _php(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for files in batches:
         rows = []
         for file in files.to_dict("records"):
-            for i, symbol in enumerate(php_symbols(file["content"], file["file_path"].rsplit("/", 1)[-1])):
+            for i, symbol in enumerate(php_symbols(file["content"], (file["file_path"] or "").rsplit("/", 1)[-1])):
                 rows.append({k: file[k] for k in ("version", "file_path", "area", "language")} | {"chunk_idx": i} | symbol)
         out = pd.DataFrame(rows, columns=["version", "file_path", "area", "language", "chunk_idx", *_PHP_FIELDS]).astype(object)
         yield out.where(out.notna(), None)
@@ -383,20 +383,20 @@ def point_id(tag: Column, path: Column, idx: Column, sha: Column) -> Column:
     return _point_id(tag, path, idx, sha)
 
 
-def chunk_files(files: DataFrame, ids: bool = True, methods: bool = True) -> DataFrame:
+def chunk_files(files: DataFrame, ids: bool = True, methods: bool = True, notes: Column | None = None) -> DataFrame:
     """Chunks of all files, with ``content_sha``, ``chunk_idx``, ``version_tuple`` and, if asked, ``point_id``.
 
-    Without ``methods`` PHP is cut by type alone, see :func:`php_types`.
+    Without ``methods`` PHP is cut by type alone, see :func:`php_types`. ``notes`` tells whether
+    markdown is read as ``changelog`` or ``upgrade``; if it isn't given, where the path begins does.
     """
-    given = files.select("version", "file_path", "area", "language", T.read_text("content").alias("content")).filter(
+    bare = F.regexp_replace("file_path", r"^[./]+", "")
+    by_path = F.when(bare.startswith("changelog/"), "changelog").when(bare.startswith("UPGRADE-"), "upgrade")
+    notes = by_path if notes is None else notes
+    given = files.select("version", "file_path", "area", "language", T.read_text("content").alias("content"), notes.alias("notes")).filter(
         (F.col("area") != "other") & F.col("language").isNotNull() & F.col("content").isNotNull()
     )
     content, path, name = F.col("content"), F.col("file_path"), T.basename("file_path")
-    bare = F.regexp_replace("file_path", r"^[./]+", "")
-    kind = (
-        F.when(F.col("language") != "markdown", F.col("language"))
-        .when(bare.startswith("changelog/"), "changelog").when(bare.startswith("UPGRADE-"), "upgrade")
-    )
+    kind = F.when(F.col("language") != "markdown", F.col("language")).otherwise(F.col("notes"))
     chunks = (
         F.when(kind.isin("scss", "css"), scss(content, name)).when(kind == "xml", xml(content, name))
         .when(kind.isin("ts", "js", "typescript", "javascript"), script(content, name)).when(kind == "vue", vue(content, name))
@@ -413,7 +413,7 @@ def chunk_files(files: DataFrame, ids: bool = True, methods: bool = True) -> Dat
     schema = "version string, file_path string, area string, language string, chunk_idx int, " + ", ".join(
         f"{k} {FIELDS[k]}" for k in _PHP_FIELDS
     )
-    php = given.filter(scanned).mapInPandas(_php, schema)
+    php = given.filter(scanned).drop("notes").mapInPandas(_php, schema)
     out = native.unionByName(php, allowMissingColumns=True).withColumn("content_sha", T.sha("content")).withColumn(
         "version_tuple", versions.version_tuple("version")
     )

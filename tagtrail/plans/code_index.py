@@ -514,16 +514,23 @@ def embedding_text(spark: SparkSession, root: str) -> DataFrame:
 
 @REGISTRY.add("chunk_documents")
 def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
-    """All documents cut into chunks, by the language of their kind."""
-    language = F.expr("case kind when 'script' then 'ts' when 'changelog' then 'markdown' when 'upgrade' then 'markdown' else kind end")
-    folder = F.expr("case kind when 'changelog' then 'changelog/release-6-7-0-0/' when 'upgrade' then 'UPGRADE-' else 'src/Core/' end")
-    docs = table(spark, root, "documents").filter("kind in ('php', 'twig', 'scss', 'script', 'changelog', 'upgrade')")
-    files = docs.select(
-        F.regexp_replace(reading.version("version"), "^v", "").alias("version"),
-        F.concat(folder, T.basename("file_path")).alias("file_path"), F.lit("core").alias("area"), language.alias("language"),
-        F.col("text").alias("content"),
+    """All documents cut into chunks, by their kind, or by their path where no kind is given.
+
+    Guides, issue reports and other documents without a chunker give none. Documents lie in no
+    area of the source tree; all count as ``core``.
+    """
+    docs = table(spark, root, "documents").select(
+        F.regexp_replace(reading.version("version"), "^v", "").alias("version"), reading.file_path("file_path").alias("file_path"),
+        F.nullif(F.lower(F.btrim("kind", F.lit(reading.BLANKS))), F.lit("")).alias("kind"), F.col("text").alias("content"),
+    )
+    of_path = F.when(F.col("file_path").rlike(r"(^|/)changelog/"), "changelog").when(
+        F.col("file_path").rlike(r"(^|/)(upgrade/|UPGRADE-)"), "upgrade"
     )
-    return chunk_files(files, ids=False).drop("css_classes", "version_tuple")
+    by_path = routing.language("file_path")
+    notes = F.when(F.col("kind").isNotNull(), F.col("kind")).when(by_path == "markdown", of_path)
+    by_kind = F.when(F.col("kind") == "script", "ts").when(F.col("kind").isin("changelog", "upgrade"), "markdown").otherwise(F.col("kind"))
+    files = docs.select("version", "file_path", F.lit("core").alias("area"), F.coalesce(by_kind, by_path).alias("language"), "content", notes.alias("notes"))
+    return chunk_files(files, notes=F.col("notes"))
 
 
 @REGISTRY.add("point_ids")

@@ -1,6 +1,7 @@
 import pytest
 
 from tagtrail.operators.chunking import FIELDS, chunk_files, php_symbols
+from tagtrail.plans.code_index import chunk_documents
 
 SCHEMA = "version string, file_path string, area string, language string, content string"
 
@@ -136,3 +137,21 @@ def test_php_by_type(spark):
         ("class", "A\\B\\One", "v6.8.0", 3, 9), ("class", "A\\B\\Two", "v6.8.0", 10, 10), ("file", "", None, 1, 1)
     ]
     assert got[0]["content"].startswith("/** x") and got[0]["content"].endswith("}")
+
+
+def test_documents_without_kind_go_by_their_path(spark, tmp_path):
+    log, notes, code = "---\ntitle: T\n---\n# Core\n* x\n", "# 6.7.0.0\n## One\nx\n", "<?php\nclass A {}\n"
+    rows = [
+        ("./p//changelog/a.md", None, log), ("p/changelog/b.md", "changelog", log), ("p/upgrade/c.md", None, notes), ("x/UPGRADE-6.7.md", "upgrade", notes),
+        ("p/php/d.php", None, code), ("p/twig/e.html.twig", " ", "{% block a %}{% endblock %}"), ("p/script/f.ts", None, "class A {}"), ("p/scss/g.scss", None, ".a{}"),
+        ("p/guide/h.md", None, "# Core\nx"), ("p/issue/i.txt", None, "x"), ("p/guide/changelog/j.md", "guide", log), (None, "php", code), ("p/php/k.php", None, None),
+    ]
+    spark.createDataFrame([(*r, "v6.7.0.0") for r in rows], "file_path string, kind string, text string, version string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.asDict() for r in chunk_documents(spark, str(tmp_path)).collect()]
+    assert {(r["file_path"], r["language"], r["symbol_kind"]) for r in got} == {
+        ("p/changelog/a.md", "markdown", "changelog_entry"), ("p/changelog/b.md", "markdown", "changelog_entry"), ("p/upgrade/c.md", "markdown", "upgrade_note"),
+        ("x/UPGRADE-6.7.md", "markdown", "upgrade_note"), ("p/php/d.php", "php", "class"), ("p/twig/e.html.twig", "twig", "file"), ("p/script/f.ts", "ts", "ts_class"),
+        ("p/scss/g.scss", "scss", "file"), (None, "php", "class"),
+    }
+    assert len({r["point_id"] for r in got}) == len(got) and {tuple(r["version_tuple"]) for r in got} == {(6, 7, 0, 0)}
+    assert [r["css_classes"] for r in got if r["language"] == "scss"] == [["a"]]
