@@ -98,7 +98,9 @@ def upgrade_path(
     """Entries that lead from ``low`` (exclusive) to ``high``, by section: (section, place, target_version, title, issue, ...).
 
     An entry is left out if one met before has its issue, or its file and section; with
-    ``keep_sections`` only the latter. No rows for a range that is none.
+    ``keep_sections`` only the latter. Repeated rows of one entry (file, section and point_id) are
+    one: that with the least version, title, issue, kind and content, nulls first. No rows for a
+    range that is none.
     """
     section = F.coalesce(F.nullif(F.lower("section"), F.lit("")), F.lit("general"))
     rows = chunks.filter((F.col("area") == "changes") & versions.after_up_to(F.col("target_version"), low, high))
@@ -111,6 +113,10 @@ def upgrade_path(
     )
     if sections:
         rows = rows.filter(F.col("section").isin([s.lower() for s in sections]))
+    same = Window.partitionBy("file_path", "section", "point_id").orderBy(
+        versions.version_tuple("target_version"), "target_version", "title", "issue", "symbol_kind", "content"
+    )
+    rows = rows.withColumn("n", F.row_number().over(same)).filter("n = 1").drop("n")
     in_order = Window.partitionBy("file_path", "section").orderBy("point_id")
     of_file = rows.withColumn("n", F.row_number().over(in_order))
     if keep_sections:

@@ -62,6 +62,17 @@ def test_upgrade_path_keeps_the_first_of_issue_and_of_file_and_section(spark):
     assert analytics.upgrade_path(df, "6.4.0.0", "6.5.0.0", ["API"]).count() == 2 and analytics.upgrade_path(df, "6.4.0.0", "6.5.0.0", limit=1).count() == 2
 
 
+def test_upgrade_path_takes_repeated_rows_as_one(spark):
+    one = entry("f1", "core", "I1") | {"point_id": "p1"}
+    df = chunks(
+        spark, one | {"symbol_name": "b"}, one | {"symbol_name": "a", "issue": "I2"}, one | {"symbol_name": "a", "issue": "I3"}, one | {"symbol_name": "a", "issue": "I2"},
+        entry("f2", "core", "I2") | {"point_id": "p2"}, entry("f3", "core", "I1") | {"point_id": "p3"}, entry("f4", "core") | {"point_id": "p4"},
+    )
+    for limit in (50, 3):
+        got = analytics.upgrade_path(df, "6.4.0.0", "6.5.0.0", limit=limit).orderBy("place").collect()
+        assert [(r["place"], r["changelog_path"], r["title"], r["issue"]) for r in got] == [(1, "f1", "a", "I2"), (2, "f3", "f3", "I1"), (3, "f4", "f4", None)]
+
+
 def test_greedy_rounds_equal_a_loop(spark):
     rng = random.Random(5)
     for _ in range(3):
