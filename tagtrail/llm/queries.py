@@ -92,20 +92,26 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(_sized(spark, root)).withColumnRenamed("key", "doc_id")
 
 
-@REGISTRY.add(
-    "p8_found",
-    """
-WITH w AS (SELECT doc_id, hash(substr(text, i, 240)) AS h
-           FROM (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS i FROM documents WHERE length(text) >= 240)),
-r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
-SELECT DISTINCT doc_id FROM w JOIN r USING (h)
-""",
-)
+_SQL_SHARED = """
+w AS (SELECT doc_id, i, hash(substr(text, i, 240)) AS h
+      FROM (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS i FROM documents WHERE length(text) >= 240)),
+r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))"""
+
+
+@REGISTRY.add("p8_found", f"WITH {_SQL_SHARED} SELECT DISTINCT doc_id FROM w JOIN r USING (h)")
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return shared_spans.shared_spans(table(spark, root, "documents")).select("doc_id").distinct()
 
 
-@REGISTRY.add("p8_coverage")
+@REGISTRY.add(
+    "p8_coverage",
+    f"""
+WITH {_SQL_SHARED},
+g AS (SELECT doc_id, least(240, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 240)) AS c FROM w JOIN r USING (h)),
+s AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS n FROM g GROUP BY doc_id)
+SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(n, 0) AS shared_chars FROM documents LEFT JOIN s USING (doc_id)
+""",
+)
 def p8_coverage(spark: SparkSession, root: str) -> DataFrame:
     """How much of each document stands elsewhere too."""
     docs = table(spark, root, "documents")

@@ -5,17 +5,19 @@ run of ``SPAN - GRAM + 1`` consecutive grams of ``GRAM`` characters, the one wit
 (the rightmost of equals). So only anchors, about one in 61 positions, have to be counted.
 
 1. *Count-min prefilter.* Every task sketches how many records hold each of its anchors
-   (saturating at 2); the partial sketches are merged block by block by a shuffle. A sketch never
-   counts too low, so an anchor estimated at one record stands in one record and is dropped.
-   The sketch has a fixed size (``COUNTERS`` times ``ROWS`` bits, 16 MB); where the corpus
-   outgrows it, it drops less, and never anything that is shared.
-2. *Exact pass.* Anchors estimated repeated are taken from the records again, with the characters
-   around them that a span through the anchor can reach. Equal surroundings are one class, with
-   its least and greatest record. Within an anchor's classes every window of ``SPAN`` characters
-   is compared by a 64-bit hash; it is shared if its records differ. No pairs are formed: work is
-   linear in the classes. An anchor with very many classes is compared by a shuffle of its
-   windows instead of in one task, with the same result.
-3. Shared windows are joined to the records that hold their class, and merged into spans.
+   (saturating at 2); the partial sketches are merged block by block by a shuffle. The sketch has
+   ``PER_ANCHOR`` counters a row for every anchor the corpus is expected to hold, so the share of
+   unrepeated anchors that get through stays under 1 % at every size. It never lies in one place:
+   of each merged block only the counters that count two or more are kept, as rows.
+2. *Test.* Anchors are taken from the records again, as (record, place, hash), and semi-joined on
+   their counter of each row. A sketch never counts too low, so an anchor that is dropped stands in
+   one record. Only records that keep an anchor are then joined to their text.
+3. *Exact pass.* The characters around a kept anchor that a span through it can reach are its
+   surroundings. Equal surroundings are one class, with its least and greatest record. Within an
+   anchor's classes every window of ``SPAN`` characters is compared by a 64-bit hash; it is shared
+   if its records differ. No pairs are formed: work is linear in the classes. An anchor with very
+   many classes is compared by a shuffle of its windows instead of in one task, with the same result.
+4. Shared windows are joined to the records that hold their class, and merged into spans.
 
 Defined results
     * null and short texts share nothing; rows of one key count as one record, so repeated rows
@@ -31,15 +33,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtrail.plans.work import materialise
 
 #: Characters of a span, and of a gram.
 SPAN, GRAM = 240, 120
-#: Counters of each row of the sketch, rows, and counters of a block of it.
-COUNTERS, ROWS, BLOCK = 1 << 26, 2, 1 << 16
+#: Counters of each row of the sketch for an expected anchor, least of them, rows, and counters of a block.
+PER_ANCHOR, LEAST, ROWS, BLOCK = 16, 1 << 20, 2, 1 << 16
 #: Characters hashed at once; classes of one anchor above which its windows are shuffled.
 STRETCH, MANY = 1 << 20, 4096
 
@@ -109,18 +111,33 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         i = j
 
 
+def sketch_size(texts: DataFrame, span: int, gram: int) -> int:
+    """Counters of a row of the sketch, a power of two: ``PER_ANCHOR`` for every expected anchor."""
+    chars = texts.agg(F.sum(F.char_length("text").cast("bigint"))).first()[0] or 0  # one number
+    expected = 2 * chars / (span - gram + 2)  # the density of minima of a window
+    return max(LEAST, 1 << int(np.ceil(np.log2(max(1.0, PER_ANCHOR * expected)))))
+
+
 def _counter(h: np.ndarray, row: int, counters: int) -> np.ndarray:
-    """The counter of each hash in a row of the sketch; ``counters`` is a power of two."""
-    return (_mixed(h + np.uint64(row), _MIX[row % 2]) >> np.uint64(64 - (counters.bit_length() - 1))).astype(np.int64)
+    """The counter of each hash in a row of the sketch: its upper bits, or its lower."""
+    if row:
+        return (h & np.uint64(counters - 1)).astype(np.int64)
+    return (h >> np.uint64(64 - (counters.bit_length() - 1))).astype(np.int64)
+
 
+def _counter_column(h: str, row: int, counters: int) -> Column:
+    """As :func:`_counter`, of a column of hashes."""
+    return F.col(h).bitwiseAND(F.lit(counters - 1)) if row else F.shiftrightunsigned(h, 64 - (counters.bit_length() - 1))
 
-def repeated_counters(texts: DataFrame, span: int, gram: int, counters: int) -> list[np.ndarray]:
-    """For every row of the merged sketch, one bit a counter: whether it counts two records or more."""
+
+def repeated_counters(texts: DataFrame, span: int, gram: int, counters: int) -> DataFrame:
+    """(row, counter) of the counters of the merged sketch that count two records or more."""
+    per_row = counters // BLOCK
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         for batch in batches:
-            for _, part in _groups(batch.column(1).to_pylist()):
+            for _, part in _groups(batch.column(batch.schema.names.index("text")).to_pylist()):
                 which, _, h = anchors(part, span, gram)
                 order = np.lexsort((h, which))
                 which, h = which[order], h[order]
@@ -134,66 +151,87 @@ def repeated_counters(texts: DataFrame, span: int, gram: int, counters: int) ->
                 continue
             block = counter // BLOCK
             edges = np.flatnonzero(np.diff(block, prepend=-1))
-            once = [x.astype(np.uint16).tobytes() for x in np.split(counter % BLOCK, edges[1:])]
-            twice = [x[y].astype(np.uint16).tobytes() for x, y in zip(np.split(counter % BLOCK, edges[1:]), np.split(count > 1, edges[1:]), strict=True)]
+            low = (counter % BLOCK).astype(np.uint16)
+            once = [x.tobytes() for x in np.split(low, edges[1:])]
+            twice = [x[y].tobytes() for x, y in zip(np.split(low, edges[1:]), np.split(count > 1, edges[1:]), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block[edges] + row * (counters // BLOCK), pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())],
+                [pa.array(block[edges] + row * per_row, pa.int64()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())],
                 names=["block", "once", "twice"],
             )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, once, twice = None, None, None
+        number, once, twice = None, np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
 
         def out() -> pa.RecordBatch:
-            bits = np.packbits(twice, bitorder="little").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([bits], pa.binary())], names=["block", "bits"])
+            counter = np.flatnonzero(twice) + number % per_row * BLOCK
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(counter), number // per_row, np.int32)), pa.array(counter.astype(np.int64))], names=["row", "counter"]
+            )
 
         for batch in batches:
             for block, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != number:
-                    if number is not None and twice.any():
+                    if number is not None:
                         yield out()
-                    number, once, twice = block, np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
+                    number = block
+                    once[:], twice[:] = False, False
                 seen = np.frombuffer(a, np.uint16)
                 twice[seen[once[seen]]] = True
                 once[seen] = True
                 twice[np.frombuffer(b, np.uint16)] = True
-        if number is not None and twice.any():
+        if number is not None:
             yield out()
 
-    partial = texts.mapInArrow(sketch, "block int, once binary, twice binary")
-    merged = partial.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
-    rows = [np.zeros(counters // 8, np.uint8) for _ in range(ROWS)]
-    per_row = counters // BLOCK
-    for block, bits in merged.collect():  # at most ROWS * counters bits
-        at = block % per_row * (BLOCK // 8)
-        rows[block // per_row][at : at + BLOCK // 8] = np.frombuffer(bits, np.uint8)
-    return rows
+    partial = texts.mapInArrow(sketch, "block bigint, once binary, twice binary")
+    return partial.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "row int, counter bigint")
 
 
-def _surroundings(texts: DataFrame, bits, span: int, gram: int) -> DataFrame:
-    """(key, anchor, before, around, places) of the anchors estimated repeated, once for each surroundings of a record."""
+def _places(texts: DataFrame, span: int, gram: int) -> DataFrame:
+    """(key, record, at, anchor) of every anchor of texts (key, record, text)."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, reach = bits.value, span - gram
         for batch in batches:
-            keys, column = batch.column(0), batch.column(1).to_pylist()
-            number, anchor, before, around, places = [], [], [], [], []
+            keys, records, column = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for base, part in _groups(column):
                 which, at, h = anchors(part, span, gram)
-                keep = np.ones(len(h), bool)
-                for row, counts in enumerate(rows):
-                    c = _counter(h, row, 8 * len(counts))
-                    keep &= (counts[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
+                number = pa.array(which + base)
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(number), records.take(number), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))],
+                    names=["key", "record", "at", "anchor"],
+                )
+
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.mapInArrow(take, f"key {kind}, record bigint, at int, anchor bigint")
+
+
+def repeated_places(texts: DataFrame, span: int, gram: int, counters: int) -> DataFrame:
+    """The anchors (key, record, at, anchor) of texts (key, record, text) that the sketch estimates repeated."""
+    repeated = materialise(repeated_counters(texts.select("text"), span, gram, counters), "shared-counters", "row")
+    kept = _places(texts, span, gram)
+    for row in range(ROWS):
+        of_row = repeated.filter(F.col("row") == row).select(F.col("counter").alias(f"counter{row}"))
+        kept = kept.withColumn(f"counter{row}", _counter_column("anchor", row, counters)).join(of_row, f"counter{row}", "left_semi")
+    return kept.select("key", "record", "at", "anchor")
+
+
+def _surroundings(kept: DataFrame, span: int, gram: int) -> DataFrame:
+    """(key, anchor, before, around, places) from (key, text, kept array of place and anchor), once for each surroundings of a record."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = span - gram
+        for batch in batches:
+            keys, texts, places_of = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            number, anchor, before, around, places = [], [], [], [], []
+            for i, (text, marks) in enumerate(zip(texts, places_of, strict=True)):
                 seen: dict[tuple, list[int]] = {}
-                for w, p, g in zip(which[keep].tolist(), at[keep].tolist(), h[keep].view(np.int64).tolist(), strict=True):
-                    left = min(p, reach)
-                    seen.setdefault((w, g, left, part[w][p - left : p + span]), []).append(p)
-                for (w, g, left, text), where in seen.items():
-                    number.append(base + w)
+                for mark in marks:
+                    p, left = mark["at"], min(mark["at"], reach)
+                    seen.setdefault((mark["anchor"], left, text[p - left : p + span]), []).append(p)
+                for (g, left, near), where in seen.items():
+                    number.append(i)
                     anchor.append(g)
                     before.append(left)
-                    around.append(text)
+                    around.append(near)
                     places.append(where)
             yield pa.RecordBatch.from_arrays(
                 [keys.take(pa.array(number, pa.int64())), pa.array(anchor, pa.int64()), pa.array(before, pa.int32()),
@@ -201,8 +239,8 @@ def _surroundings(texts: DataFrame, bits, span: int, gram: int) -> DataFrame:
                 names=["key", "anchor", "before", "around", "places"],
             )
 
-    kind = texts.schema["key"].dataType.simpleString()
-    return texts.mapInArrow(take, f"key {kind}, anchor bigint, before int, around string, places array<int>")
+    kind = kept.schema["key"].dataType.simpleString()
+    return kept.mapInArrow(take, f"key {kind}, anchor bigint, before int, around string, places array<int>")
 
 
 def _windows(rows: pd.DataFrame, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +285,9 @@ def _compare(span: int):
             shared[order] = np.repeat(differ, np.diff(np.append(edges, len(order))))
             flags[there] = shared
         keep = flags.any(axis=1)
-        first, last = _runs(flags[keep], rows["before"].to_numpy(np.int64)[keep]) if keep.any() else ([], [])
+        if not keep.any():
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("anchor", "int64"), ("c1", "int64"), ("c2", "int64"), ("first", object), ("last", object))})
+        first, last = _runs(flags[keep], rows["before"].to_numpy(np.int64)[keep])
         return rows.loc[keep, ["anchor", "c1", "c2"]].assign(first=first, last=last)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,15 +338,19 @@ def _by_shuffle(classes: DataFrame, span: int) -> DataFrame:
 
 
 def shared_spans(
-    docs: DataFrame, span: int = SPAN, gram: int = GRAM, key: str = "doc_id", text: str = "text", counters: int = COUNTERS
+    docs: DataFrame, span: int = SPAN, gram: int = GRAM, key: str = "doc_id", text: str = "text", counters: int | None = None
 ) -> DataFrame:
-    """(key, start, stop): maximal stretches of a record made of spans that stand in another record too."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(
+    """(key, start, stop): maximal stretches of a record made of spans that stand in another record too.
+
+    ``counters`` of a row of the sketch, a power of two; by default they follow from the corpus.
+    """
+    given = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(
         F.col("key").isNotNull() & (F.char_length("text") >= span)
     )
-    bits = spark.sparkContext.broadcast(repeated_counters(texts, span, gram, counters))
-    found = _surroundings(texts, bits, span, gram).withColumns(
+    texts = given.select("key", F.xxhash64("key", "text").alias("record"), "text")
+    kept = repeated_places(texts, span, gram, counters or sketch_size(texts, span, gram))
+    marks = kept.groupBy("key", "record").agg(F.collect_set(F.struct("at", "anchor")).alias("kept"))
+    found = _surroundings(texts.join(marks, ["key", "record"]).select("key", "text", "kept"), span, gram).withColumns(
         {"c1": F.xxhash64("around", "before"), "c2": F.xxhash64(F.lit(span), "before", "around")}
     )
     found = materialise(found, "shared-anchors")
@@ -335,6 +379,5 @@ def shared_spans(
 def coverage(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_chars, shared_chars) of every record."""
     shared = spans.groupBy(key).agg(F.sum(F.col("stop") - F.col("start")).alias("shared_chars"))
-    return docs.select(key, F.coalesce(F.char_length(text), F.lit(0)).alias("n_chars")).join(shared, key, "left").fillna(
-        0, ["shared_chars"]
-    )
+    chars = F.coalesce(F.char_length(text), F.lit(0)).cast("bigint")
+    return docs.select(key, chars.alias("n_chars")).join(shared, key, "left").fillna(0, ["shared_chars"])

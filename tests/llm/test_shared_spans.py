@@ -100,3 +100,32 @@ def test_every_span_holds_the_same_anchor():
         inside.append({int(x) for p, x in zip(at[mine], h[mine], strict=True) if begin <= p <= begin + SPAN - GRAM})
     assert set.intersection(*inside)
     assert np.all(at >= 0)
+
+
+def test_a_repeated_anchor_without_a_shared_span(spark, monkeypatch):
+    text = lambda seed, n: "".join(random.Random(seed).choices("abcdefgh", k=n))
+    hashed = lambda g: int(s.rolling(np.array([ord(c) for c in g], np.uint32), GRAM)[0])
+    gram = min((text(seed, GRAM) for seed in range(500)), key=hashed)
+    found = []
+    for seed in range(60):  # the gram is an anchor of both records, and no span around it is shared
+        a, b = text(1000 + seed, 20) + gram + text(2000 + seed, 20), text(3000 + seed, 20) + gram + text(4000 + seed, 20)
+        held = [set(s.anchors([t], SPAN, GRAM)[2].tolist()) for t in (a, b)]
+        if held[0] & held[1]:
+            found.append([(1, a), (2, b)])
+    assert found
+    for rows in found[:3]:
+        assert expected(rows, SPAN) == {} and spans(spark, rows) == {}
+    monkeypatch.setattr(s, "MANY", 1)
+    assert spans(spark, found[0]) == {}
+
+
+@pytest.mark.parametrize("docs", [300, 3000])
+def test_few_anchors_that_stand_once_get_through_at_any_size(spark, monkeypatch, docs):
+    monkeypatch.setattr(s, "LEAST", 1 << 16)
+    rng = random.Random(docs)
+    rows = [(i, i, "".join(rng.choices("abcdefghijklmnop \n", k=2000))) for i in range(docs)]
+    texts = spark.createDataFrame(rows, "key bigint, record bigint, text string")
+    counters = s.sketch_size(texts, SPAN, GRAM)
+    total = s._places(texts, SPAN, GRAM).count()
+    assert counters >= s.PER_ANCHOR * 0.9 * total
+    assert s.repeated_places(texts, SPAN, GRAM, counters).count() < 0.02 * total
