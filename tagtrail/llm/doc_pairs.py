@@ -39,7 +39,7 @@ _CLAUSE = re.compile(r"[.!?;]+(?=\s|\Z)|\n\s*\n")
 
 #: Words that name a description, and words that say it is missing, to come, or elsewhere.
 _SUBJECT = (
-    "description documentation docs docblock doc comment comments documented undocumented describe explanation "
+    "description documentation docs docblock doc document comment comments documented undocumented describe explanation "
     "beschreibung dokumentation kommentar dokumentiert beschreiben doku"
 ).split()
 _ABSENT = (
@@ -47,12 +47,23 @@ _ABSENT = (
     "pending see refer needed required later yet placeholder parent fehlt fehlend folgt ergänzen ergänzt nachreichen "
     "schreiben geerbt siehe noch später hinzufügen einfügen nachtragen"
 ).split()
+#: Words that carry nothing beside those two kinds.
+_PLAIN = (
+    "a an the this that these some any proper short full long further more no not is are was be been being has have had to of for from in on "
+    "at by with and or its it it's here there please just still now lines text about what which who how why does do did will should must can same as "
+    "method methods function functions class classes interface interfaces member code arguments parameters "
+    "der die das den dem des ein eine einen einer eines dieser diese dieses dieses hier bitte dazu ist sind wird werden muss noch nicht kein keine "
+    "zu von für und oder text methode methoden funktion funktionen klasse klassen schnittstelle"
+).split()
+#: Other words a clause may hold that says no more than that a description is missing.
+SPARE = 1
 _WHOLE = re.compile(
-    r"^\W*(?:todo|fixme|tbd|xxx)\b|\bauto[- ]?generated\b.*\b(?:stub|method|function|comment|code)\b|^\W*\{?@?inherit(?:ed)?[- ]?doc\}?\W*$"
+    r"^\W*(?:todo|fixme|tbd|xxx)\b|^\W*(?:this is )?(?:an? )?auto[- ]?generated\b.*\b(?:stub|method|function|comment|code)\b|^\W*\{?@?inherit(?:ed)?[- ]?doc\}?\W*$"
     r"|^\W*(?:inherited|geerbt|see|siehe|same as)\b.{0,40}\b(?:parent|interface|base|super|elternklasse|basisklasse|class|klasse)\b.{0,40}$"
-    r"|^\W*(?:lorem ipsum|placeholder|platzhalter|no comment|n/?a)\b",
+    r"|^\W*lorem ipsum\b|^\W*(?:no comment|n/?a|(?:placeholder|platzhalter)(?: text| comment| description)?)\W*$",
     re.I | re.S,
 )
+_SAYS, _LACKS, _ANY = frozenset(_SUBJECT), frozenset(_ABSENT), frozenset([*_SUBJECT, *_ABSENT, *_PLAIN])
 
 
 def description(comment: str) -> str:
@@ -64,7 +75,9 @@ def description(comment: str) -> str:
 
 def _says_nothing(clause: str) -> bool:
     words = {w.lower() for w in _WORD.findall(clause)}
-    return not words or bool(_WHOLE.search(clause)) or bool(words & set(_SUBJECT) and words & set(_ABSENT))
+    if not words or _WHOLE.search(clause):
+        return True
+    return not words.isdisjoint(_SAYS) and not words.isdisjoint(_LACKS) and len(words - _ANY) <= SPARE
 
 
 def is_trivial(text: str, name: str) -> bool:

@@ -116,39 +116,88 @@ _PHP_WORDS = frozenset("public private protected static abstract final readonly
 _SCRIPT_WORDS = frozenset(
     "export default declare public private protected static abstract readonly override async get set accessor".split()
 )
-_LAST_WORD = re.compile(r"[\w$]+\Z")
 
 
-def _back(code: str, at: int, words: frozenset[str]) -> int:
+def _word_before(code: str, at: int, more: str = "") -> int:
+    """Where the word that ends at ``at`` begins."""
+    while at and (code[at - 1].isalnum() or code[at - 1] in "_$" or code[at - 1] in more):
+        at -= 1
+    return at
+
+
+def _back(code: str, at: int, words: frozenset[str], nesting: _Nesting | None = None) -> int:
     """Back from ``at`` over white space and modifiers (and, in scripts, decorators and a star)."""
-    script = words is _SCRIPT_WORDS
     while True:
         while at and code[at - 1].isspace():
             at -= 1
-        m = _LAST_WORD.search(code, max(0, at - 200), at)
-        if m and m.group().lower() in words:
-            at = m.start()
-        elif script and at and code[at - 1] == "*":
+        if nesting:
+            decorated = _word_before(code, at, ".")
+            if at and code[at - 1] == ")" and (opener := nesting.match.get(at - 1, -1)) > 0:
+                end = len(code[:opener].rstrip()) if code[opener - 1].isspace() else opener
+                decorated = _word_before(code, end, ".")
+            if 0 < decorated < at and code[decorated - 1] == "@":
+                at = decorated - 1
+                continue
+        begin = _word_before(code, at)
+        if begin < at and code[begin:at].lower() in words:
+            at = begin
+        elif nesting and at and code[at - 1] == "*":
             at -= 1
-        elif script and (m := _DECORATOR.search(code, max(0, at - 400), at)):
-            at = m.start()
         else:
             return at
 
 
-_DECORATOR = re.compile(r"@[\w$.]+(?:\s*\([^()]*(?:\([^()]*\)[^()]*)*\))?\s*\Z")
 _NOT_NAMES = frozenset(
     "if for while switch catch function return await new typeof delete void in of do else with yield throw case super import "
     "class extends const let var".split()
 )
 _SCRIPT_NAMED = re.compile(rf"(?<![\w$.])function\b\s*\*?\s*({_WORD})\s*[<(]")
 _SCRIPT_MEMBER = re.compile(
-    rf"(?<![\w$.])(?P<quote>')?(?P<name>#?{_WORD})(?(quote)')\s*\??"
+    rf"(?:(?<![\w$.])(?P<name>#?{_WORD})|(?P<quoted>'[ \n]+'))\s*\??"
     rf"(?:(?P<call>(?:<[^<>()]*(?:<[^<>]*>[^<>()]*)*>)?\s*\()|(?::|(?::[^=;,(){{}}]+)?=(?![=>]))\s*(?P<value>async\b\s*)?"
     rf"(?P<kind>function\b|\(|{_WORD}\s*=>))"
 )
 _ARROW = re.compile(r"\s*(?::[^=;{}]*)?=>")
-_TYPED = re.compile(r"\s*(?::(?P<type>[^;{}=]*(?:\{[^{}]*\}[^;{}=]*)?))?\s*(?P<next>[{;]|\Z)")
+_TYPE_PART = re.compile(rf"\s+|=>|{_WORD}|'[^']*'|.", re.S)
+_TYPE_SIGNS = frozenset("keyof typeof readonly infer is extends asserts new unique".split())
+
+
+def _declared_end(code: str, at: int) -> tuple[str, int, bool]:
+    """What follows a parameter list that closes before ``at``: ('body', its brace), ('end', where a declaration
+    without a body ends) or ('', 0); and whether a return type stands between."""
+    at = re.compile(r"[^\S\n]*").match(code, at).end()
+    first = re.compile(r"\s*").match(code, at).end()
+    if first == len(code):
+        return "end", first, False
+    if code[first] in ";{,}":
+        return ("body", first, False) if code[first] == "{" else ("end", first + (code[first] == ";"), False)
+    if code[first] != ":":
+        return ("end", at, False) if first > at else ("", 0, False)
+    at, open_, angles = first + 1, True, 0  # open_: the type needs more
+    while m := _TYPE_PART.match(code, at):
+        part, at = m.group(), m.end()
+        if part.isspace():
+            following = code[at : at + 2]
+            if "\n" in part and not open_ and not angles and following[:1] not in "|&?:[{" and following != "=>" and not code.startswith("extends", at):
+                return "end", m.start(), True
+        elif part in "([" or (part == "{" and (open_ or angles)):
+            end = closing(code, m.start())
+            if end < 0:
+                return "end", len(code), True
+            at, open_ = end + 1, False
+        elif part == "{":
+            return "body", m.start(), True
+        elif part == "<":
+            angles, open_ = angles + 1, True
+        elif part == ">":
+            angles, open_ = max(0, angles - 1), False
+        elif part == ";" or (part in ",}])" and not angles):
+            return "end", at if part == ";" else m.start(), True
+        elif part == "=":
+            return "", 0, True
+        else:
+            open_ = part in ("=>", "|", "&", "?", ":", ",") or part in _TYPE_SIGNS
+    return "end", len(code), True
 
 
 _TYPE_HEAD = re.compile(r"(?<![\w$.])(?:class|interface|enum)\b|\btype\s+[\w$]+[^=]*=\s*\Z")
@@ -161,12 +210,14 @@ class _Nesting:
 
     def __init__(self, code: str):
         self.code, self.places, self.inside = code, [], []
+        self.match: dict[int, int] = {}  # the opening bracket of each closing one
+        self.held: dict[int, str] = {}
         open_at: list[int] = []
         for m in _ANY_BRACKET.finditer(code):
             if m.group() in "([{":
                 open_at.append(m.start())
             elif open_at:
-                open_at.pop()
+                self.match[m.start()] = open_at.pop()
             self.places.append(m.start())
             self.inside.append(open_at[-1] if open_at else -1)
 
@@ -176,17 +227,40 @@ class _Nesting:
         opener = self.inside[i] if i >= 0 else -1
         if opener < 0:
             return ""
+        if opener not in self.held:
+            self.held[opener] = self._kind(opener)
+        return self.held[opener]
+
+    def _kind(self, opener: int) -> str:
         if self.code[opener] != "{":
             return "object" if self.code[opener] == "[" else "call"
-        head = re.split(r"[;{}]", self.code[max(0, opener - 300) : opener].rstrip())[-1]
+        head = self._head(opener)
         if _TYPE_HEAD.search(head):
             return "type"
         return "object" if _OBJECT_HEAD.search(head) and not _FUNCTION_HEAD.search(head) else "block"
 
+    def _head(self, opener: int) -> str:
+        """What stands before a brace, back to the statement's begin; what parentheses hold is left out."""
+        parts: list[str] = []
+        upto, i = opener, bisect_left(self.places, opener) - 1
+        while True:
+            begin = self.places[i] + 1 if i >= 0 else 0
+            stop = self.code.rfind(";", begin, upto)
+            parts.append(self.code[max(begin, stop + 1) : upto])
+            bracket = self.code[begin - 1] if i >= 0 else ""
+            pair = self.match.get(begin - 1)
+            if stop >= 0 or bracket not in (")", "]") or pair is None:
+                return (bracket if stop < 0 and bracket in ("(", "[") else "") + "".join(reversed(parts)).rstrip()
+            parts.append("()" if bracket == ")" else "[]")
+            upto, i = pair, bisect_left(self.places, pair) - 1
+
 
 _ANY_BRACKET = re.compile(r"[()\[\]{}]")
 _EXPRESSION = re.compile(r"[:=(,?&|!]\Z|\breturn\Z")
 _DECLARED = re.compile(r"(?<![\w$.])(?:const|let|var)\Z")
+_IN_EXPRESSION = re.compile(r"(?:[=:?&|+(\[.!-]|=>)\Z")
+#: Modifiers that may stand before an expression too.
+_LOOSE = frozenset("export default async".split())
 
 
 def _script_functions(text: str) -> list[tuple[str, int, int, int]]:
@@ -194,23 +268,28 @@ def _script_functions(text: str) -> list[tuple[str, int, int, int]]:
     nesting = _Nesting(code)
     found = []
     for m in _SCRIPT_NAMED.finditer(code):
-        reach = _back(code, m.start(), _SCRIPT_WORDS)
+        reach = _back(code, m.start(), _SCRIPT_WORDS, nesting)
         if _EXPRESSION.search(code, max(0, reach - 10), reach):
             continue  # an expression; a member's value is found below by the member's name
         bracket = code.find("(", m.end() - 1)
         close = closing(code, bracket) if bracket >= 0 else -1
         found.append((m.group(1), reach, m.start(), len(code) if close < 0 else _end_of_body(code, close + 1)))
     for m in _SCRIPT_MEMBER.finditer(code):
-        name = m.group("name")
-        if name in _NOT_NAMES:
+        name, start = m.group("name"), m.start()
+        if name is None:  # a key in quotes: its text is blanked in ``code``
+            name = text[start + 1 : m.end("quoted") - 1]
+            if not name.strip() or nesting.holder(start) not in ("object", "type"):
+                continue
+        elif name in _NOT_NAMES:
             continue
-        start = m.start()
-        reach = _back(code, start, _SCRIPT_WORDS)
+        reach = _back(code, start, _SCRIPT_WORDS, nesting)
         declared = _DECLARED.search(code, max(0, reach - 10), reach)
         if declared:
             start = declared.start()
-            reach = _back(code, start, _SCRIPT_WORDS)
+            reach = _back(code, start, _SCRIPT_WORDS, nesting)
         if reach and code[reach - 1] not in "{};,":  # then a member begins only on a line of its own
+            if _IN_EXPRESSION.search(code, max(0, reach - 2), reach):
+                continue
             if "\n" not in code[reach:start] and not (code[reach - 1] == ")" and m.group("kind")):
                 continue
         if m.group("call") is not None:
@@ -218,7 +297,7 @@ def _script_functions(text: str) -> list[tuple[str, int, int, int]]:
                 continue
             end = _method_end(code, m.end() - 1, reach, start, nesting)
         else:
-            assigned = "=" in code[m.end("name") : m.start("kind")]
+            assigned = "=" in code[m.end("name") if m.group("name") else m.end("quoted") : m.start("kind")]
             holder = nesting.holder(start)
             if not declared and (holder in ("block", "call") or assigned and holder == "object"):
                 continue  # an assignment or a label
@@ -231,18 +310,16 @@ def _script_functions(text: str) -> list[tuple[str, int, int, int]]:
 def _method_end(code: str, bracket: int, reach: int, start: int, nesting: _Nesting) -> int:
     """The end of a method whose parameters open at ``bracket``; 0 if it is a call."""
     close = closing(code, bracket)
-    modified = bool(code[reach:start].strip())
+    modifiers = set(re.findall(r"[\w$]+", code[reach:start]))
     if close < 0:
-        return len(code) if modified or nesting.holder(start) in ("type", "object") else 0
-    m = _TYPED.match(code, close + 1)
-    if not m:
-        return 0
-    if m.group("next") == "{":
-        end = closing(code, m.end() - 1)
+        return len(code) if modifiers or nesting.holder(start) in ("type", "object") else 0
+    kind, at, typed = _declared_end(code, close + 1)
+    if kind == "body":
+        end = closing(code, at)
         return len(code) if end < 0 else end + 1
     holder = nesting.holder(start)
-    if holder == "type" or (not holder and (modified or m.group("type"))):
-        return m.end()
+    if kind == "end" and (holder == "type" or (not holder and (modifiers - _LOOSE or typed))):
+        return at
     return 0
 
 

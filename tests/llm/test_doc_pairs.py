@@ -99,6 +99,42 @@ def test_scripts(spark, language):
     assert [n for _, n in found(spark, ("p", language, SCRIPT))] == want
 
 
+LONG = f"""{DOC}
+@Decorated({{ a: '{'x' * 2000}', b: [1, (2)], }})
+async far(): Promise<void> {{}}
+"""
+
+
+def test_no_distance_hides_a_declaration(spark):
+    many = ", ".join(f"Long{i}<T{i}>" for i in range(120))
+    assert len(many) > 1000
+    interface = f"export interface I extends {many} {{\n{DOC}\nload(id: string): void\n{DOC}\nlast(): Map<string, () => void>\n}}\n"
+    got = found(spark, ("a", "typescript", "class K {\n" + LONG + "}\n"), ("b", "typescript", interface), ("c", "typescript", "x = {" + "\n" * 900 + LONG + "}"))
+    assert got == [("a", "far"), ("b", "last"), ("b", "load"), ("c", "far")]
+
+
+def test_members_without_a_semicolon_and_types_of_functions():
+    text = f"""abstract class K extends mixin({{ a: 1 }}) {{
+    abstract one(x: string): (a: number) => void
+    two?(a): {{ b: string }} | null
+    abstract three()
+    private value = compute(1)
+    other =
+        compute(2)
+    handler = () =>
+        compute(3)
+    'quoted key'(a) {{ return a ? call(b) : call(c) }}
+    four(): Promise<Array<{{ x: number }}>> {{ return 1 }}
+}}
+type T = {{ five(a: string): asserts a is string, six(): void }}
+export default defineComponent({{ 'seven': function (a) {{}}, eight: wrap(a) }})
+const n = a
+    ? call(b)
+    : call(c)
+"""
+    assert sorted(names(text, "typescript")) == sorted(["one", "two", "three", "quoted key", "four", "five", "six", "seven", "handler"])
+
+
 def test_vue_scripts_alone_count(spark):
     vue = f"<template>\n<p>don't `{DOC}\nfoo(a) {{ }}</p>\n</template>\n<script>\nexport default {{\n{DOC}\nrun() {{}},\n}};\n</script>\n<style>{DOC} .a(b) {{}}</style>"
     assert found(spark, ("p", "vue", vue)) == [("p", "run")]
@@ -113,7 +149,10 @@ def test_vue_scripts_alone_count(spark):
         ("Auto-generated method stub, documentation has to be written later", "f", True), ("Hier fehlt noch eine Beschreibung dieser Methode", "f", True),
         ("For the description see the parent class or its interface", "f", True), ("[Insert a short description of this function here]", "f", True),
         ("This function is not documented yet, please add a description", "f", True), ("TODO: describe. The sorted cart must render every price.", "f", False),
-        ("The inherited cart must render every missing price", "f", False),
+        ("The inherited cart must render every missing price", "f", False), ("Returns the description of the parent product", "f", False),
+        ("Builds the auto-generated promotion code of an order", "f", False), ("Placeholder values are replaced by the renderer", "f", False),
+        ("Please document this function later on, it is still undocumented", "f", True), ("Documentation for this method will follow in a later release", "f", True),
+        ("Die Dokumentation dieser Funktion wird noch nachgetragen, bitte ergänzen", "f", True), ("A comment is required for every rejected order", "f", False),
     ],
 )
 def test_trivial(text, name, trivial):
