@@ -1,21 +1,32 @@
 """New batches checked for repetition against everything accepted before.
 
 The store holds an index of what was accepted: keys (hashes of identifiers, checksums and word
-sequences), texts as word hashes, and *segments*. A near copy of a text of n words differs from it
-by at most ``n // (EVERY - 1)`` edits. The text is cut into segments of the same number of words;
-each edit spoils one of them, so of any choice of one segment more than that, one stands unedited
-in every near copy, not far from its own place. The store keeps that many, the rarest ones, so
-phrases that a great share of all texts repeat don't make candidates. A new text probes the
-segments with its own word runs; bounds on position and length and a parity sketch of the words
-(each edit changes at most two of its bits) select the pairs worth verifying, and a bounded edit
-distance decides. Texts of the history are never read again as texts.
-
-Rows of a delivery are judged in order, and only what an *accepted* earlier row holds counts. Rows
-that repeat nothing of the store are taken in a few parts of growing size, in order; what a part
-accepts is held for the next. Within a part, links are found at the level of distinct word
-sequences; then rounds decide every row that has no undecided earlier link, until none is left.
-The number of rounds is the longest chain of links, not the number of rows or batches. Accepted
-rows are appended to the store.
+sequences), texts as word hashes, and *segments* for edit distance. Texts fall into classes of
+lengths; each class has a fixed number of segments of a fixed width, at fixed places: the first
+half counted from the text's begin, the others from its end. A near copy of a text of n words
+differs from it by at most ``n // (EVERY - 1)`` edits, and each edit spoils one segment, so of any
+choice of one segment more than that, one stands unedited in every near copy; and the i-th of a
+half with at most i edits on its side, so at most i words from its own place. The store keeps that
+many, the rarest ones of the store as a whole (its counts are kept), so phrases that a great share
+of all texts repeat don't make candidates. A segment's hash takes in its class and number.
+
+A new text probes the classes its near copies can have, and of each number only the word runs
+within the window of places where that segment can stand. Bounds on place and length and a parity
+sketch of the words (each edit changes at most two of its bits) select the pairs worth verifying,
+and a bounded edit distance decides. Segments of very long texts are numbered in groups, so probes
+stay in proportion to the words.
+
+The store's tables are bucketed by the hash they are looked up by, so a delivery is shuffled to
+the buckets and hashed there, and the history is scanned where it lies: it is neither shuffled nor
+sorted. All that a delivery appends is published by one marker file; a delivery that was cut off is
+not seen, and what it left is overwritten when it is sent again.
+
+Rows are judged by delivery, and within one in order; only what an *accepted* earlier row holds
+counts. A delivery is judged in parts of growing size, each of which is appended for the next, so
+of a great many near copies within it only those of the part in which the first of them stands are
+linked with each other. Within a part, links are found at the level of distinct word sequences;
+then rounds decide every row that has no undecided earlier link, until none is left. The number
+of rounds is the longest chain of links, not the number of rows.
 
 Defined results
     * a missing content_sha follows from the content; a row without content is judged by its
@@ -28,7 +39,9 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,8 +52,33 @@ from tagtrail.plans.work import materialise
 
 #: One edit is allowed for so many words of the longer text.
 EVERY = 10
-#: Rows of a delivery's first part, and how much larger each next part is.
-FIRST, GROWTH = 2048, 16
+#: Rows of a delivery's first part, how much larger each next part is, and most rows of a part that is hashed in memory.
+FIRST, GROWTH, SMALL = 4096, 16, 1 << 17
+#: Fewest buckets of the store, and keys of a bucket when it is laid out.
+BUCKETS, PER_BUCKET = 8, 1 << 20
+#: Segments of a class that are numbered one by one.
+NUMBERED = 32
+
+
+def _bases() -> list[int]:
+    """The least length of each class: steps of nine words, then of about a quarter."""
+    out = [9]
+    while out[-1] < 1 << 30:
+        out.append(out[-1] + 9 if out[-1] < 54 else -(-out[-1] * 5 // 36) * 9)
+    return out
+
+
+_BASES = _bases()
+_WIDTHS = [4 if b < 36 else 5 for b in _BASES]
+_NUMBERS = [b // w for b, w in zip(_BASES, _WIDTHS, strict=True)]
+
+
+def _class_of(n: Column) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, _BASES)), lambda b: b <= n)) - 1
+
+
+def _of_class(values: list[int], number: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), number)
 
 
 def words(content: Column | str) -> Column:
@@ -52,16 +90,11 @@ def _text_columns(rows: DataFrame) -> DataFrame:
     """Adds ``cls`` (digest of the word sequence, null without words) and ``codes`` (its word hashes)."""
     cut = rows.withColumn("_w", words("content"))
     return cut.withColumns({
-        "cls": F.when(F.size("_w") > 0, F.md5(F.array_join("_w", " "))),
+        "cls": F.when(F.size("_w") > 0, F.unhex(F.md5(F.array_join("_w", " ")))),
         "codes": F.transform("_w", lambda w: F.xxhash64(w)),
     }).drop("_w", "content")
 
 
-def _width(n: Column) -> Column:
-    """Words of each segment of a text of n words; always leaves more segments than there may be edits."""
-    return F.when(n < 36, 4).when(n < 54, 5).otherwise(6)
-
-
 def _edits(n: Column) -> Column:
     """Most edits between a text of n words and a near copy of any length."""
     return F.floor(n / (EVERY - 1)).cast("int")
@@ -75,35 +108,76 @@ def _parity(half: int) -> Column:
     return F.aggregate("codes", zero, lambda acc, c: F.when(mine(c), acc.bitwiseXOR(bit(c))).otherwise(acc))
 
 
+def _laid_out(number: Column, group: Column) -> Column:
+    """The number a segment is looked up by; those of the second half are counted from the end, from -1 downwards."""
+    return F.when(number >= 0, F.floor(number / group)).otherwise(-1 - F.floor((-1 - number) / group)).cast("int")
+
+
 def segments(texts: DataFrame) -> DataFrame:
-    """(h, width, number, n, p0, p1, cls, *rest) of texts (cls, codes, *rest): the rarest segments of each text."""
-    rest = [c for c in texts.columns if c not in ("cls", "codes")]
-    sized = texts.withColumns({"n": F.size("codes"), "p0": _parity(0), "p1": _parity(1)}).filter(F.col("n") >= EVERY - 1)
-    sized = sized.withColumn("width", _width(F.col("n")))
-    numbers = F.sequence(F.lit(0), (F.col("n") / F.col("width")).cast("int") - 1)
-    cut = F.transform(numbers, lambda i: F.xxhash64(F.slice("codes", i * F.col("width") + 1, F.col("width"))))
-    every = sized.select(F.posexplode(cut).alias("number", "h"), "width", "n", "p0", "p1", "cls", *rest)
-    every = materialise(every, "segments")
-    often = every.groupBy("h").agg(F.count("*").alias("often"))
-    rarest = Window.partitionBy("cls").orderBy("often", "number")
+    """(h, number, place, n, p0, p1, cls) of texts (cls, codes): every segment of every text."""
+    sized = texts.select("cls", "codes", F.size("codes").alias("n"), _parity(0).alias("p0"), _parity(1).alias("p1")).filter(
+        F.col("n") >= EVERY - 1
+    )
+    sized = sized.withColumn("class", _class_of(F.col("n"))).withColumns(
+        {"width": _of_class(_WIDTHS, F.col("class")), "count": _of_class(_NUMBERS, F.col("class"))}
+    )
+    width, count = F.col("width"), F.col("count")
+    half = F.ceil(count / 2).cast("int")
+    cut = F.transform(
+        F.sequence(F.lit(0), count - 1),
+        lambda i: F.struct(
+            F.when(i < half, i).otherwise(half - 1 - i).alias("number"),
+            F.when(i < half, i * width).otherwise(F.col("n") - (i - half + 1) * width).alias("place"),
+        ),
+    )
+    group = F.greatest(F.lit(1), F.floor(count / NUMBERED).cast("int"))
+    run = F.xxhash64(F.slice("codes", F.col("s.place") + 1, width))
+    h = F.xxhash64(run, "class", _laid_out(F.col("s.number"), group))
+    return sized.select("*", F.explode(cut).alias("s")).select(h.alias("h"), "s.number", "s.place", "n", "p0", "p1", "cls")
+
+
+def rarest(every: DataFrame, often: DataFrame) -> DataFrame:
+    """Of all segments those that are kept: one more than the possible edits of each text, the rarest by ``often`` (h, often)."""
+    order = Window.partitionBy("cls").orderBy("often", "number")
     return (
-        every.join(often, "h").withColumn("place_", F.row_number().over(rarest))
+        every.join(often, "h").withColumn("place_", F.row_number().over(order))
         .filter(F.col("place_") <= _edits(F.col("n")) + 1).drop("often", "place_")
     )
 
 
 def probes(texts: DataFrame) -> DataFrame:
-    """(h, width, place, m, q0, q1, q, *rest): the runs of words of each text that a segment may equal."""
+    """(h, at, m, q0, q1, q, *rest): the word runs of each text that a segment may equal, by the numbers it may have."""
     rest = [c for c in texts.columns if c not in ("cls", "codes")]
-    m = F.col("m")
+    m, at, width, delta = (F.col(c) for c in ("m", "at", "width", "delta"))
     shortest = F.greatest(m - F.floor(m / EVERY).cast("int"), F.lit(EVERY - 1))
-    widths = F.array_distinct(F.transform(F.sequence(shortest, m + _edits(m)), _width))
-    by_width = (
-        texts.withColumns({"m": F.size("codes"), "q0": _parity(0), "q1": _parity(1)}).filter(m >= EVERY - 1)
-        .select("cls", "codes", "m", "q0", "q1", *rest, F.explode(widths).alias("width")).filter(F.col("width") <= m)
+    longest = m + _edits(m)
+    by_class = (
+        texts.select(F.col("cls").alias("q"), "codes", *rest, F.size("codes").alias("m"), _parity(0).alias("q0"), _parity(1).alias("q1"))
+        .filter(m >= EVERY - 1)
+        .withColumn("class", F.explode(F.sequence(_class_of(shortest), _class_of(longest))))
+        .withColumns({"width": _of_class(_WIDTHS, F.col("class")), "count": _of_class(_NUMBERS, F.col("class"))})
+        .filter(width <= m)
+    )
+    above = _of_class([*_BASES[1:], 1 << 31], F.col("class")) - 1
+    by_class = by_class.withColumn("delta", F.floor(F.greatest(m, F.least(above, longest)) / EVERY).cast("int"))
+    runs = F.transform(F.sequence(F.lit(0), m - width), lambda p: F.xxhash64(F.slice("codes", p + 1, width)))
+    placed = by_class.select("q", *rest, "m", "q0", "q1", "class", "width", "count", "delta", F.posexplode(runs).alias("at", "run"))
+    group = F.greatest(F.lit(1), F.floor(F.col("count") / NUMBERED).cast("int"))
+    none = F.array().cast("array<int>")
+
+    def numbers(gone: Column, of_half: Column) -> Column:
+        """The numbers of segments that may stand ``gone`` words from their side's end."""
+        down = lambda a, b: F.floor(a / b).cast("int")
+        low = F.greatest(down(gone + width, width + 1), down(gone - delta + width - 1, width), F.lit(0))
+        high = F.least(down(gone, width - 1), down(gone + delta, width), of_half - 1)
+        return F.when(low <= high, F.sequence(down(low, group), down(high, group))).otherwise(none)
+
+    half = F.ceil(F.col("count") / 2).cast("int")
+    left = numbers(at, half)
+    right = F.transform(numbers(m - width - at, F.col("count") - half), lambda g: -1 - g)
+    return placed.select("q", *rest, "m", "q0", "q1", "class", "at", "run", F.explode(F.concat(left, right)).alias("number")).select(
+        F.xxhash64("run", "class", "number").alias("h"), "at", "m", "q0", "q1", "q", *rest
     )
-    runs = F.transform(F.sequence(F.lit(0), m - F.col("width")), lambda p: F.xxhash64(F.slice("codes", p + 1, F.col("width"))))
-    return by_width.select(F.posexplode(runs).alias("place", "h"), "width", "m", "q0", "q1", F.col("cls").alias("q"), *rest)
 
 
 def within(a: list[int], b: list[int], limit: int) -> bool:
@@ -149,149 +223,202 @@ def _verify(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.loc[near, ["q", "cls", "held"]]
 
 
-def near_pairs(queries: DataFrame, index: DataFrame, texts: DataFrame) -> DataFrame:
-    """(q, cls, held): word sequences of ``queries`` (cls, codes, rank) and near ones of the index.
+def _verify(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in pairs:
+        near = [
+            within(a.tolist(), b.tolist(), max(len(a), len(b)) // EVERY)
+            for a, b in zip(rows["q_codes"], rows["c_codes"], strict=True)
+        ]
+        yield rows.loc[near, ["q", "cls"]]
 
-    ``index``: segments with ``held`` and ``rank``; of those not held, only ones of a lesser rank
-    are paired. ``texts``: (cls, codes) of what the index holds.
-    """
-    runs = probes(queries).withColumnRenamed("rank", "q_rank")
-    shift = F.col("place") - F.col("number") * F.col("width")
-    longer = F.col("m") - F.col("n")
+
+def _hashed(rows: DataFrame, small: bool) -> DataFrame:
+    """The side of a delivery: hashed in each bucket if it is small, so that the other side need not be sorted."""
+    return rows.hint("shuffle_hash" if small else "merge")
+
+
+def near_pairs(
+    runs: DataFrame, queries: DataFrame, index: DataFrame, texts: DataFrame, small: bool = True, extra: Column | None = None
+) -> DataFrame:
+    """(q, cls): word sequences of ``queries`` (cls, codes), which probe by ``runs``, and near ones of the index of ``texts`` (cls, codes)."""
+    shift, longer = F.col("at") - F.col("place"), F.col("m") - F.col("n")
     limit = F.floor(F.greatest("m", "n") / EVERY)
     flips = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")))
-    fits = (
-        (F.abs(shift) + F.abs(longer - shift) <= limit) & (flips <= 2 * limit)
-        & (F.col("held") | (F.col("rank") < F.col("q_rank")))
-    )
-    candidates = runs.join(index, ["h", "width"]).filter(fits).select("q", "cls", "held").distinct()
+    fits = (F.abs(shift) + F.abs(longer - shift) <= limit) & (flips <= 2 * limit)
+    found = index.join(_hashed(runs, small), "h").filter(fits if extra is None else fits & extra)
+    candidates = found.select("q", "cls").distinct()
     with_q = candidates.join(queries.select(F.col("cls").alias("q"), F.col("codes").alias("q_codes")), "q")
-    both = with_q.join(texts.select("cls", F.col("codes").alias("c_codes")), "cls")
-    return both.mapInPandas(_verify, "q string, cls string, held boolean")
+    both = texts.select("cls", F.col("codes").alias("c_codes")).join(_hashed(with_q, small), "cls")
+    return both.select("q", "cls", "q_codes", "c_codes").mapInPandas(_verify, "q binary, cls binary")
 
 
 class AcceptedIndex:
     """What was accepted so far, under ``path`` in a folder all executors share. One writer at a time."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    _KINDS = {
+    #: Columns of the store's tables; the first one is what a table is bucketed by.
+    KINDS = {
         "keys": "key binary",
-        "texts": "cls string, codes array<bigint>",
-        "segments": "number int, h bigint, width int, n int, p0 bigint, p1 bigint, cls string",
+        "texts": "cls binary, codes array<bigint>",
+        "segments": "h bigint, number int, place int, n int, p0 bigint, p1 bigint, cls binary",
+        "counts": "h bigint, often bigint",
     }
 
-    def _table(self, name: str) -> DataFrame:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return self.spark.createDataFrame([], self._KINDS[name])
-        return self.spark.read.schema(self._KINDS[name]).parquet(f"{self.path}/{name}")
-
-    def append(self, keys: DataFrame, texts: DataFrame) -> None:
-        """Take in keys (key) and texts (cls, codes); repeated ones do no harm."""
-        keys.select("key").distinct().write.mode("append").parquet(f"{self.path}/keys")
-        new = texts.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.first("codes").alias("codes"))
-        distinct = materialise(new, "accepted-texts")
-        distinct.write.mode("append").parquet(f"{self.path}/texts")
-        segments(distinct).select("number", "h", "width", "n", "p0", "p1", "cls").write.mode("append").parquet(f"{self.path}/segments")
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.names = spark, path.rstrip("/"), {}
+
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{path}")
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _listed(self, folder: str) -> list[int]:
+        at, fs = self._fs(folder)
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _mark(self, name: str) -> None:
+        at, fs = self._fs(name)
+        fs.create(at, False).close()
+
+    def published(self) -> list[int]:
+        """Numbers of the published appends."""
+        return self._listed("published")
+
+    def _open(self, expected: int = 0) -> None:
+        """Make the store's tables known to the session; a new store is laid out for so many keys."""
+        if self.names:
+            return
+        if not (laid_out := self._listed("buckets")):
+            laid_out = [max(BUCKETS, -(-expected // PER_BUCKET))]
+            self._mark(f"buckets/{laid_out[0]}")
+        run = uuid.uuid4().hex
+        for kind, columns in self.KINDS.items():
+            name = f"tagtrail_{kind}_{run}"
+            by = columns.split()[0]
+            self.spark.sql(
+                f"CREATE TABLE {name} ({columns}, append int) USING parquet PARTITIONED BY (append) "
+                f"CLUSTERED BY ({by}) INTO {laid_out[0]} BUCKETS LOCATION '{self.path}/{kind}'"
+            )
+            if self.published():
+                self.spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+            self.names[kind] = name
+        self.buckets = laid_out[0]
+
+    def _table(self, kind: str) -> DataFrame:
+        """What was published of a table."""
+        return self.spark.table(self.names[kind]).filter(F.col("append").isin(self.published())).drop("append")
+
+    def append(self, keys: DataFrame, texts: DataFrame, kept: DataFrame, counts: DataFrame) -> None:
+        """Take in and publish keys (key), texts (cls, codes), their kept segments, and counts of all their segments."""
+        self._open()
+        number = (self.published() or [0])[-1] + 1
+
+        def write(kind: str, rows: DataFrame) -> None:
+            by = self.KINDS[kind].split()[0]
+            view = f"tagtrail_rows_{uuid.uuid4().hex}"
+            columns = [c.split()[0] for c in self.KINDS[kind].split(", ")]
+            rows.select(*columns).repartition(self.buckets, by).createOrReplaceTempView(view)
+            self.spark.sql(f"INSERT OVERWRITE TABLE {self.names[kind]} PARTITION (append = {number}) SELECT * FROM {view}")
+            self.spark.catalog.dropTempView(view)
+
+        with ThreadPoolExecutor(len(self.KINDS)) as pool:  # four small writes beside each other
+            list(pool.map(write, self.KINDS, (keys, texts, kept, counts)))
+        self._mark(f"published/{number}")
+
+    def _often(self, every: DataFrame, small: bool = True) -> DataFrame:
+        """(h, often): how often segments stand in the store and among the given ones."""
+        own = every.groupBy("h").agg(F.count("*").alias("often"))
+        held = self._table("counts").join(_hashed(own.select("h"), small), "h")
+        return held.unionByName(own).groupBy("h").agg(F.sum("often").alias("often"))
 
     def load(self, keys: DataFrame, contents: DataFrame) -> None:
         """The history: keys (see :func:`point_key`, :func:`sha_key`) and a table with the column content."""
         texts = _text_columns(contents.select("content").filter("content is not null"))
-        texts = materialise(texts.filter("cls is not null"), "history-texts")
-        keys = keys.select("key").filter("key is not null")
-        self.append(keys.unionByName(texts.select(text_key(F.col("cls")).alias("key"))), texts)
+        texts = texts.filter("cls is not null").groupBy("cls").agg(F.first("codes").alias("codes"))
+        texts = materialise(texts, "history-texts")
+        keys = keys.select("key").filter("key is not null").unionByName(texts.select(F.col("cls").alias("key")))
+        keys = materialise(keys.distinct(), "history-keys")
+        self._open(keys.count())
+        every = materialise(segments(texts), "history-segments")
+        counts = every.groupBy("h").agg(F.count("*").alias("often"))
+        self.append(keys, texts, rarest(every, self._often(every, small=False)), counts)
 
     def judge(self, rows: DataFrame) -> DataFrame:
         """(row_id) of the rows found to repeat something; the others are accepted and appended.
 
-        ``rows``: row_id, batch_no, point_id, content_sha, content; judged by batch_no, then row_id.
+        ``rows``: row_id, batch_no, point_id, content_sha, content; each batch_no is a delivery, judged
+        by row_id. The number of deliveries is the length of a driver's loop.
         """
+        self._open()
         sha = F.coalesce("content_sha", F.sha2("content", 256))
-        read = _text_columns(rows.select(
-            "row_id", F.struct("batch_no", "row_id").alias("rank"), "point_id", sha.alias("content_sha"), "content"
-        ))
-        keys = F.array_compact(F.array(point_key(F.col("point_id")), sha_key(F.col("content_sha")), text_key(F.col("cls"))))
-        read = materialise(read.withColumn("keys", keys).drop("point_id", "content_sha"), "delivery")
-        repeated = read.select("row_id", F.explode("keys").alias("key")).join(self._table("keys"), "key", "left_semi")
-        unheld = materialise(read.join(repeated.select("row_id").distinct(), "row_id", "left_anti"), "delivery-unheld")
-        classes = _classes(unheld)
-        held = self._table("segments").withColumns({"held": F.lit(True), "rank": F.lit(None).cast(unheld.schema["rank"].dataType)})
-        beside = near_pairs(classes, held, self._table("texts")).select(F.col("q").alias("cls")).distinct()
-        new = materialise(unheld.join(beside, "cls", "left_anti"), "delivery-new")
-        taken: list[DataFrame] = []
-        for part in _parts(new):
-            taken.append(materialise(part.join(_accepted_of(part, taken), "row_id", "left_semi"), "delivery-accepted"))
-        accepted = _union(taken) if taken else new
-        self.append(accepted.select(F.explode("keys").alias("key")), accepted.select("cls", "codes"))
-        return read.select("row_id").join(accepted.select("row_id"), "row_id", "left_anti")
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _classes(rows: DataFrame) -> DataFrame:
-    """(cls, rank, codes): the distinct word sequences of rows, each with its first rank."""
-    found = rows.filter("cls is not null").groupBy("cls").agg(F.min("rank").alias("rank"), F.first("codes").alias("codes"))
-    return materialise(found, "delivery-texts")
-
-
-def _parts(rows: DataFrame) -> list[DataFrame]:
-    """Rows in parts of growing size, in order of rank: about ``FIRST`` rows, then ``GROWTH`` times as many, and so on.
-
-    What a part accepts is held for the next, so of a great many near copies only those of the part
-    in which the first of them stands are linked with each other. Bounds come from a bounded sample.
+        read = _text_columns(rows.select("row_id", "batch_no", "point_id", sha.alias("content_sha"), "content"))
+        keys = F.array_compact(F.array(point_key(F.col("point_id")), sha_key(F.col("content_sha")), F.col("cls")))
+        read = materialise(read.withColumn("keys", keys).drop("point_id", "content_sha"), "deliveries")
+        accepted: list[DataFrame] = []
+        sizes = read.groupBy("batch_no").count().collect()  # one row per delivery
+        for number, count in sorted(sizes, key=lambda r: (r[0] is not None, r[0])):
+            delivery = read.filter(F.col("batch_no").eqNullSafe(F.lit(number))).drop("batch_no")
+            accepted += [self._judge_part(part, size <= SMALL) for part, size in _parts(delivery, count)]
+        if not accepted:
+            return read.select("row_id")
+        ids = accepted[0]
+        for more in accepted[1:]:
+            ids = ids.unionByName(more)
+        return read.select("row_id").join(ids, "row_id", "left_anti")
+
+    def _judge_part(self, part: DataFrame, small: bool) -> DataFrame:
+        """(row_id) of the accepted rows of a part (row_id, cls, codes, keys), which are appended."""
+        asked = part.select("row_id", F.explode("keys").alias("key"))
+        repeated = self._table("keys").join(_hashed(asked, small), "key").select("row_id").distinct()
+        unheld = materialise(part.join(repeated, "row_id", "left_anti"), "unheld")
+        classes = unheld.filter("cls is not null").groupBy("cls").agg(F.min("row_id").alias("first"), F.first("codes").alias("codes"))
+        every = materialise(segments(classes), "part-segments")
+        kept = materialise(rarest(every, self._often(every, small)), "part-kept")
+        texts = classes.select("cls", "codes")
+        runs = materialise(probes(classes), "part-probes")
+        beside = near_pairs(runs.drop("first"), texts, self._table("segments"), self._table("texts"), small).select("q", "cls", F.lit(True).alias("held"))
+        own = kept.join(classes.select("cls", F.col("first").alias("before")), "cls")
+        within_part = near_pairs(runs, texts, own, texts, small, F.col("before") < F.col("first")).select("q", "cls", F.lit(False).alias("held"))
+        near = materialise(beside.unionByName(within_part), "part-near")
+        undecided = unheld.join(near.filter("held").select(F.col("q").alias("cls")).distinct(), "cls", "left_anti")
+        links = near.filter("not held").select("q", F.col("cls").alias("other"))
+        links = links.unionByName(links.select(F.col("other").alias("q"), F.col("q").alias("other")))
+        rank = F.col("row_id").alias("rank")
+        mine = undecided.select("row_id", rank, "cls", F.explode("keys").alias("key"))
+        linked = undecided.select("row_id", rank, "cls").join(links.withColumnRenamed("q", "cls"), "cls")
+        heard = mine.drop("cls").unionByName(linked.select("row_id", "rank", F.col("other").alias("key")))
+        taken = first_accepted(
+            undecided.select("row_id", rank), materialise(mine.select("row_id", "key"), "part-keys"), materialise(heard, "part-heard")
+        )
+        accepted = unheld.join(taken, "row_id", "left_semi")
+        new = accepted.filter("cls is not null").select("cls").distinct()
+        counts = every.join(new, "cls", "left_semi").groupBy("h").agg(F.count("*").alias("often"))
+        self.append(
+            accepted.select(F.explode("keys").alias("key")).distinct(), texts.join(new, "cls", "left_semi"), kept.join(new, "cls", "left_semi"), counts
+        )
+        return taken
+
+
+def _parts(rows: DataFrame, count: int) -> list[tuple[DataFrame, int]]:
+    """Rows in parts of growing size, in order of row_id: about ``FIRST`` rows, then ``GROWTH`` times as many, and so on.
+
+    With each part goes about how many rows it has. Bounds come from a bounded sample, of about ``8 * FIRST`` numbers.
     """
-    count = rows.count()
-    if not count:
-        return []
-    seen = rows.sample(min(1.0, 8 * FIRST / count), 5).select("rank.*").collect()  # about 8 * FIRST numbers
-    seen.sort(key=lambda r: [(x is not None, x) for x in r])
-    kinds = [f.dataType for f in rows.schema["rank"].dataType.fields]
+    if count <= FIRST:
+        return [(rows, count)] if count else []
+    seen = sorted(r[0] for r in rows.sample(min(1.0, 8 * FIRST / count), 5).select("row_id").filter("row_id is not null").collect())
     bounds, upto, size = [], FIRST, FIRST
     while upto < count and seen:
-        at = seen[min(len(seen) - 1, int(upto / count * len(seen)))]
-        bounds.append(F.struct(*[F.lit(x).cast(k).alias(n) for x, k, n in zip(at, kinds, ("batch_no", "row_id"), strict=True)]))
+        bounds.append(seen[min(len(seen) - 1, int(upto / count * len(seen)))])
         size *= GROWTH
         upto += size
-    edges = [None, *bounds, None]
+    edges, size = [None, *dict.fromkeys(bounds), None], FIRST
     parts = []
     for low, high in zip(edges, edges[1:], strict=False):
-        part = rows if low is None else rows.filter(F.col("rank") > low)
-        parts.append(part if high is None else part.filter(F.col("rank") <= high))
+        part = rows if low is None else rows.filter(F.col("row_id") > low)
+        parts.append((part if high is None else part.filter(F.col("row_id") <= high), min(size, count)))
+        size *= GROWTH
     return parts
 
 
-def _accepted_of(part: DataFrame, taken: list[DataFrame]) -> DataFrame:
-    """(row_id) of the rows of a part that repeat nothing of ``taken`` and no accepted earlier row of the part."""
-    if taken:
-        before = _union(taken)
-        known = before.select(F.explode("keys").alias("key")).distinct()
-        repeated = part.select("row_id", F.explode("keys").alias("key")).join(known, "key", "left_semi").select("row_id").distinct()
-        part = materialise(part.join(repeated, "row_id", "left_anti"), "part")
-    classes = _classes(part)
-    index, texts = segments(classes).withColumn("held", F.lit(False)), classes.select("cls", "codes")
-    if taken:
-        accepted = _classes(before)
-        index = index.unionByName(segments(accepted).withColumn("held", F.lit(True)))
-        texts = texts.unionByName(accepted.select("cls", "codes"))
-    near = materialise(near_pairs(classes, index, texts), "part-near")
-    undecided = part.join(near.filter("held").select(F.col("q").alias("cls")).distinct(), "cls", "left_anti")
-    links = near.filter("not held").select("q", F.col("cls").alias("other"))
-    links = links.unionByName(links.select(F.col("other").alias("q"), F.col("q").alias("other")))
-    own = undecided.select("row_id", "rank", "cls", F.explode("keys").alias("key"))
-    linked = undecided.select("row_id", "rank", "cls").join(links.withColumnRenamed("q", "cls"), "cls")
-    heard = own.drop("cls").unionByName(linked.select("row_id", "rank", text_key(F.col("other")).alias("key")))
-    return first_accepted(
-        undecided.select("row_id", "rank"), materialise(own.select("row_id", "key"), "part-keys"), materialise(heard, "part-heard")
-    )
-
-
 def _key(kind: str, value: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.lit(kind), value)))
 
@@ -304,8 +431,3 @@ def point_key(point_id: Column) -> Column:
 def sha_key(sha: Column) -> Column:
     """The key of a checksum, as 16 bytes."""
     return _key("s:", sha)
-
-
-def text_key(cls: Column) -> Column:
-    """The key of a word sequence, as 16 bytes."""
-    return _key("w:", cls)

@@ -16,7 +16,7 @@ REGISTRY = Registry()
 
 @REGISTRY.add("p2_found")
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    """Index of the history, then all batches in order: rows found to repeat something."""
+    """Index of the history, then the batches as deliveries, one after another: rows found to repeat something."""
     sha = reading.content_sha("content_sha")
     says_something = sha.isNotNull() & (F.btrim("file_path", F.lit(reading.BLANKS)) != "")
     both = F.array(batch_dedup.point_key(F.col("point_id")), batch_dedup.sha_key(sha))

@@ -16,7 +16,7 @@ def first_accepted(rows: DataFrame, keys: DataFrame, heard: DataFrame) -> DataFr
     chain. Keys are aggregated before the shuffle, so a key of a great share of all rows is one row
     per task. Ranks are distinct and not null.
     """
-    state = materialise(rows.select("row_id", "rank", F.lit(0).alias("verdict")), "verdicts")  # 1 accepted, 2 not
+    state = rows.select("row_id", "rank", F.lit(0).alias("verdict"))  # 1 accepted, 2 not
     while True:
         holders = keys.join(state.filter("verdict < 2").select("row_id", "rank", "verdict"), "row_id").groupBy("key").agg(
             F.min(F.when(F.col("verdict") == 1, F.col("rank"))).alias("sure"),

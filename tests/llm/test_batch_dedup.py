@@ -126,3 +126,60 @@ def test_parts_of_a_delivery_change_nothing(spark, monkeypatch):
     held, batch = case(7, 40)
     batch = [(r[0], None if r[1] == 0 else r[1], *r[2:]) for r in batch]  # a missing batch number comes first
     assert judged(spark, loaded(spark, held), batch) == loop(held, [(r[0], -1 if r[1] is None else r[1], *r[2:]) for r in batch])
+
+
+def test_every_near_copy_is_a_candidate():
+    """Of every choice of segments one is probed by each near copy, at any length and in any order of edits."""
+    from tagtrail.llm.batch_dedup import _BASES, _NUMBERS, _WIDTHS, EVERY
+
+    for base, above, number, width in zip(_BASES, _BASES[1:], _NUMBERS, _WIDTHS, strict=False):
+        assert number * width <= base and number >= (above - 1) // (EVERY - 1) + 1
+
+
+def test_segments_meet_their_near_copies(spark):
+    from tagtrail.llm.batch_dedup import _text_columns, near_pairs, probes, rarest, segments
+
+    rng = random.Random(11)
+    rows, want = [], set()
+    for i, n in enumerate([9, 10, 17, 18, 26, 27, 35, 36, 54, 71, 72, 100, 140, 350, 700]):
+        a = " ".join(f"w{i}x{rng.randrange(40)}" for _ in range(n))
+        for j in range(3):
+            b = edited(rng, a, n // 10)
+            rows.append((f"{i}a{j}", a if j else "!", b))
+            if distance(words(a), words(b)) <= max(len(words(a)), len(words(b))) // 10 and words(a) != words(b) and len(words(b)) >= 9:
+                want.add((" ".join(words(b)), " ".join(words(a))))
+    names = {w: None for pair in want for w in pair}
+    cut = lambda texts: _text_columns(spark.createDataFrame([(t, t) for t in texts], "name string, content string"))
+    asked, held = cut({q for q, _ in want}), cut({c for _, c in want})
+    every = segments(held)
+    kept = rarest(every, every.groupBy("h").agg(F.count("*").alias("often")))
+    found = near_pairs(probes(asked.select("cls", "codes")), asked.select("cls", "codes"), kept, held.select("cls", "codes"))
+    digest = {bytes(hashlib.md5(w.encode()).digest()): w for w in names}
+    got = {(digest[bytes(r["q"])], digest[bytes(r["cls"])]) for r in found.collect()}
+    assert want <= got and len(want) > 20
+
+
+def test_an_append_that_was_cut_off_is_not_seen(spark, monkeypatch):
+    held, batch = case(8, 40)
+    index = loaded(spark, held)
+    before = index.published()
+    mark = AcceptedIndex._mark
+    monkeypatch.setattr(AcceptedIndex, "_mark", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    try:
+        judged(spark, index, batch)
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(AcceptedIndex, "_mark", mark)
+    again = AcceptedIndex(spark, index.path)
+    assert again.published() == before and judged(spark, again, batch) == loop(held, batch)
+
+
+def test_the_history_is_not_shuffled(spark):
+    held, batch = case(9, 20)
+    index = loaded(spark, held)
+    asked = spark.createDataFrame([(bytes(16),)], "key binary")
+    from tagtrail.llm.batch_dedup import _hashed
+
+    for small in (True, False):
+        plan = index._table("keys").join(_hashed(asked, small), "key")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and ("ShuffledHashJoin" in plan) == small
