@@ -22,9 +22,10 @@ sorted. All that a delivery appends is published by one marker file; a delivery
 not seen, and what it left is overwritten when it is sent again.
 
 Rows are judged by delivery, and within one in order; only what an *accepted* earlier row holds
-counts. A delivery is judged in parts of growing size, each of which is appended for the next, so
-of a great many near copies within it only those of the part in which the first of them stands are
-linked with each other. Within a part, links are found at the level of distinct word sequences;
+counts. Small deliveries that follow one another are judged together, up to ``FIRST`` rows; a larger
+one is judged in parts of growing size. Each part is appended for the next, so of a great many near
+copies in a delivery only those of the part in which the first of them stands are linked with each
+other. Within a part, links are found at the level of distinct word sequences;
 then rounds decide every row that has no undecided earlier link, until none is left. The number
 of rounds is the longest chain of links, not the number of rows.
 
@@ -53,7 +54,7 @@ from tagtrail.plans.work import materialise
 #: One edit is allowed for so many words of the longer text.
 EVERY = 10
 #: Rows of a delivery's first part, how much larger each next part is, and most rows of a part that is hashed in memory.
-FIRST, GROWTH, SMALL = 4096, 16, 1 << 17
+FIRST, GROWTH, SMALL = 8192, 16, 1 << 17
 #: Fewest buckets of the store, and keys of a bucket when it is laid out.
 BUCKETS, PER_BUCKET = 8, 1 << 20
 #: Segments of a class that are numbered one by one.
@@ -73,12 +74,17 @@ _WIDTHS = [4 if b < 36 else 5 for b in _BASES]
 _NUMBERS = [b // w for b, w in zip(_BASES, _WIDTHS, strict=True)]
 
 
-def _class_of(n: Column) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, _BASES)), lambda b: b <= n)) - 1
+_ABOVE = [*(b - 1 for b in _BASES[1:]), (1 << 31) - 1]
 
 
-def _of_class(values: list[int], number: Column) -> Column:
-    return F.get(F.array(*map(F.lit, values)), number)
+def _class_of(n: str) -> str:
+    """SQL of the class of a length."""
+    return f"(size(filter(array({', '.join(map(str, _BASES))}), b -> b <= {n})) - 1)"
+
+
+def _of_class(values: list[int]) -> Column:
+    """What is given for each class, of the column ``class``."""
+    return F.expr(f"array({', '.join(map(str, values))})[class]")
 
 
 def words(content: Column | str) -> Column:
@@ -102,81 +108,73 @@ def _edits(n: Column) -> Column:
 
 def _parity(half: int) -> Column:
     """64 bits of the parity sketch: each word flips one bit of one half."""
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    bit = lambda c: F.call_function("shiftleft", one, c.bitwiseAND(F.lit(63)).cast("int"))
-    mine = lambda c: F.shiftrightunsigned(c, 6).bitwiseAND(F.lit(1)) == half
-    return F.aggregate("codes", zero, lambda acc, c: F.when(mine(c), acc.bitwiseXOR(bit(c))).otherwise(acc))
+    return F.expr(
+        f"aggregate(codes, 0L, (acc, c) -> IF((shiftrightunsigned(c, 6) & 1) = {half}, acc ^ shiftleft(1L, CAST(c & 63 AS int)), acc))"
+    )
+
+
+def _sized(texts: DataFrame, name: str) -> DataFrame:
+    """Texts (codes, ...) with their length under a name, their parity sketch and no shorter ones than ``EVERY - 1``."""
+    rest = [c for c in texts.columns if c != "codes"]
+    return texts.select(*rest, "codes", F.size("codes").alias(name), _parity(0).alias("x0"), _parity(1).alias("x1")).filter(
+        F.col(name) >= EVERY - 1
+    )
 
 
-def _laid_out(number: Column, group: Column) -> Column:
-    """The number a segment is looked up by; those of the second half are counted from the end, from -1 downwards."""
-    return F.when(number >= 0, F.floor(number / group)).otherwise(-1 - F.floor((-1 - number) / group)).cast("int")
+def _layout() -> dict[str, Column]:
+    """Width, count and half of the segments of a class, and how many share a number in look-ups."""
+    count = _of_class(_NUMBERS)
+    return {"width": _of_class(_WIDTHS), "count": count, "half": F.ceil(count / 2).cast("int"), "grouped": _of_class([max(1, k // NUMBERED) for k in _NUMBERS])}
 
 
 def segments(texts: DataFrame) -> DataFrame:
-    """(h, number, place, n, p0, p1, cls) of texts (cls, codes): every segment of every text."""
-    sized = texts.select("cls", "codes", F.size("codes").alias("n"), _parity(0).alias("p0"), _parity(1).alias("p1")).filter(
-        F.col("n") >= EVERY - 1
-    )
-    sized = sized.withColumn("class", _class_of(F.col("n"))).withColumns(
-        {"width": _of_class(_WIDTHS, F.col("class")), "count": _of_class(_NUMBERS, F.col("class"))}
-    )
-    width, count = F.col("width"), F.col("count")
-    half = F.ceil(count / 2).cast("int")
-    cut = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.struct(
-            F.when(i < half, i).otherwise(half - 1 - i).alias("number"),
-            F.when(i < half, i * width).otherwise(F.col("n") - (i - half + 1) * width).alias("place"),
-        ),
+    """(h, number, place, n, p0, p1, cls) of texts (cls, codes): every segment of every text.
+
+    Numbers of the second half count from the text's end, from -1 downwards.
+    """
+    sized = _sized(texts.select("cls", "codes"), "n").withColumn("class", F.expr(_class_of("n"))).withColumns(_layout())
+    cut = F.expr("""transform(sequence(0, count - 1), i -> named_struct(
+        'number', IF(i < half, i, half - 1 - i), 'place', IF(i < half, i * width, n - (i - half + 1) * width)))""")
+    placed = sized.select("*", F.explode(cut).alias("s")).select("*", "s.*")
+    laid_out = F.expr("IF(number >= 0, number div grouped, -1 - (-1 - number) div grouped)")
+    return placed.select(
+        F.xxhash64(F.expr("xxhash64(slice(codes, place + 1, width))"), "class", laid_out.cast("int")).alias("h"),
+        "number", "place", "n", F.col("x0").alias("p0"), F.col("x1").alias("p1"), "cls",
     )
-    group = F.greatest(F.lit(1), F.floor(count / NUMBERED).cast("int"))
-    run = F.xxhash64(F.slice("codes", F.col("s.place") + 1, width))
-    h = F.xxhash64(run, "class", _laid_out(F.col("s.number"), group))
-    return sized.select("*", F.explode(cut).alias("s")).select(h.alias("h"), "s.number", "s.place", "n", "p0", "p1", "cls")
 
 
-def rarest(every: DataFrame, often: DataFrame) -> DataFrame:
-    """Of all segments those that are kept: one more than the possible edits of each text, the rarest by ``often`` (h, often)."""
+def ranked(every: DataFrame, often: DataFrame) -> DataFrame:
+    """All segments with ``kept``: whether they are among those kept of their text, one more than its possible edits, the
+    rarest by ``often`` (h, often)."""
     order = Window.partitionBy("cls").orderBy("often", "number")
-    return (
-        every.join(often, "h").withColumn("place_", F.row_number().over(order))
-        .filter(F.col("place_") <= _edits(F.col("n")) + 1).drop("often", "place_")
-    )
+    return every.join(often, "h").withColumn("kept", F.row_number().over(order) <= _edits(F.col("n")) + 1).drop("often")
 
 
 def probes(texts: DataFrame) -> DataFrame:
     """(h, at, m, q0, q1, q, *rest): the word runs of each text that a segment may equal, by the numbers it may have."""
     rest = [c for c in texts.columns if c not in ("cls", "codes")]
-    m, at, width, delta = (F.col(c) for c in ("m", "at", "width", "delta"))
-    shortest = F.greatest(m - F.floor(m / EVERY).cast("int"), F.lit(EVERY - 1))
-    longest = m + _edits(m)
+    sized = _sized(texts, "m").withColumns({
+        "shortest": F.expr(f"greatest(m - m div {EVERY}, {EVERY - 1})"), "longest": F.expr(f"m + m div {EVERY - 1}")
+    })
     by_class = (
-        texts.select(F.col("cls").alias("q"), "codes", *rest, F.size("codes").alias("m"), _parity(0).alias("q0"), _parity(1).alias("q1"))
-        .filter(m >= EVERY - 1)
-        .withColumn("class", F.explode(F.sequence(_class_of(shortest), _class_of(longest))))
-        .withColumns({"width": _of_class(_WIDTHS, F.col("class")), "count": _of_class(_NUMBERS, F.col("class"))})
-        .filter(width <= m)
+        sized.withColumn("class", F.explode(F.expr(f"sequence({_class_of('shortest')}, {_class_of('longest')})")))
+        .withColumns(_layout()).filter("width <= m")
+        .withColumn("delta", F.floor(F.greatest("m", F.least(_of_class(_ABOVE), "longest")) / EVERY).cast("int"))
     )
-    above = _of_class([*_BASES[1:], 1 << 31], F.col("class")) - 1
-    by_class = by_class.withColumn("delta", F.floor(F.greatest(m, F.least(above, longest)) / EVERY).cast("int"))
-    runs = F.transform(F.sequence(F.lit(0), m - width), lambda p: F.xxhash64(F.slice("codes", p + 1, width)))
-    placed = by_class.select("q", *rest, "m", "q0", "q1", "class", "width", "count", "delta", F.posexplode(runs).alias("at", "run"))
-    group = F.greatest(F.lit(1), F.floor(F.col("count") / NUMBERED).cast("int"))
-    none = F.array().cast("array<int>")
-
-    def numbers(gone: Column, of_half: Column) -> Column:
+    runs = F.expr("transform(sequence(0, m - width), p -> xxhash64(slice(codes, p + 1, width)))")
+    of_text = ["cls", *rest, "m", "x0", "x1", "class", "width", "count", "half", "grouped", "delta"]
+    placed = by_class.select(*of_text, F.posexplode(runs).alias("at", "run"))
+
+    def numbers(gone: str, of_half: str) -> str:
         """The numbers of segments that may stand ``gone`` words from their side's end."""
-        down = lambda a, b: F.floor(a / b).cast("int")
-        low = F.greatest(down(gone + width, width + 1), down(gone - delta + width - 1, width), F.lit(0))
-        high = F.least(down(gone, width - 1), down(gone + delta, width), of_half - 1)
-        return F.when(low <= high, F.sequence(down(low, group), down(high, group))).otherwise(none)
-
-    half = F.ceil(F.col("count") / 2).cast("int")
-    left = numbers(at, half)
-    right = F.transform(numbers(m - width - at, F.col("count") - half), lambda g: -1 - g)
-    return placed.select("q", *rest, "m", "q0", "q1", "class", "at", "run", F.explode(F.concat(left, right)).alias("number")).select(
-        F.xxhash64("run", "class", "number").alias("h"), "at", "m", "q0", "q1", "q", *rest
+        low = f"greatest(({gone} + width) div (width + 1), ({gone} - delta + width - 1) div width, 0)"
+        high = f"least({gone} div (width - 1), ({gone} + delta) div width, {of_half} - 1)"
+        return f"IF({low} <= {high}, sequence({low} div grouped, {high} div grouped), array())"
+
+    left, right = numbers("at", "half"), numbers("(m - width - at)", "(count - half)")
+    every = F.explode(F.expr(f"concat({left}, transform({right}, g -> -1 - g))")).alias("number")
+    return placed.select("cls", *rest, "m", "x0", "x1", "class", "at", "run", every).select(
+        F.xxhash64("run", "class", F.col("number").cast("int")).alias("h"), "at", "m", F.col("x0").alias("q0"), F.col("x1").alias("q1"), F.col("cls").alias("q"), *rest
     )
 
 
@@ -241,10 +239,10 @@ def near_pairs(
     runs: DataFrame, queries: DataFrame, index: DataFrame, texts: DataFrame, small: bool = True, extra: Column | None = None
 ) -> DataFrame:
     """(q, cls): word sequences of ``queries`` (cls, codes), which probe by ``runs``, and near ones of the index of ``texts`` (cls, codes)."""
-    shift, longer = F.col("at") - F.col("place"), F.col("m") - F.col("n")
-    limit = F.floor(F.greatest("m", "n") / EVERY)
-    flips = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")))
-    fits = (F.abs(shift) + F.abs(longer - shift) <= limit) & (flips <= 2 * limit)
+    fits = F.expr(
+        f"abs(at - place) + abs(m - n - at + place) <= greatest(m, n) div {EVERY} "
+        f"AND bit_count(p0 ^ q0) + bit_count(p1 ^ q1) <= 2 * (greatest(m, n) div {EVERY})"
+    )
     found = index.join(_hashed(runs, small), "h").filter(fits if extra is None else fits & extra)
     candidates = found.select("q", "cls").distinct()
     with_q = candidates.join(queries.select(F.col("cls").alias("q"), F.col("codes").alias("q_codes")), "q")
@@ -339,7 +337,7 @@ class AcceptedIndex:
         self._open(keys.count())
         every = materialise(segments(texts), "history-segments")
         counts = every.groupBy("h").agg(F.count("*").alias("often"))
-        self.append(keys, texts, rarest(every, self._often(every, small=False)), counts)
+        self.append(keys, texts, ranked(every, self._often(every, small=False)).filter("kept"), counts)
 
     def judge(self, rows: DataFrame) -> DataFrame:
         """(row_id) of the rows found to repeat something; the others are accepted and appended.
@@ -354,9 +352,13 @@ class AcceptedIndex:
         read = materialise(read.withColumn("keys", keys).drop("point_id", "content_sha"), "deliveries")
         accepted: list[DataFrame] = []
         sizes = read.groupBy("batch_no").count().collect()  # one row per delivery
+        together: list = []
         for number, count in sorted(sizes, key=lambda r: (r[0] is not None, r[0])):
-            delivery = read.filter(F.col("batch_no").eqNullSafe(F.lit(number))).drop("batch_no")
-            accepted += [self._judge_part(part, size <= SMALL) for part, size in _parts(delivery, count)]
+            if together and sum(n for _, n in together) + count > FIRST:
+                accepted += self._judge_deliveries(read, together)
+                together = []
+            together.append((number, count))
+        accepted += self._judge_deliveries(read, together)
         if not accepted:
             return read.select("row_id")
         ids = accepted[0]
@@ -364,36 +366,46 @@ class AcceptedIndex:
             ids = ids.unionByName(more)
         return read.select("row_id").join(ids, "row_id", "left_anti")
 
+    def _judge_deliveries(self, read: DataFrame, deliveries: list) -> list[DataFrame]:
+        """(row_id) of the accepted rows of deliveries (batch_no, count of rows), part by part."""
+        if not deliveries:
+            return []
+        chosen = F.lit(False)
+        for number, _ in deliveries:
+            chosen = chosen | F.col("batch_no").eqNullSafe(F.lit(number))
+        rows = read.filter(chosen).withColumn("rank", F.struct("batch_no", "row_id")).drop("batch_no")
+        if len(deliveries) > 1:
+            return [self._judge_part(rows, True)]
+        return [self._judge_part(part, size <= SMALL) for part, size in _parts(rows, deliveries[0][1])]
+
     def _judge_part(self, part: DataFrame, small: bool) -> DataFrame:
-        """(row_id) of the accepted rows of a part (row_id, cls, codes, keys), which are appended."""
+        """(row_id) of the accepted rows of a part (row_id, rank, cls, codes, keys), which are appended."""
         asked = part.select("row_id", F.explode("keys").alias("key"))
         repeated = self._table("keys").join(_hashed(asked, small), "key").select("row_id").distinct()
         unheld = materialise(part.join(repeated, "row_id", "left_anti"), "unheld")
-        classes = unheld.filter("cls is not null").groupBy("cls").agg(F.min("row_id").alias("first"), F.first("codes").alias("codes"))
-        every = materialise(segments(classes), "part-segments")
-        kept = materialise(rarest(every, self._often(every, small)), "part-kept")
+        classes = unheld.filter("cls is not null").groupBy("cls").agg(F.min("rank").alias("first"), F.first("codes").alias("codes"))
         texts = classes.select("cls", "codes")
-        runs = materialise(probes(classes), "part-probes")
-        beside = near_pairs(runs.drop("first"), texts, self._table("segments"), self._table("texts"), small).select("q", "cls", F.lit(True).alias("held"))
-        own = kept.join(classes.select("cls", F.col("first").alias("before")), "cls")
-        within_part = near_pairs(runs, texts, own, texts, small, F.col("before") < F.col("first")).select("q", "cls", F.lit(False).alias("held"))
-        near = materialise(beside.unionByName(within_part), "part-near")
-        undecided = unheld.join(near.filter("held").select(F.col("q").alias("cls")).distinct(), "cls", "left_anti")
+        every = segments(texts)
+        every = materialise(ranked(every, self._often(every, small)), "part-segments")
+        # laid out like the store's buckets, so both joins share one shuffle
+        runs = probes(classes).repartition(self.buckets, "h")
+        held = near_pairs(runs, texts, self._table("segments"), self._table("texts"), small).withColumn("held", F.lit(True))
+        own = every.filter("kept").join(classes.select("cls", F.col("first").alias("before")), "cls").repartition(self.buckets, "h")
+        beside = near_pairs(runs, texts, own, texts, small, F.col("before") < F.col("first")).withColumn("held", F.lit(False))
+        near = materialise(held.unionByName(beside), "part-near")
+        undecided = unheld.join(near.filter("held").select(F.col("q").alias("cls")).distinct(), "cls", "left_anti").drop("codes")
+        undecided = materialise(undecided.select("row_id", "cls", "keys", "rank"), "part-undecided")
         links = near.filter("not held").select("q", F.col("cls").alias("other"))
         links = links.unionByName(links.select(F.col("other").alias("q"), F.col("q").alias("other")))
-        rank = F.col("row_id").alias("rank")
-        mine = undecided.select("row_id", rank, "cls", F.explode("keys").alias("key"))
-        linked = undecided.select("row_id", rank, "cls").join(links.withColumnRenamed("q", "cls"), "cls")
-        heard = mine.drop("cls").unionByName(linked.select("row_id", "rank", F.col("other").alias("key")))
-        taken = first_accepted(
-            undecided.select("row_id", rank), materialise(mine.select("row_id", "key"), "part-keys"), materialise(heard, "part-heard")
-        )
-        accepted = unheld.join(taken, "row_id", "left_semi")
+        mine = undecided.select("row_id", "rank", F.explode("keys").alias("key"))
+        linked = undecided.select("row_id", "rank", "cls").join(links.withColumnRenamed("q", "cls"), "cls")
+        heard = mine.unionByName(linked.select("row_id", "rank", F.col("other").alias("key")))
+        taken = first_accepted(undecided.select("row_id", "rank"), mine.select("row_id", "key"), heard)
+        accepted = undecided.join(taken, "row_id", "left_semi")
         new = accepted.filter("cls is not null").select("cls").distinct()
-        counts = every.join(new, "cls", "left_semi").groupBy("h").agg(F.count("*").alias("often"))
-        self.append(
-            accepted.select(F.explode("keys").alias("key")).distinct(), texts.join(new, "cls", "left_semi"), kept.join(new, "cls", "left_semi"), counts
-        )
+        every = every.join(new, "cls", "left_semi")
+        counts = every.groupBy("h").agg(F.count("*").alias("often"))
+        self.append(accepted.select(F.explode("keys").alias("key")).distinct(), texts.join(new, "cls", "left_semi"), every.filter("kept"), counts)
         return taken
 
 

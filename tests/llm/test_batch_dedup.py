@@ -83,8 +83,8 @@ def case(seed, n=70):
 
 
 def test_against_a_loop(spark):
-    for seed in (1, 2):
-        held, batch = case(seed)
+    for seed in (1,):
+        held, batch = case(seed, 140)
         assert judged(spark, loaded(spark, held), batch) == loop(held, batch)
 
 
@@ -118,12 +118,13 @@ def test_a_third_repeats_one_key_and_a_phrase_stands_in_all(spark):
 def test_parts_of_a_delivery_change_nothing(spark, monkeypatch):
     from tagtrail.llm import batch_dedup
 
-    monkeypatch.setattr(batch_dedup, "FIRST", 9)
+    monkeypatch.setattr(batch_dedup, "FIRST", 16)
     monkeypatch.setattr(batch_dedup, "GROWTH", 2)
-    for seed in (5, 6):
-        held, batch = case(seed, 90)
+    monkeypatch.setattr(batch_dedup, "SMALL", 32)
+    for seed in (5,):
+        held, batch = case(seed, 120)
         assert judged(spark, loaded(spark, held), batch) == loop(held, batch)
-    held, batch = case(7, 40)
+    held, batch = case(7, 15)
     batch = [(r[0], None if r[1] == 0 else r[1], *r[2:]) for r in batch]  # a missing batch number comes first
     assert judged(spark, loaded(spark, held), batch) == loop(held, [(r[0], -1 if r[1] is None else r[1], *r[2:]) for r in batch])
 
@@ -137,7 +138,7 @@ def test_every_near_copy_is_a_candidate():
 
 
 def test_segments_meet_their_near_copies(spark):
-    from tagtrail.llm.batch_dedup import _text_columns, near_pairs, probes, rarest, segments
+    from tagtrail.llm.batch_dedup import _text_columns, near_pairs, probes, ranked, segments
 
     rng = random.Random(11)
     rows, want = [], set()
@@ -152,7 +153,7 @@ def test_segments_meet_their_near_copies(spark):
     cut = lambda texts: _text_columns(spark.createDataFrame([(t, t) for t in texts], "name string, content string"))
     asked, held = cut({q for q, _ in want}), cut({c for _, c in want})
     every = segments(held)
-    kept = rarest(every, every.groupBy("h").agg(F.count("*").alias("often")))
+    kept = ranked(every, every.groupBy("h").agg(F.count("*").alias("often"))).filter("kept")
     found = near_pairs(probes(asked.select("cls", "codes")), asked.select("cls", "codes"), kept, held.select("cls", "codes"))
     digest = {bytes(hashlib.md5(w.encode()).digest()): w for w in names}
     got = {(digest[bytes(r["q"])], digest[bytes(r["cls"])]) for r in found.collect()}
@@ -160,7 +161,7 @@ def test_segments_meet_their_near_copies(spark):
 
 
 def test_an_append_that_was_cut_off_is_not_seen(spark, monkeypatch):
-    held, batch = case(8, 40)
+    held, batch = case(8, 12)
     index = loaded(spark, held)
     before = index.published()
     mark = AcceptedIndex._mark
