@@ -151,9 +151,8 @@ def ranked(every: DataFrame, often: DataFrame) -> DataFrame:
 
 
 def probes(texts: DataFrame) -> DataFrame:
-    """(h, at, m, q0, q1, q, *rest): the word runs of each text that a segment may equal, by the numbers it may have."""
-    rest = [c for c in texts.columns if c not in ("cls", "codes")]
-    sized = _sized(texts, "m").withColumns({
+    """(h, at, m, q0, q1, q) of texts (cls, codes): the word runs of each text that a segment may equal, by the numbers it may have."""
+    sized = _sized(texts.select("cls", "codes"), "m").withColumns({
         "shortest": F.expr(f"greatest(m - m div {EVERY}, {EVERY - 1})"), "longest": F.expr(f"m + m div {EVERY - 1}")
     })
     by_class = (
@@ -162,7 +161,7 @@ def probes(texts: DataFrame) -> DataFrame:
         .withColumn("delta", F.floor(F.greatest("m", F.least(_of_class(_ABOVE), "longest")) / EVERY).cast("int"))
     )
     runs = F.expr("transform(sequence(0, m - width), p -> xxhash64(slice(codes, p + 1, width)))")
-    of_text = ["cls", *rest, "m", "x0", "x1", "class", "width", "count", "half", "grouped", "delta"]
+    of_text = ["cls", "m", "x0", "x1", "class", "width", "count", "half", "grouped", "delta"]
     placed = by_class.select(*of_text, F.posexplode(runs).alias("at", "run"))
 
     def numbers(gone: str, of_half: str) -> str:
@@ -173,8 +172,8 @@ def probes(texts: DataFrame) -> DataFrame:
 
     left, right = numbers("at", "half"), numbers("(m - width - at)", "(count - half)")
     every = F.explode(F.expr(f"concat({left}, transform({right}, g -> -1 - g))")).alias("number")
-    return placed.select("cls", *rest, "m", "x0", "x1", "class", "at", "run", every).select(
-        F.xxhash64("run", "class", F.col("number").cast("int")).alias("h"), "at", "m", F.col("x0").alias("q0"), F.col("x1").alias("q1"), F.col("cls").alias("q"), *rest
+    return placed.select("cls", "m", "x0", "x1", "class", "at", "run", every).select(
+        F.xxhash64("run", "class", F.col("number").cast("int")).alias("h"), "at", "m", F.col("x0").alias("q0"), F.col("x1").alias("q1"), F.col("cls").alias("q")
     )
 
 
@@ -235,18 +234,20 @@ def _hashed(rows: DataFrame, small: bool) -> DataFrame:
     return rows.hint("shuffle_hash" if small else "merge")
 
 
-def near_pairs(
-    runs: DataFrame, queries: DataFrame, index: DataFrame, texts: DataFrame, small: bool = True, extra: Column | None = None
-) -> DataFrame:
-    """(q, cls): word sequences of ``queries`` (cls, codes), which probe by ``runs``, and near ones of the index of ``texts`` (cls, codes)."""
+def near_pairs(runs: DataFrame, queries: DataFrame, index: DataFrame, texts: DataFrame, small: bool = True) -> DataFrame:
+    """(q, cls): word sequences of ``queries`` (cls, codes), which probe by ``runs``, and other near ones of the index of ``texts`` (cls, codes).
+
+    Where both have a column ``first``, only those of the index that come first are paired.
+    """
     fits = F.expr(
-        f"abs(at - place) + abs(m - n - at + place) <= greatest(m, n) div {EVERY} "
+        f"q <> cls AND abs(at - place) + abs(m - n - at + place) <= greatest(m, n) div {EVERY} "
         f"AND bit_count(p0 ^ q0) + bit_count(p1 ^ q1) <= 2 * (greatest(m, n) div {EVERY})"
     )
-    found = index.join(_hashed(runs, small), "h").filter(fits if extra is None else fits & extra)
-    candidates = found.select("q", "cls").distinct()
-    with_q = candidates.join(queries.select(F.col("cls").alias("q"), F.col("codes").alias("q_codes")), "q")
-    both = texts.select("cls", F.col("codes").alias("c_codes")).join(_hashed(with_q, small), "cls")
+    candidates = index.join(_hashed(runs, small), "h").filter(fits).select("q", "cls").distinct()
+    with_q = candidates.join(queries.withColumnsRenamed({"cls": "q", "codes": "q_codes", "first": "q_first"}), "q")
+    both = texts.withColumnRenamed("codes", "c_codes").join(_hashed(with_q, small), "cls")
+    if "first" in texts.columns and "first" in queries.columns:
+        both = both.filter(F.col("first") < F.col("q_first"))
     return both.select("q", "cls", "q_codes", "c_codes").mapInPandas(_verify, "q binary, cls binary")
 
 
@@ -383,15 +384,15 @@ class AcceptedIndex:
         asked = part.select("row_id", F.explode("keys").alias("key"))
         repeated = self._table("keys").join(_hashed(asked, small), "key").select("row_id").distinct()
         unheld = materialise(part.join(repeated, "row_id", "left_anti"), "unheld")
-        classes = unheld.filter("cls is not null").groupBy("cls").agg(F.min("rank").alias("first"), F.first("codes").alias("codes"))
+        # spread by number, as a part is small in bytes and heavy in probes
+        spread = unheld.filter("cls is not null").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "cls")
+        classes = spread.groupBy("cls").agg(F.min("rank").alias("first"), F.first("codes").alias("codes"))
         texts = classes.select("cls", "codes")
         every = segments(texts)
         every = materialise(ranked(every, self._often(every, small)), "part-segments")
-        # laid out like the store's buckets, so both joins share one shuffle
-        runs = probes(classes).repartition(self.buckets, "h")
+        runs = probes(texts)
         held = near_pairs(runs, texts, self._table("segments"), self._table("texts"), small).withColumn("held", F.lit(True))
-        own = every.filter("kept").join(classes.select("cls", F.col("first").alias("before")), "cls").repartition(self.buckets, "h")
-        beside = near_pairs(runs, texts, own, texts, small, F.col("before") < F.col("first")).withColumn("held", F.lit(False))
+        beside = near_pairs(runs, classes, every.filter("kept"), classes, small).withColumn("held", F.lit(False))
         near = materialise(held.unionByName(beside), "part-near")
         undecided = unheld.join(near.filter("held").select(F.col("q").alias("cls")).distinct(), "cls", "left_anti").drop("codes")
         undecided = materialise(undecided.select("row_id", "cls", "keys", "rank"), "part-undecided")
