@@ -80,3 +80,29 @@ def test_a_delivery_that_was_not_published_is_not_seen(spark, monkeypatch):
     monkeypatch.undo()
     store.deliver(spark.createDataFrame([row("x", 1, 5, "late", "w")], SCHEMA))
     assert chains(store) == [("x", 1, 1, "late", "w")]
+
+
+def test_a_small_delivery_touches_its_buckets_alone(spark):
+    store = EntityHistory(spark, work_path(spark, "t"), ["a", "b"], buckets=16)
+    rows = [row(f"e{i}", p, 0, "v", "w") for i in range(200) for p in (1, 2)]
+    store.deliver(spark.createDataFrame(rows, SCHEMA))
+    assert set(store.manifest().values()) == {1} and len(store.manifest()) == 16
+    late = [row("e7", 2, 9, "new", "w"), row("e9", 3, 9, "v", "w")]
+    store.deliver(spark.createDataFrame(late, SCHEMA))
+    newer = [b for b, d in store.manifest().items() if d == 2]
+    assert 1 <= len(newer) <= 2
+    want = expected([*rows, *late])
+    assert chains(store) == want
+    store.compact()
+    left = {(d, b) for d in store._listed("chains", "delivery=") for b in store._listed(f"chains/delivery={d}", "bucket=")}
+    assert left == {(d, b) for b, d in store.manifest().items()} and chains(store) == want
+    again = EntityHistory(spark, store.path, ["a", "b"])
+    again.deliver(spark.createDataFrame([row("e8", 9, 1, "x", "w")], SCHEMA))
+    assert chains(again) == expected([*rows, *late, row("e8", 9, 1, "x", "w")])
+
+
+def test_buckets_follow_the_entities(spark, monkeypatch):
+    monkeypatch.setattr("tagtrail.operators.history.PER_BUCKET", 10)
+    store = EntityHistory(spark, work_path(spark, "t"), ["a", "b"])
+    store.deliver(spark.createDataFrame([row(f"e{i}", 1, 0, "v", "w") for i in range(300)], SCHEMA))
+    assert 25 <= store._listed("buckets")[0] <= 35 and len(chains(store)) == 300
