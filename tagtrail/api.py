@@ -30,6 +30,7 @@ def _bounded(limit: int, most: int) -> int:
 class Tools:
     """Answers over a table of chunks with vectors, and one of files (tag, file_path, content)."""
 
+    #: The names of the tools; the keys of their answers below are fixed too.
     AREAS = {
         "search_core": "core", "search_storefront": "storefront", "search_administration": "administration",
         "search_checkout": "checkout", "search_flow_builder": "flow", "search_changes": "changes",
@@ -58,19 +59,19 @@ class Tools:
         found = search.search(self.chunks, vector, _bounded(limit, 50), area=area, version=version, language=language)
         hits = _rows(found.drop("point_id"))
         if not hits:
-            return f"No matches for: {query}"
+            return f"No matches for: {query!r}"
         return {"query": query, "version_filter": version, "language_filter": language, "collection": area, "hits": hits}
 
     def find_deprecations(self, pattern: str | None = None, area: str | None = None, limit: int = 50) -> dict:
         found = analytics.deprecations(self.chunks, pattern, area).orderBy("deprecated_in", "symbol_fqn").limit(_bounded(limit, 200))
         rows = _rows(found)
-        return {"pattern": pattern, "area": area, "count": len(rows), "results": rows}
+        return {"pattern": pattern, "area": area, "count": len(rows), "deprecations": rows}
 
     def find_css_class(self, class_name: str, version: str | None = None, limit: int = 30) -> dict:
         found = analytics.css_class(self.chunks, class_name, version, _bounded(limit, 200))
         rows = _rows(found.orderBy("kind", analytics.area_rank(), "point_id").drop("point_id"))
         kinds = {k: [{x: r[x] for x in r if x != "kind"} for r in rows if r["kind"] == k] for k in ("definition", "usage")}
-        return {"class_name": class_name, "version": version, "definitions": kinds["definition"], "usages": kinds["usage"]}
+        return {"class_name": class_name.lstrip("."), "version_filter": version, "definitions": kinds["definition"], "usages": kinds["usage"]}
 
     def upgrade_path(self, from_version: str, to_version: str, areas: list[str] | None = None, limit_per_section: int = 50) -> dict:
         low, high = versions.parsed(from_version), versions.parsed(to_version)

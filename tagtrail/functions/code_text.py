@@ -55,9 +55,10 @@ def closing(code: str, at: int) -> int:
 
 def without_attributes(code: str) -> str:
     """Masked code with ``#[...]`` blanked."""
-    at = 0
+    out, at = [], 0
     while m := _ATTRIBUTE.search(code, at):
         end = closing(code, m.start() + 1)
-        at = len(code) if end < 0 else end + 1
-        code = code[: m.start()] + blank(code[m.start() : at]) + code[at:]
-    return code
+        stop = len(code) if end < 0 else end + 1
+        out += [code[at : m.start()], blank(code[m.start() : stop])]
+        at = stop
+    return "".join([*out, code[at:]])

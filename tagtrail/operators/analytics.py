@@ -234,14 +234,17 @@ def related_changelog(chunks: DataFrame, path: str, low: str, high: str, limit:
 
 
 def changelog_mentions(chunks: DataFrame, paths: DataFrame) -> DataFrame:
-    """(file_path, changelog_path, target_version): for all paths, the changelog files that name them as a whole word.
+    """(file_path, changelog_path, target_version): for all paths, the changelog files that name them.
 
-    Texts are cut into words that may be paths, so that the search is an equality join instead of a
-    comparison of every text with every path.
+    Texts are cut into words that may be paths, and each word into what stands behind each of its
+    slashes too, so a path is found behind any folder; the search is an equality join instead of a
+    comparison of every text with every path. A path that stands in the middle of a longer name
+    (``XFoo.php`` for ``Foo.php``) is not taken as named.
     """
-    word = T.found("content", r"[\w./-]*\w", 0)
-    said = chunks.filter("area = 'changes'").select(
-        F.col("file_path").alias("changelog_path"), "target_version", F.explode(F.array_distinct(word)).alias("needle")
-    )
+    word = F.explode(F.array_distinct(T.found("content", r"[\w./-]*\w", 0))).alias("word")
+    words = chunks.filter("area = 'changes'").select(F.col("file_path").alias("changelog_path"), "target_version", word)
+    parts = F.split("word", "/")
+    behind = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    said = words.select("changelog_path", "target_version", F.explode(behind).alias("needle")).filter("needle <> ''").distinct()
     wanted = paths.select("file_path").distinct().select("file_path", F.explode(needles("file_path")).alias("needle"))
     return wanted.join(said, "needle").select("file_path", "changelog_path", "target_version").distinct()

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,6 +41,7 @@ _STRUCT = "struct<" + ",".join(f"{k}:{v}" for k, v in FIELDS.items()) + ">"
 _PIECE = "struct<text:string,line:int>"
 _SPAN = "struct<start:int,stop:int>"
 
+#: What opens declarations, sections, releases and entries.
 _DECLARATION = r"^(?:export\s+(?:default\s+)?)?(?:abstract\s+)?(class|interface|function|const|enum|type)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
 _VUE_SECTION = r"(?s)<(template|script|style)(\s+[^>]*)?>(.*?)</\1>"
 _FRONT = r"(?ds)\A---\s*\n(.*?)\n---\s*\n"
@@ -240,6 +241,7 @@ def upgrade_notes(content: Column, name: Column) -> Column:
     )
 
 
+#: Fixed value: what opens a type in the older reading of PHP.
 _PHP_DECLARATION = (
     r"(?dm)^(?:/\*\*(?s:.*?)\*/\s*\n)?(?:#\[(?s:.*?)\]\s*\n)*(?:final\s+|abstract\s+|readonly\s+)?"
     r"(class|interface|trait|enum)\s+([A-Za-z_][A-Za-z0-9_]*)"
@@ -274,7 +276,7 @@ def php_types(content: Column, name: Column) -> Column:
 _TYPE = re.compile(r"(?<![\w$>:\\])(class|interface|trait|enum)\s+([A-Za-z_\u0080-￿][\w\u0080-￿]*)", re.I)
 _NAMESPACE = re.compile(r"(?<![\w$>:\\])namespace\s+([\w\\\u0080-￿]+)\s*[;{]", re.I)
 _FUNCTION = re.compile(r"(?<![\w$>:\\])function\s*&?\s*([A-Za-z_\u0080-￿][\w\u0080-￿]*)\s*\(", re.I)
-_MODIFIER = re.compile(r"\b(?:abstract|final|readonly|public|protected|private|static|var)\s*\Z", re.I)
+_MODIFIERS = frozenset("abstract final readonly public protected private static var".split())
 _DEPRECATED = re.compile(T.DEPRECATED)
 
 
@@ -291,11 +293,16 @@ def _head(code: str, raw: str, at: int) -> int:
     """Where a declaration begins, with its modifiers and attributes; ``raw`` still has the attributes."""
     start = at
     while True:
-        text = code[:start].rstrip()
-        if m := _MODIFIER.search(code, max(0, start - 40), start):
-            start = m.start()
-        elif raw[len(text) : start].strip():  # an attribute that was blanked
-            return len(text) + len(raw[len(text) : start]) - len(raw[len(text) : start].lstrip())
+        end = start
+        while end and code[end - 1].isspace():
+            end -= 1
+        begin = end
+        while begin and (code[begin - 1].isalnum() or code[begin - 1] == "_"):
+            begin -= 1
+        if code[begin:end].lower() in _MODIFIERS:
+            start = begin
+        elif raw[end:start].strip():  # an attribute that was blanked
+            return end + len(raw[end:start]) - len(raw[end:start].lstrip())
         else:
             return start
 
@@ -318,7 +325,8 @@ def php_symbols(text: str, name: str) -> list[dict]:
     code = without_attributes(raw)
     comments = [(a, b) for kind, a, b in found if kind == "comment"]
     depth = _depth(code)
-    line = lambda at: text.count("\n", 0, at) + 1
+    ends = [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect_left(ends, at) + 1
     space = m.group(1) if (m := _NAMESPACE.search(code)) else ""
     out: list[dict] = []
 

@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tagtrail.functions import text as T
 
-#: Bytes of query vectors sent to every task at once.
-QUERY_BYTES = 32 << 20
+#: Bytes of query vectors sent to every task at once; queries and rows whose similarities are computed at once.
+QUERY_BYTES, QUERIES, ROWS = 32 << 20, 512, 4096
 
 
 def equal_filters(points: DataFrame, **wanted: str | None) -> DataFrame:
@@ -25,7 +26,7 @@ def equal_filters(points: DataFrame, **wanted: str | None) -> DataFrame:
 
 def top_k(points: DataFrame, query: Sequence[float], k: int, vector: str = "vector", tie: str = "point_id") -> DataFrame:
     """The k rows most similar to a query, with ``score``; ties go by ``tie``. One partial top-k per task."""
-    score = T.cosine(vector, F.array(*[F.lit(float(x)) for x in query]))
+    score = T.cosine_to(vector, list(query))
     scored = points.withColumn("score", score).filter(F.col("score").isNotNull())
     return scored.orderBy(F.desc("score"), tie).limit(k)
 
@@ -62,6 +63,10 @@ def search(
     return hits(found)
 
 
+def _arrow(rows: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(rows.schema[column].dataType)
+
+
 def top_k_of_each(
     points: DataFrame, queries: DataFrame, k: int, dim: int, *, key: str = "point_id", vector: str = "vector"
 ) -> DataFrame:
@@ -78,6 +83,8 @@ def top_k_of_each(
     q_kind = queries.schema["q"].dataType.simpleString()
     blocks: list[DataFrame] = []
 
+    empty = pa.schema([("q", _arrow(queries, "q")), ("key", _arrow(points, key)), ("score", pa.float64())])
+
     def block(rows: list) -> DataFrame:
         ids = [r[0] for r in rows]
         asked = np.array([r[1] for r in rows], np.float64)
@@ -86,23 +93,33 @@ def top_k_of_each(
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, unit = sent.value
-            top_s, top_k_ = np.full((len(names), k), -2.0), np.empty((len(names), k), object)
+            held_q, held_k, held_s = np.empty(0, np.int64), np.empty(0, object), np.empty(0)  # at most k of each query
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    part = batch.slice(at, 2048)
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
                     v = np.asarray(part.column(1).flatten(), np.float64).reshape(-1, dim)
-                    s = unit @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                    every_s = np.concatenate([top_s, s], axis=1)
-                    every_k = np.concatenate([top_k_, np.broadcast_to(np.array(part.column(0).to_pylist(), object), s.shape)], axis=1)
-                    for i in range(len(names)):
-                        cut = np.partition(every_s[i], -k)[-k]  # all that tie with the last are looked at
-                        near = np.flatnonzero(every_s[i] >= cut)
-                        order = sorted(near, key=lambda j: (-every_s[i, j], every_k[i, j] if every_s[i, j] > -2 else 0))[:k]
-                        top_s[i], top_k_[i] = every_s[i, order], every_k[i, order]
-            row, col = np.nonzero(top_s > -2)
+                    v /= np.linalg.norm(v, axis=1, keepdims=True)
+                    keys = np.array(part.column(0).to_pylist(), object)
+                    least = np.full(len(names), -2.0)  # the k-th similarity of those that have k already
+                    full = np.flatnonzero(np.bincount(held_q, minlength=len(names)) == k)
+                    least[full] = held_s[np.searchsorted(held_q, full, "right") - 1]
+                    found = [(held_q, held_k, held_s)]
+                    for q in range(0, len(names), QUERIES):
+                        s = unit[q : q + QUERIES] @ v.T
+                        floor = least[q : q + QUERIES]
+                        if s.shape[1] > k:
+                            floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
+                        row, col = np.nonzero(s >= floor[:, None])  # all that tie with the last are looked at
+                        found.append((row + q, keys[col], s[row, col]))
+                    held_q, held_k, held_s = (np.concatenate(x) for x in zip(*found, strict=True))
+                    _, by_key = np.unique(held_k, return_inverse=True)
+                    order = np.lexsort((by_key, -held_s, held_q))
+                    held_q, held_k, held_s = held_q[order], held_k[order], held_s[order]
+                    keep = np.arange(len(held_q)) - np.searchsorted(held_q, held_q) < k
+                    held_q, held_k, held_s = held_q[keep], held_k[keep], held_s[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i in row]), pa.array(top_k_[row, col].tolist()), pa.array(top_s[row, col])], names=["q", "key", "score"]
-            )
+                [pa.array([names[i] for i in held_q]), pa.array(held_k.tolist()), pa.array(held_s)], names=["q", "key", "score"]
+            ) if len(held_q) else pa.RecordBatch.from_pylist([], schema=empty)
 
         return points.filter(good).select(key, vector).mapInArrow(best, f"q {q_kind}, key {kind}, score double")
 

@@ -169,6 +169,23 @@ def css_class(spark: SparkSession, root: str) -> DataFrame:
     return analytics.css_class(table(spark, root, "chunks"), ".cart")
 
 
+@REGISTRY.add(
+    "css_class_chosen",
+    f"""
+WITH k AS (
+    SELECT CASE language WHEN 'scss' THEN 'definition' ELSE 'usage' END AS kind, file_path, area, point_id, {_sql_rank()} AS seen,
+           left(content, 400) || CASE WHEN length(content) > 400 THEN '…' ELSE '' END AS snippet
+    FROM (SELECT DISTINCT * FROM chunks) WHERE area IN ({_SQL_CSS_AREAS}) AND version = '6.4.2.0'
+      AND (language = 'scss' AND list_contains(css_classes, 'cart') OR language = 'twig' AND contains(content, 'cart')))
+SELECT kind, point_id, file_path, area, snippet FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY seen, point_id) <= 5
+""",
+)
+def css_class_chosen(spark: SparkSession, root: str) -> DataFrame:
+    """The first five definitions and usages of a class in one release."""
+    found = analytics.css_class(table(spark, root, "chunks").distinct(), ".cart", version="6.4.2.0", limit=5)
+    return found.select("kind", "point_id", "file_path", "area", "snippet")
+
+
 @REGISTRY.add(
     "css_usage",
     f"""
@@ -186,11 +203,60 @@ def css_usage(spark: SparkSession, root: str) -> DataFrame:
 _LOW, _HIGH = "6.4.10.0", "6.7.8.0"
 
 
-@REGISTRY.add("upgrade_path")
+def _sql_entries() -> str:
+    """Entries of the upgrade story, one for each file, section and point."""
+    order = "v NULLS FIRST, target_version NULLS FIRST, title NULLS FIRST, issue NULLS FIRST, symbol_kind NULLS FIRST, content NULLS FIRST"
+    return f"""
+e AS (
+    SELECT coalesce(nullif(lower(section), ''), 'general') AS section, target_version, issue, file_path, symbol_kind, content, point_id,
+           coalesce(nullif(symbol_name, ''), '(untitled)') AS title, {_sql_tuple('target_version')} AS v
+    FROM chunks WHERE area = 'changes' AND target_version IS NOT NULL AND regexp_full_match(target_version, '\\d+(\\.\\d+)*')),
+r AS (SELECT * FROM e WHERE {_sql_number('v')} > {_sql_number(_sql_tuple(repr(_LOW)))} AND {_sql_number('v')} <= {_sql_number(_sql_tuple(repr(_HIGH)))}
+      QUALIFY row_number() OVER (PARTITION BY file_path, section, point_id ORDER BY {order}) = 1)"""
+
+
+def _sql_story(rows: str, most: int) -> str:
+    return f"""
+SELECT section, coalesce(nullif(list_position([{', '.join(repr(s) for s in T.SECTIONS)}], section), 0) - 1, {len(T.SECTIONS)}) AS section_rank,
+       row_number() OVER (PARTITION BY section ORDER BY v, title, point_id) AS place, target_version, title, issue,
+       file_path AS changelog_path, symbol_kind AS kind, left(content, 500) || CASE WHEN length(content) > 500 THEN '…' ELSE '' END AS snippet
+FROM {rows} QUALIFY place <= {most}"""
+
+
+@REGISTRY.add(
+    "upgrade_path",
+    f"""
+WITH RECURSIVE {_sql_entries()},
+o AS (SELECT *, row_number() OVER (ORDER BY point_id, section, file_path) AS i, nullif(issue, '') AS ik, coalesce(file_path, '') || '::' || section AS fk FROM r),
+g AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS files, CAST([] AS VARCHAR[]) AS issues, false AS taken
+    UNION ALL
+    SELECT i, CASE WHEN taken THEN list_append(files, fk) ELSE files END,
+           CASE WHEN taken AND ik IS NOT NULL THEN list_append(issues, ik) ELSE issues END, taken
+    FROM (SELECT o.i, fk, ik, files, issues, NOT (list_contains(files, fk) OR coalesce(list_contains(issues, ik), false)) AS taken FROM g JOIN o ON o.i = g.i + 1)),
+k AS (SELECT o.* FROM o JOIN g USING (i) WHERE g.taken)
+{_sql_story('k', 50)}
+""",
+)
 def upgrade_path(spark: SparkSession, root: str) -> DataFrame:
     return analytics.upgrade_path(table(spark, root, "chunks"), _LOW, _HIGH)
 
 
+@REGISTRY.add(
+    "upgrade_path_chosen",
+    f"""
+WITH {_sql_entries()},
+k AS (SELECT * FROM r WHERE section IN ('core', 'api', 'storefront') QUALIFY row_number() OVER (PARTITION BY file_path, section ORDER BY point_id) = 1)
+{_sql_story('k', 3)}
+""",
+)
+def upgrade_path_chosen(spark: SparkSession, root: str) -> DataFrame:
+    """The upgrade story of some sections, three entries of each."""
+    return analytics.upgrade_path(
+        table(spark, root, "chunks"), _LOW, _HIGH, sections=["Core", "API", "storefront"], limit=3, keep_sections=True
+    )
+
+
 @REGISTRY.add(
     "upgrade_path_sections",
     f"""
@@ -224,8 +290,8 @@ def _texts_at(spark: SparkSession, root: str, tag: str) -> DataFrame:
     return held.join(texts, "content_sha").select("file_path", "content", F.col("content_sha").alias("at"))
 
 
-_SQL_METHOD = r"(?m)^\s*(?:public|private|protected)?\s*(?:static\s+)?function\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(([^)]*)\)"
-_SQL_TYPE = r"(?m)^(?:final\s+|abstract\s+)?(?:class|interface|trait|enum)\s+([A-Za-z_][A-Za-z0-9_]*)"
+_SQL_METHOD = T.PHP_METHOD.replace("(?dmU)", "(?m)")
+_SQL_TYPE = T.PHP_TYPE.replace("(?dmU)", "(?m)")
 
 
 def _sql_symbols(tag: str) -> str:
@@ -272,6 +338,76 @@ def symbol_changes(spark: SparkSession, root: str) -> DataFrame:
     return analytics.symbol_changes(_texts_at(spark, root, _BEFORE), _texts_at(spark, root, _AFTER))
 
 
+def _sql_joined(part: str, change: str) -> str:
+    return f"coalesce(string_agg(name, ' ' ORDER BY CASE part WHEN 'method' THEN 1 WHEN 'type' THEN 2 ELSE 0 END, name) FILTER (WHERE change = '{change}' AND part {part} 'deprecation'), '')"
+
+
+@REGISTRY.add(
+    "file_changes",
+    f"""
+WITH txt AS (SELECT {reading.sql_content_sha('content_sha')} AS sha, min(content) AS content FROM chunks WHERE content IS NOT NULL GROUP BY 1),
+{_sql_texts('all_a', _BEFORE)}, {_sql_texts('all_b', _AFTER)},
+at_a AS (SELECT file_path, '' AS sha, min(content) AS content FROM at_all_a GROUP BY 1), at_b AS (SELECT file_path, '' AS sha, min(content) AS content FROM at_all_b GROUP BY 1),
+a AS ({_sql_symbols('a')}), b AS ({_sql_symbols('b')}),
+j AS (SELECT coalesce(a.file_path, b.file_path) AS file_path, coalesce(a.part, b.part) AS part, coalesce(a.name, b.name) AS name,
+             CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' WHEN a.params <> b.params THEN 'changed' END AS change
+      FROM a FULL JOIN b ON a.file_path = b.file_path AND a.part = b.part AND a.name = b.name),
+f AS (SELECT coalesce(x.file_path, y.file_path) AS file_path, x.file_path IS NOT NULL AS exists_before, y.file_path IS NOT NULL AS exists_after
+      FROM at_a x FULL JOIN at_b y ON x.file_path = y.file_path)
+SELECT file_path, exists_before, exists_after, {_sql_joined('<>', 'added')} AS added, {_sql_joined('<>', 'removed')} AS removed,
+       {_sql_joined('<>', 'changed')} AS changed, {_sql_joined('=', 'added')} AS new_deprecations
+FROM f LEFT JOIN j USING (file_path) GROUP BY file_path, exists_before, exists_after
+""",
+)
+def file_changes(spark: SparkSession, root: str) -> DataFrame:
+    """The report of every file of two releases; of a file's chunks the least text stands for the file."""
+    one = lambda tag: _texts_at(spark, root, tag).groupBy("file_path").agg(F.min("content").alias("content"))
+    found = analytics.file_changes(one(_BEFORE), one(_AFTER))
+    lists = ("added", "removed", "changed", "new_deprecations")
+    return found.select("file_path", "exists_before", "exists_after", *[F.array_join(c, " ").alias(c) for c in lists])
+
+
+_NAMED = "snippet/route.license"
+
+
+@REGISTRY.add(
+    "related_changelog",
+    f"""
+WITH k AS (
+    SELECT * FROM chunks WHERE area = 'changes' AND target_version > '6.4.0.0' AND target_version <= '6.7.9.9' AND (contains(content, '{_NAMED}') OR contains(content, '{_NAMED.rsplit("/", 1)[-1]}'))
+    QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY point_id) = 1)
+SELECT target_version, symbol_name AS title, coalesce(nullif(lower(section), ''), symbol_kind) AS section, issue, file_path AS changelog_path,
+       left(content, 400) || CASE WHEN length(content) > 400 THEN '…' ELSE '' END AS snippet
+FROM k ORDER BY point_id LIMIT 10
+""",
+)
+def related_changelog(spark: SparkSession, root: str) -> DataFrame:
+    """The first ten entries that name a file or its last part, in a range of versions compared as strings."""
+    return analytics.related_changelog(table(spark, root, "chunks"), _NAMED, "6.4.0.0", "6.7.9.9")
+
+
+_SQL_WORD = "[A-Za-z0-9_./-]*[A-Za-z0-9_]"
+
+
+@REGISTRY.add(
+    "changelog_mentions",
+    f"""
+WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(content, '[a-z]+[./][a-z.]*[a-z]')) AS file_path FROM chunks WHERE area <> 'changes'),
+wanted AS (
+    SELECT file_path, file_path AS needle FROM p
+    UNION SELECT file_path, regexp_extract(file_path, '[^/]*$') FROM p WHERE length(regexp_extract(file_path, '[^/]*$')) >= 8 AND contains(regexp_extract(file_path, '[^/]*$'), '.')),
+w AS (SELECT DISTINCT file_path AS changelog_path, target_version, string_split(unnest(regexp_extract_all(content, '{_SQL_WORD}')), '/') AS parts FROM chunks WHERE area = 'changes'),
+said AS (SELECT changelog_path, target_version, array_to_string(parts[i:], '/') AS needle FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM w))
+SELECT DISTINCT file_path, changelog_path, target_version FROM wanted JOIN said USING (needle)
+""",
+)
+def changelog_mentions(spark: SparkSession, root: str) -> DataFrame:
+    """Which changelog files name what reads like a path or a dotted name in the code."""
+    chunks = table(spark, root, "chunks")
+    named = chunks.filter("area <> 'changes'").select(F.explode(T.found("content", r"[a-z]+[./][a-z.]*[a-z]", 0)).alias("file_path"))
+    return analytics.changelog_mentions(chunks, named.distinct())
+
+
 _SQL_COS = "list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 
@@ -285,7 +421,7 @@ SELECT vec_id, round({_SQL_COS.format(a='embedding', b='e')}, 6) AS score FROM e
 def top_k(spark: SparkSession, root: str) -> DataFrame:
     """The ten vectors most similar to the first."""
     points = table(spark, root, "embeddings")
-    query = points.orderBy("vec_id").select("embedding").first()[0]
+    query = points.agg(F.min_by("embedding", "vec_id")).first()[0]
     return search.top_k(points, query, 10, "embedding", "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
@@ -299,7 +435,7 @@ ORDER BY {_SQL_COS.format(a='embedding', b='e')} DESC, vec_id LIMIT 10
 )
 def top_k_filtered(spark: SparkSession, root: str) -> DataFrame:
     points = table(spark, root, "embeddings")
-    query = points.orderBy("vec_id").select("embedding").first()[0]
+    query = points.agg(F.min_by("embedding", "vec_id")).first()[0]
     chosen = points.filter("label = 3")
     return search.top_k(chosen, query, 10, "embedding", "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
@@ -353,7 +489,8 @@ def search_changes(spark: SparkSession, root: str) -> DataFrame:
     chunks = table(spark, root, "chunks").withColumn("content_sha", reading.content_sha("content_sha"))
     own = T.cosine("vector", "vector")
     query = vectors.filter(own > 0.5).orderBy("content_sha").select("vector").first()
-    points = caching.with_vectors(chunks.filter("area = 'changes'"), vectors).filter("vector is not null").dropDuplicates(["point_id"])
+    points = caching.with_vectors(chunks.filter("area = 'changes'"), vectors).filter("vector is not null")
+    points = caching.first_of_each(points, ["point_id"], [F.col(c).asc_nulls_first() for c in ("content_sha", "file_path", "symbol_name", "content")])
     points = points.filter(~F.exists("vector", lambda x: F.isnan(x)))
     return search.search(points, query[0], 10, area="changes").select("point_id", "score")
 
@@ -422,7 +559,7 @@ def backfill(spark: SparkSession, root: str) -> DataFrame:
     """Contents whose vector an older cache would get from the stored points, and of how many points each."""
     vectors = _first_vectors(spark, root)
     chunks = table(spark, root, "chunks").select("point_id", reading.content_sha("content_sha").alias("content_sha"))
-    points = chunks.join(vectors.filter("vector is not null"), "content_sha").select("point_id", "vector").dropDuplicates(["point_id"])
+    points = chunks.join(vectors.filter("vector is not null"), "content_sha").groupBy("point_id").agg(F.min("vector").alias("vector"))
     index = table(spark, root, "chunk_index").select("point_id", reading.content_sha("content_sha").alias("content_sha")).distinct()
     older = vectors.filter("cached_at < timestamp '2023-01-01'")
     filled = caching.backfill(points, index, older).select("content_sha")
@@ -512,12 +649,10 @@ def embedding_text(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "chunks").select("point_id", T.sha(text).alias("text_sha"))
 
 
-@REGISTRY.add("chunk_documents")
-def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
-    """All documents cut into chunks, by their kind, or by their path where no kind is given.
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """(version, file_path, area, language, content, notes) of all documents, by their kind, or by their path where none is given.
 
-    Guides, issue reports and other documents without a chunker give none. Documents lie in no
-    area of the source tree; all count as ``core``.
+    Documents lie in no area of the source tree; all count as ``core``.
     """
     docs = table(spark, root, "documents").select(
         F.regexp_replace(reading.version("version"), "^v", "").alias("version"), reading.file_path("file_path").alias("file_path"),
@@ -529,8 +664,76 @@ def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
     by_path = routing.language("file_path")
     notes = F.when(F.col("kind").isNotNull(), F.col("kind")).when(by_path == "markdown", of_path)
     by_kind = F.when(F.col("kind") == "script", "ts").when(F.col("kind").isin("changelog", "upgrade"), "markdown").otherwise(F.col("kind"))
-    files = docs.select("version", "file_path", F.lit("core").alias("area"), F.coalesce(by_kind, by_path).alias("language"), "content", notes.alias("notes"))
-    return chunk_files(files, notes=F.col("notes"))
+    return docs.select("version", "file_path", F.lit("core").alias("area"), F.coalesce(by_kind, by_path).alias("language"), "content", notes.alias("notes"))
+
+
+@REGISTRY.add("chunk_documents")
+def chunk_documents(spark: SparkSession, root: str) -> DataFrame:
+    """All documents cut into chunks. Guides, issue reports and other documents without a chunker give none."""
+    return chunk_files(_files(spark, root), notes=F.col("notes"))
+
+
+_SQL_FILES = f"""
+d AS (SELECT {reading.sql_file_path('file_path')} AS file_path, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS content,
+             coalesce(nullif(trim(lower(kind)), ''), CASE WHEN file_path LIKE '%.scss' THEN 'scss' WHEN file_path LIKE '%.ts' THEN 'script' WHEN regexp_matches(file_path, '\\.html\\.twig$') THEN 'twig'
+                 WHEN regexp_matches(file_path, '(^|/)changelog/.*\\.md$') THEN 'changelog' END) AS kind
+      FROM documents WHERE text IS NOT NULL)"""
+_SHOWN = ("file_path", "chunk_idx", "symbol_kind", "symbol_name", "start_line", "end_line", "content_sha")
+
+
+@REGISTRY.add(
+    "chunk_scss",
+    f"""
+WITH {_SQL_FILES}
+SELECT file_path, 0 AS chunk_idx, 'file' AS symbol_kind, regexp_extract(file_path, '[^/]*$') AS symbol_name, 1 AS start_line,
+       1 + length(content) - length(replace(content, chr(10), '')) AS end_line, sha256(left(content, 2000)) AS content_sha,
+       array_to_string(list_sort(list_distinct(regexp_extract_all(content, '\\.([A-Za-z_][A-Za-z0-9_-]*)[\\t-\\r\\x{{85}}\\p{{Z}}]*[,{{:]', 1)))[1:200], ' ') AS classes
+FROM d WHERE kind = 'scss' AND regexp_matches(content, '[^\\t-\\r\\x1c-\\x1f\\x{{85}}\\p{{Z}}]')
+""",
+)
+def chunk_scss(spark: SparkSession, root: str) -> DataFrame:
+    """Style sheets: one chunk a file, with its classes."""
+    found = chunk_files(_files(spark, root).filter("language = 'scss'"), ids=False, notes=F.col("notes"))
+    return found.select(*_SHOWN, F.array_join("css_classes", " ").alias("classes"))
+
+
+@REGISTRY.add(
+    "chunk_script",
+    f"""
+WITH {_SQL_FILES},
+l AS (SELECT file_path, content, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n, unnest(string_split(content, chr(10))) AS line FROM d WHERE kind = 'script'),
+h AS (SELECT *, regexp_matches(line, '^(export[\\t-\\r ]+(default[\\t-\\r ]+)?)?(abstract[\\t-\\r ]+)?(class|interface|function|const|enum|type)[\\t-\\r ]+[A-Za-z_$]') AS opens FROM l),
+g AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY file_path ORDER BY n) AS i, count(*) OVER (PARTITION BY file_path) AS lines,
+             sum(CAST(opens AS INT)) OVER (PARTITION BY file_path) AS parts FROM h),
+c AS (SELECT file_path, CAST(i - 1 AS INT) AS chunk_idx, min(n) AS a, max(n) AS b, any_value(lines) AS lines,
+             string_agg(line, chr(10) ORDER BY n) || CASE WHEN max(n) < any_value(lines) THEN chr(10) ELSE '' END AS body, arg_min(line, n) AS head FROM g WHERE i > 0 GROUP BY file_path, i)
+SELECT file_path, chunk_idx, 'ts_' || regexp_extract(head, '^(?:export[\\t-\\r ]+(?:default[\\t-\\r ]+)?)?(?:abstract[\\t-\\r ]+)?(class|interface|function|const|enum|type)', 1) AS symbol_kind,
+       regexp_extract(head, '(?:class|interface|function|const|enum|type)[\\t-\\r ]+([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS symbol_name, a AS start_line,
+       a + length(left(body, length(body) - 1)) - length(replace(left(body, length(body) - 1), chr(10), '')) AS end_line, sha256(left(body, 2000)) AS content_sha FROM c
+UNION ALL
+SELECT DISTINCT file_path, 0, 'file', regexp_extract(file_path, '[^/]*$'), 1, lines, sha256(left(content, 2000)) FROM g WHERE parts = 0
+""",
+)
+def chunk_script(spark: SparkSession, root: str) -> DataFrame:
+    """Scripts: one chunk for each declaration at a line's begin."""
+    return chunk_files(_files(spark, root).filter("language = 'ts'"), ids=False, notes=F.col("notes")).select(*_SHOWN)
+
+
+@REGISTRY.add(
+    "chunk_twig_heads",
+    f"""
+WITH {_SQL_FILES}
+SELECT file_path, sha256(left(array_to_string(string_split(content, chr(10))[1:30], chr(10)), 1500)) AS content_sha,
+       least(30, 1 + length(content) - length(replace(content, chr(10), ''))) AS end_line,
+       nullif(regexp_extract(content, '\\{{%[\\t-\\r ]*(?:sw_extends|extends)[\\t-\\r ]+[''"]([^''"]+)[''"][\\t-\\r ]*%\\}}', 1), '') AS extends_target,
+       nullif(regexp_extract(content, '(?i)\\{{#[\\t-\\r ]*@deprecated[\\t-\\r ]+tag:(v6\\.\\d+\\.\\d+(?:\\.\\d+)?)[^#]*#\\}}', 1), '') AS deprecated_in
+FROM d WHERE kind = 'twig'
+""",
+)
+def chunk_twig_heads(spark: SparkSession, root: str) -> DataFrame:
+    """Templates: the chunk of each file's begin, what it extends and its deprecation."""
+    found = chunk_files(_files(spark, root).filter("language = 'twig'"), ids=False, notes=F.col("notes")).filter("symbol_kind = 'file'")
+    return found.select("file_path", "content_sha", "end_line", "extends_target", "deprecated_in")
 
 
 @REGISTRY.add("point_ids")

@@ -25,6 +25,8 @@ def embedded(chunks: DataFrame, store: Store, embedder: embedding.Embedder) -> D
 def ingest(files: DataFrame, store: Store, embedder: embedding.Embedder) -> DataFrame:
     """Take in the releases of ``files`` (tag, file_path, content) that are not done; returns (version, area, n).
 
+    A column ``sha``, if there is one, holds the commit a release points at, and is kept with it.
+
     Every step may be repeated: chunks replace their partitions, points and vectors keep the first
     record, and a release is marked done last.
     """
@@ -35,7 +37,11 @@ def ingest(files: DataFrame, store: Store, embedder: embedding.Embedder) -> Data
     tag = F.concat(F.lit("v"), F.col("version")).alias("tag")
     store.record_points(chunks.select("point_id", tag, "file_path", "content_sha"))
     counts = chunks.groupBy("version", "area").agg(F.count("*").alias("n"))
-    per_tag = {r[0]: r[1] for r in chunks.groupBy(tag).agg(F.count("*")).collect()}  # one row per release
-    for row in todo.select("tag").distinct().orderBy("tag").collect():
-        store.mark_done(row[0], "", per_tag.get(row[0], 0))
+    store.mark_all_done(finished(todo, chunks.groupBy(tag).agg(F.count("*").alias("chunk_count"))))
     return counts
+
+
+def finished(files: DataFrame, counts: DataFrame) -> DataFrame:
+    """(tag, sha, chunk_count) of the releases of files (tag, maybe sha) from counts (tag, chunk_count)."""
+    sha = F.coalesce(F.max("sha"), F.lit("")) if "sha" in files.columns else F.lit("")
+    return files.groupBy("tag").agg(sha.alias("sha")).join(counts, "tag", "left").fillna(0, ["chunk_count"])

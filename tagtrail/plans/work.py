@@ -30,8 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A path that nothing else uses, for one run."""
-    return f"{shared_dir(spark).rstrip('/')}/tagtrail-work/{name}-{uuid.uuid4().hex}"
+    """A path that nothing else uses, for one run, in the application's own folder."""
+    return f"{_folder(spark, shared_dir(spark))}/{name}-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession, where: str) -> str:
+    return f"{where.rstrip('/')}/tagtrail-work/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -44,8 +48,8 @@ def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Remove every table written by :func:`materialise` under the session's shared folder."""
+    """Remove every table this application wrote by :func:`materialise`; those of others in the shared folder stay."""
     where = spark.conf.get(_KEY, None) or _OWN.get(spark.sparkContext.applicationId)
     if where:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{where.rstrip('/')}/tagtrail-work")
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark, where))
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

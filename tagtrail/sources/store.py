@@ -29,16 +29,19 @@ SCHEMAS = {
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self._ensured = spark, root.rstrip("/"), False
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def ensure(self) -> None:
-        """Create what isn't there; safe to repeat."""
+        """Create what isn't there; safe to repeat, done once a session."""
+        if self._ensured:
+            return
         for name in SCHEMAS:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+        self._ensured = True
 
     def read(self, name: str) -> DataFrame:
         """A table; empty if nothing was written yet."""
@@ -49,10 +52,10 @@ class Store:
 
     def upsert_chunks(self, chunks: DataFrame) -> None:
         """Replace the (area, version) partitions that occur in ``chunks``; of rows with one point_id the last in path order counts."""
-        columns = [f.name for f in self.read("chunks").schema.fields]
+        kinds = dict(self.read("chunks").dtypes)
         rows = caching.last_of_each(chunks, ["point_id"], [F.col("file_path"), F.col("chunk_idx")])
         (
-            rows.select(*[c if c in rows.columns else F.lit(None).cast(dict(self.read("chunks").dtypes)[c]).alias(c) for c in columns])
+            rows.select(*[c if c in rows.columns else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
             .repartition("area", "version", F.pmod(F.xxhash64("file_path"), F.lit(8)))  # a large partition is written by several tasks
             .sortWithinPartitions("area", "version", "symbol_fqn")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("area", "version").parquet(self._path("chunks"))
@@ -96,8 +99,12 @@ class Store:
     # releases
 
     def mark_done(self, tag: str, sha: str, chunk_count: int) -> None:
-        row = self.spark.createDataFrame([(tag, sha, int(chunk_count))], "tag string, sha string, chunk_count int")
-        row.select("tag", "sha", F.current_timestamp().alias("finished_at"), "chunk_count").write.mode("append").parquet(self._path("tag_status"))
+        self.mark_all_done(self.spark.createDataFrame([(tag, sha, int(chunk_count))], "tag string, sha string, chunk_count int"))
+
+    def mark_all_done(self, releases: DataFrame) -> None:
+        """Releases (tag, sha, chunk_count) as done, in one write."""
+        count = F.col("chunk_count").cast("int").alias("chunk_count")
+        releases.select("tag", "sha", F.current_timestamp().alias("finished_at"), count).write.mode("append").parquet(self._path("tag_status"))
 
     def tag_summary(self) -> DataFrame:
         """The last state of every tag, in numeric order."""

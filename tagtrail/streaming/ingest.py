@@ -53,6 +53,17 @@ def ingest_available(files: DataFrame, store: Store, embedder: embedding.Embedde
     )
 
 
+def ingest_landed(files: DataFrame, store: Store, embedder: embedding.Embedder, checkpoint: str) -> None:
+    """As :func:`ingest_available`, waited for; then every release that has points and isn't done is marked done.
+
+    Files of a release that land later still are taken in, as each call reads what is new, and don't unmark it.
+    """
+    ingest_available(files, store, embedder, checkpoint).awaitTermination()
+    counts = store.read("chunk_index").groupBy("tag").agg(F.countDistinct("point_id").alias("chunk_count"))
+    done = store.read("tag_status").filter("finished_at is not null").select("tag").distinct()
+    store.mark_all_done(materialise(counts.join(done, "tag", "left_anti").select("tag", F.lit("").alias("sha"), "chunk_count"), "stream-done"))
+
+
 def deprecations_seen(files: DataFrame, delay: str = "1 day") -> DataFrame:
     """(window, deprecated_in, n) of a stream of files with ``landed_at``: marks counted by day, late files up to ``delay``."""
     marks = files.withWatermark("landed_at", delay).select("landed_at", F.explode(T.found("content", T.DEPRECATED)).alias("deprecated_in"))

@@ -9,7 +9,7 @@ from tagtrail.operators import caching
 from tagtrail.plans.ingest import ingest
 from tagtrail.sources import tree
 from tagtrail.sources.store import Store
-from tagtrail.streaming.ingest import deprecations_seen, ingest_available, stream_files
+from tagtrail.streaming.ingest import deprecations_seen, ingest_available, ingest_landed, stream_files
 
 EMBED = hashing_embedder(16)
 FILES = {
@@ -96,7 +96,17 @@ def test_streaming_takes_in_what_has_landed(spark, store, tmp_path):
         query.awaitTermination()
     ids = lambda s: sorted((r["version"], r["file_path"], r["content_sha"]) for r in s.chunks().collect())
     assert ids(other) == ids(store)
-    assert other.read("chunk_index").count() == other.chunks().count()
+    assert other.read("chunk_index").count() == other.chunks().count() and not other.is_done("v6.7.0.0")
+    ingest_landed(stream_files(spark, str(inbox)), other, EMBED, str(tmp_path / "seen"))
+    ingest_landed(stream_files(spark, str(inbox)), other, EMBED, str(tmp_path / "seen"))
+    assert [(r["tag"], r["chunk_count"]) for r in other.read("tag_status").orderBy("tag").collect()] == [("v6.6.0.0", 3), ("v6.7.0.0", 6)]
+
+
+def test_the_commit_of_a_release_is_kept(spark, tmp_path):
+    files = spark.createDataFrame([("v6.6.0.0", "src/Core/A.php", "<?php class A {}", "abc"), ("v6.7.0.0", "README", "x", None)], "tag string, file_path string, content string, sha string")
+    store = Store(spark, str(tmp_path))
+    ingest(files, store, EMBED)
+    assert sorted((r["tag"], r["sha"], r["chunk_count"]) for r in store.read("tag_status").collect()) == [("v6.6.0.0", "abc", 1), ("v6.7.0.0", "", 0)]
 
 
 def test_streaming_counts_with_late_data(spark, tmp_path):
@@ -112,9 +122,9 @@ def test_tools(store, landed):
     tools = Tools(store.chunks(), landed, EMBED)
     hits = tools.call("search_core", query="class A", version="6.7.0.0")
     assert hits["collection"] == "core" and {h["version"] for h in hits["hits"]} == {"6.7.0.0"}
-    assert tools.call("search_flow_builder", query="x") == "No matches for: x"
+    assert tools.call("search_flow_builder", query="x") == "No matches for: 'x'"
     found = tools.call("find_deprecations")
-    assert [r["symbol_fqn"] for r in found["results"]] == ["A"] and found["count"] == 1
+    assert [r["symbol_fqn"] for r in found["deprecations"]] == ["A"] and found["count"] == 1
     css = tools.call("find_css_class", class_name=".card")
     assert len(css["definitions"]) == 1 and len(css["usages"]) == 2
     path = json.loads(tools.call_json("upgrade_path", from_version="6.6.0.0", to_version="6.7.0.0"))

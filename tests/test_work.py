@@ -1,3 +1,4 @@
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -12,7 +13,10 @@ def test_materialise_and_release(spark):
     assert sorted(r[0] for r in kept.collect()) == list(range(10)) and kept.schema["n"].dataType == df.schema["n"].dataType
     assert work.materialise(df.limit(0), "none").count() == 0
     assert work.work_path(spark, "x") != work.work_path(spark, "x")
+    other = Path(work.shared_dir(spark)) / "tagtrail-work" / "another-application"
+    other.mkdir(parents=True)
     work.release(spark)
+    assert other.is_dir()
     with pytest.raises(Exception):
         kept.count()
 
