@@ -54,7 +54,7 @@ from tagtrail.plans.work import materialise
 #: One edit is allowed for so many words of the longer text.
 EVERY = 10
 #: Rows of a delivery's first part, how much larger each next part is, and most rows of a part that is hashed in memory.
-FIRST, GROWTH, SMALL = 8192, 16, 1 << 17
+FIRST, GROWTH, SMALL = 16384, 16, 1 << 18
 #: Fewest buckets of the store, and keys of a bucket when it is laid out.
 BUCKETS, PER_BUCKET = 8, 1 << 20
 #: Segments of a class that are numbered one by one.
