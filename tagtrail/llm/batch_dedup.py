@@ -44,10 +44,13 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tagtrail.llm.shared_spans import _MIX, _mixed, rolling
 from tagtrail.operators.greedy import first_accepted
 from tagtrail.plans.work import materialise
 
@@ -57,8 +60,8 @@ EVERY = 10
 FIRST, GROWTH, SMALL = 16384, 16, 1 << 18
 #: Fewest buckets of the store, and keys of a bucket when it is laid out.
 BUCKETS, PER_BUCKET = 8, 1 << 20
-#: Segments of a class that are numbered one by one.
-NUMBERED = 32
+#: Segments of a class that are numbered one by one; words cut at once.
+NUMBERED, WORDS = 32, 1 << 17
 
 
 def _bases() -> list[int]:
@@ -74,19 +77,6 @@ _WIDTHS = [4 if b < 36 else 5 for b in _BASES]
 _NUMBERS = [b // w for b, w in zip(_BASES, _WIDTHS, strict=True)]
 
 
-_ABOVE = [*(b - 1 for b in _BASES[1:]), (1 << 31) - 1]
-
-
-def _class_of(n: str) -> str:
-    """SQL of the class of a length."""
-    return f"(size(filter(array({', '.join(map(str, _BASES))}), b -> b <= {n})) - 1)"
-
-
-def _of_class(values: list[int]) -> Column:
-    """What is given for each class, of the column ``class``."""
-    return F.expr(f"array({', '.join(map(str, values))})[class]")
-
-
 def words(content: Column | str) -> Column:
     """The word sequence of a text: lower-cased runs of letters, digits and underscores."""
     return F.regexp_extract_all(F.lower(content), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
@@ -106,25 +96,38 @@ def _edits(n: Column) -> Column:
     return F.floor(n / (EVERY - 1)).cast("int")
 
 
-def _parity(half: int) -> Column:
-    """64 bits of the parity sketch: each word flips one bit of one half."""
-    return F.expr(
-        f"aggregate(codes, 0L, (acc, c) -> IF((shiftrightunsigned(c, 6) & 1) = {half}, acc ^ shiftleft(1L, CAST(c & 63 AS int)), acc))"
-    )
+class _Texts:
+    """The texts of a batch (cls, codes) as arrays: their lengths, where each begins, its parity sketch, and run hashes by width."""
 
+    def __init__(self, batch: pa.RecordBatch):
+        self.cls, codes = batch.column(0), batch.column(1)
+        self.flat = codes.flatten().to_numpy().view(np.uint64)
+        self.n = codes.value_lengths().to_numpy().astype(np.int64)
+        self.begin = np.cumsum(self.n) - self.n
+        bit = np.uint64(1) << (self.flat & np.uint64(63))
+        self.sketch = [  # each word flips one bit of one half
+            np.bitwise_xor.reduceat(np.where((self.flat >> np.uint64(6)) & np.uint64(1) == half, bit, np.uint64(0)), self.begin).view(np.int64)
+            for half in (0, 1)
+        ]
+        self.runs = {w: rolling(self.flat, w) for w in set(_WIDTHS)}
+
+    def hashed(self, width: np.ndarray, at: np.ndarray, of_class: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Hashes of the runs that begin at places of ``flat``, with their class and the number they are looked up by."""
+        h = np.empty(len(at), np.uint64)
+        for w, runs in self.runs.items():
+            mine = width == w
+            h[mine] = runs[at[mine]]
+        return _mixed(h + of_class.astype(np.uint64) * np.uint64(_MIX[0]) + number.astype(np.int64).view(np.uint64) * np.uint64(_MIX[1])).view(np.int64)
 
-def _sized(texts: DataFrame, name: str) -> DataFrame:
-    """Texts (codes, ...) with their length under a name, their parity sketch and no shorter ones than ``EVERY - 1``."""
-    rest = [c for c in texts.columns if c != "codes"]
-    return texts.select(*rest, "codes", F.size("codes").alias(name), _parity(0).alias("x0"), _parity(1).alias("x1")).filter(
-        F.col(name) >= EVERY - 1
-    )
 
+def _each(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts of rows: the number of the count and the row's number within it, of every row."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
 
-def _layout() -> dict[str, Column]:
-    """Width, count and half of the segments of a class, and how many share a number in look-ups."""
-    count = _of_class(_NUMBERS)
-    return {"width": _of_class(_WIDTHS), "count": count, "half": F.ceil(count / 2).cast("int"), "grouped": _of_class([max(1, k // NUMBERED) for k in _NUMBERS])}
+
+def _long_enough(texts: DataFrame) -> DataFrame:
+    return texts.select("cls", "codes").filter(F.size("codes") >= EVERY - 1)
 
 
 def segments(texts: DataFrame) -> DataFrame:
@@ -132,15 +135,77 @@ def segments(texts: DataFrame) -> DataFrame:
 
     Numbers of the second half count from the text's end, from -1 downwards.
     """
-    sized = _sized(texts.select("cls", "codes"), "n").withColumn("class", F.expr(_class_of("n"))).withColumns(_layout())
-    cut = F.expr("""transform(sequence(0, count - 1), i -> named_struct(
-        'number', IF(i < half, i, half - 1 - i), 'place', IF(i < half, i * width, n - (i - half + 1) * width)))""")
-    placed = sized.select("*", F.explode(cut).alias("s")).select("*", "s.*")
-    laid_out = F.expr("IF(number >= 0, number div grouped, -1 - (-1 - number) div grouped)")
-    return placed.select(
-        F.xxhash64(F.expr("xxhash64(slice(codes, place + 1, width))"), "class", laid_out.cast("int")).alias("h"),
-        "number", "place", "n", F.col("x0").alias("p0"), F.col("x1").alias("p1"), "cls",
-    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widths, numbers = np.array(_WIDTHS), np.array(_NUMBERS)
+        for batch in _bounded(batches):
+            t = _Texts(batch)
+            of_class = np.searchsorted(_BASES, t.n, "right") - 1
+            i, number = _each(numbers[of_class])
+            k, width = of_class[i], widths[of_class[i]]
+            half = -(-numbers[k] // 2)
+            place = np.where(number < half, number * width, t.n[i] - (number - half + 1) * width)
+            number = np.where(number < half, number, half - 1 - number)
+            group = np.maximum(1, numbers[k] // NUMBERED)
+            laid_out = np.where(number >= 0, number // group, -1 - (-1 - number) // group)
+            h = t.hashed(width, t.begin[i] + place, k, laid_out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.array(number.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(t.n[i].astype(np.int32)),
+                 pa.array(t.sketch[0][i]), pa.array(t.sketch[1][i]), t.cls.take(pa.array(i))],
+                names=["h", "number", "place", "n", "p0", "p1", "cls"],
+            )
+
+    return _long_enough(texts).mapInArrow(cut, "h bigint, number int, place int, n int, p0 bigint, p1 bigint, cls binary")
+
+
+def probes(texts: DataFrame) -> DataFrame:
+    """(h, at, m, q0, q1, q) of texts (cls, codes): the word runs of each text that a segment may equal, by the numbers it may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bases, widths, numbers = np.array(_BASES), np.array(_WIDTHS), np.array(_NUMBERS)
+        above = np.append(bases[1:] - 1, 1 << 31)
+        for batch in _bounded(batches):
+            t = _Texts(batch)
+            longest = t.n + t.n // (EVERY - 1)
+            first = np.searchsorted(bases, np.maximum(t.n - t.n // EVERY, EVERY - 1), "right") - 1
+            i, step = _each(np.searchsorted(bases, longest, "right") - first)
+            k = first[i] + step  # every class a near copy may have
+            i, k = i[widths[k] <= t.n[i]], k[widths[k] <= t.n[i]]
+            delta = np.maximum(t.n[i], np.minimum(above[k], longest[i])) // EVERY
+            j, at = _each(t.n[i] - widths[k] + 1)
+            i, k, delta = i[j], k[j], delta[j]
+            width, half = widths[k], -(-numbers[k] // 2)
+            group = np.maximum(1, numbers[k] // NUMBERED)
+            for right in (False, True):
+                gone, of_half = (t.n[i] - width - at, numbers[k] - half) if right else (at, half)  # words from its side's end
+                low = np.maximum(np.maximum(-(-gone // (width + 1)), -((delta - gone) // width)), 0)
+                high = np.minimum(np.minimum(gone // (width - 1), (gone + delta) // width), of_half - 1)
+                some = np.flatnonzero(low <= high)
+                low, high = low[some] // group[some], high[some] // group[some]
+                r, more = _each(high - low + 1)
+                number = low[r] + more
+                r = some[r]
+                text = i[r]
+                h = t.hashed(width[r], t.begin[text] + at[r], k[r], -1 - number if right else number)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(at[r].astype(np.int32)), pa.array(t.n[text].astype(np.int32)), pa.array(t.sketch[0][text]),
+                     pa.array(t.sketch[1][text]), t.cls.take(pa.array(text))],
+                    names=["h", "at", "m", "q0", "q1", "q"],
+                )
+
+    return _long_enough(texts).mapInArrow(run, "h bigint, at int, m int, q0 bigint, q1 bigint, q binary")
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, of about ``WORDS`` words each or one text."""
+    for batch in batches:
+        ends = np.cumsum(batch.column(1).value_lengths().to_numpy().astype(np.int64)) if batch.num_rows else np.empty(0, np.int64)
+        start = 0
+        while start < batch.num_rows:
+            held = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, held + WORDS, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def ranked(every: DataFrame, often: DataFrame) -> DataFrame:
@@ -150,33 +215,6 @@ def ranked(every: DataFrame, often: DataFrame) -> DataFrame:
     return every.join(often, "h").withColumn("kept", F.row_number().over(order) <= _edits(F.col("n")) + 1).drop("often")
 
 
-def probes(texts: DataFrame) -> DataFrame:
-    """(h, at, m, q0, q1, q) of texts (cls, codes): the word runs of each text that a segment may equal, by the numbers it may have."""
-    sized = _sized(texts.select("cls", "codes"), "m").withColumns({
-        "shortest": F.expr(f"greatest(m - m div {EVERY}, {EVERY - 1})"), "longest": F.expr(f"m + m div {EVERY - 1}")
-    })
-    by_class = (
-        sized.withColumn("class", F.explode(F.expr(f"sequence({_class_of('shortest')}, {_class_of('longest')})")))
-        .withColumns(_layout()).filter("width <= m")
-        .withColumn("delta", F.floor(F.greatest("m", F.least(_of_class(_ABOVE), "longest")) / EVERY).cast("int"))
-    )
-    runs = F.expr("transform(sequence(0, m - width), p -> xxhash64(slice(codes, p + 1, width)))")
-    of_text = ["cls", "m", "x0", "x1", "class", "width", "count", "half", "grouped", "delta"]
-    placed = by_class.select(*of_text, F.posexplode(runs).alias("at", "run"))
-
-    def numbers(gone: str, of_half: str) -> str:
-        """The numbers of segments that may stand ``gone`` words from their side's end."""
-        low = f"greatest(({gone} + width) div (width + 1), ({gone} - delta + width - 1) div width, 0)"
-        high = f"least({gone} div (width - 1), ({gone} + delta) div width, {of_half} - 1)"
-        return f"IF({low} <= {high}, sequence({low} div grouped, {high} div grouped), array())"
-
-    left, right = numbers("at", "half"), numbers("(m - width - at)", "(count - half)")
-    every = F.explode(F.expr(f"concat({left}, transform({right}, g -> -1 - g))")).alias("number")
-    return placed.select("cls", "m", "x0", "x1", "class", "at", "run", every).select(
-        F.xxhash64("run", "class", F.col("number").cast("int")).alias("h"), "at", "m", F.col("x0").alias("q0"), F.col("x1").alias("q1"), F.col("cls").alias("q")
-    )
-
-
 def within(a: list[int], b: list[int], limit: int) -> bool:
     """Whether at most ``limit`` insertions, removals and replacements make two sequences equal (bit-parallel)."""
     start, stop = 0, min(len(a), len(b))
@@ -331,8 +369,8 @@ class AcceptedIndex:
     def load(self, keys: DataFrame, contents: DataFrame) -> None:
         """The history: keys (see :func:`point_key`, :func:`sha_key`) and a table with the column content."""
         texts = _text_columns(contents.select("content").filter("content is not null"))
-        texts = texts.filter("cls is not null").groupBy("cls").agg(F.first("codes").alias("codes"))
-        texts = materialise(texts, "history-texts")
+        texts = texts.groupBy("cls").agg(F.first("codes").alias("codes"))
+        texts = materialise(texts, "history-texts").filter("cls is not null")  # a filter before would cut the words twice
         keys = keys.select("key").filter("key is not null").unionByName(texts.select(F.col("cls").alias("key")))
         keys = materialise(keys.distinct(), "history-keys")
         self._open(keys.count())
