@@ -8,11 +8,14 @@ indexed. A query walks all trees at once with one shared priority queue: the bra
 a node waits with its distance from the hyperplane, and the least one over all trees goes next,
 until ``PROBES`` leaves are seen.
 
-Vectors and queries meet by a shuffle on the leaf, with their values as given; leaves that the
-sample expects to be large are split into blocks which every query of the leaf visits, so no task
-gets an unbounded group. Each block ranks all of its vectors for a query in double precision, ties
-by id, and gives the first k; the first k of those over all leaves are the result. So what is lost
-is only what shares no leaf with the query.
+Vectors and queries meet by a shuffle on the leaf, with their values as given. Leaves are large and
+few are seen, as each leaf a vector is sent to costs its bytes, and products within a leaf are
+cheap. Past ``LEAF * 2**DEPTH`` vectors leaves grow with the collection: a leaf of more than
+``LOCAL`` vectors gets a forest of its own, grown in its task, in which a query sees ``LOCAL_PROBES``
+leaves, so a query's work doesn't grow with the leaf; and one of more than ``BLOCK`` is split into
+blocks which every query of the leaf visits, so no task gets an unbounded group. Each leaf ranks
+all of its vectors for a query in double precision, ties by id, and gives the first k; the first k
+of those over all leaves are the result. So what is lost is only what shares no leaf with the query.
 
 Defined results
     * usable vectors have the expected number of finite values, not all zero; of rows with the same
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 from tagtrail.plans.work import materialise
 
 #: Trees, leaves seen by a query, vectors of a leaf, most levels, sample of the fit, most vectors of a block.
-TREES, PROBES, LEAF, DEPTH, SAMPLE, BLOCK = 12, 18, 256, 14, 65_536, 8192
+TREES, PROBES, LEAF, DEPTH, SAMPLE, BLOCK = 8, 10, 1024, 14, 65_536, 65_536
+#: Vectors of a leaf that are all compared; trees and leaves seen by a query in the forest of a larger one.
+LOCAL, LOCAL_TREES, LOCAL_PROBES = 8192, 4, 12
 #: More than the order of summation can change in a similarity; most similarities, and most pairs, computed at once.
 SLACK, CELLS, PAIRS = 1e-12, 1 << 22, 1 << 16
 
@@ -139,6 +144,35 @@ def _similarity(q: np.ndarray, m: np.ndarray, row: np.ndarray, col: np.ndarray)
     return np.minimum(1.0, np.concatenate([np.empty(0), *parts]))
 
 
+class _Held:
+    """The vectors of a leaf (or of a block of one), with a forest of their own if they are many."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.ids, self.unit, self.asks = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
+        self.forest: Forest | None = None
+        if len(self.ids) > LOCAL:
+            small = self.unit.astype(np.float32)
+            sample = small[np.random.default_rng(len(small)).choice(len(small), LOCAL, replace=False)]
+            self.forest = fit(sample, len(small), LOCAL_TREES, LEAF, seed=13)
+            own = np.concatenate([self.forest.walk(small[i : i + 4096], LOCAL_TREES) for i in range(0, len(small), 4096)])
+            order = np.argsort(own.ravel(), kind="stable")
+            leaves, begin = np.unique(own.ravel()[order], return_index=True)
+            self.leaves = dict(zip(leaves.tolist(), np.split(order // LOCAL_TREES, begin[1:]), strict=True))
+
+    def meeting(self, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows of the queries, numbers of the vectors) to be compared."""
+        if self.forest is None:
+            yield np.arange(len(q)), np.arange(len(self.ids))
+            return
+        for i in range(0, len(q), 4096):
+            seen = self.forest.walk(q[i : i + 4096].astype(np.float32), LOCAL_PROBES)
+            order = np.argsort(seen.ravel(), kind="stable")
+            leaves, begin = np.unique(seen.ravel()[order], return_index=True)
+            for leaf, rows in zip(leaves.tolist(), np.split(order // seen.shape[1], begin[1:]), strict=True):
+                if leaf in self.leaves:
+                    yield rows + i, self.leaves[leaf]
+
+
 def _routed(members: DataFrame, forest, probes: int, dim: int) -> DataFrame:
     """(leaf, block, role, id, raw) rows: 0 a vector that is also a query, 1 a vector, 2 a query."""
 
@@ -200,8 +234,15 @@ def _candidates(routed: DataFrame, k: int, least: float | None, dim: int) -> Dat
             [pa.array(q_id[row[keep]]), pa.array(m_id[col[keep]]), pa.array(value[keep])], names=["q", "c", "similarity"]
         )
 
+    def answers(q_id: np.ndarray, q: np.ndarray, held: _Held) -> Iterator[pa.RecordBatch]:
+        for rows, members in held.meeting(q):
+            step = max(1, CELLS // max(1, len(members)))
+            m_id, m = held.ids[members], held.unit[members]
+            for i in range(0, len(rows), step):
+                yield best(q_id[rows[i : i + step]], q[rows[i : i + step]], m_id, m)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, m_id, m = None, [], []
+        key, parts, held = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -210,26 +251,19 @@ def _candidates(routed: DataFrame, k: int, least: float | None, dim: int) -> Dat
             edges = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(block) != 0)) + 1
             for a, b in zip([0, *edges], [*edges, len(leaf)], strict=True):
                 if key != (leaf[a], block[a]):
-                    yield from own_queries(m_id, m)
-                    key, m_id, m = (leaf[a], block[a]), [], []
-                held = a + int(np.searchsorted(role[a:b], 2))
-                if held > a:
-                    m_id.append((ids[a:held], role[a:held] == 0))
-                    m.append(unit[a:held])
-                if held < b and m:
-                    all_id, all_m = np.concatenate([x for x, _ in m_id]), np.concatenate(m)
-                    step = max(1, CELLS // len(all_m))
-                    for i in range(held, b, step):
-                        yield best(ids[i : min(b, i + step)], unit[i : min(b, i + step)], all_id, all_m)
-        yield from own_queries(m_id, m)
-
-    def own_queries(m_id: list, m: list) -> Iterator[pa.RecordBatch]:
-        if m:
-            all_id, asks, all_m = np.concatenate([x for x, _ in m_id]), np.concatenate([x for _, x in m_id]), np.concatenate(m)
-            q_id, q = all_id[asks], all_m[asks]
-            step = max(1, CELLS // len(all_m))
-            for i in range(0, len(q), step):
-                yield best(q_id[i : i + step], q[i : i + step], all_id, all_m)
+                    yield from own_queries(held or _Held(parts))
+                    key, parts, held = (leaf[a], block[a]), [], None
+                upto = a + int(np.searchsorted(role[a:b], 2))
+                if upto > a:
+                    parts.append((ids[a:upto], unit[a:upto], role[a:upto] == 0))
+                if upto < b and parts:
+                    held = held or _Held(parts)  # queries come after all vectors
+                    yield from answers(ids[upto:b], unit[upto:b], held)
+        yield from own_queries(held or _Held(parts))
+
+    def own_queries(held: _Held) -> Iterator[pa.RecordBatch]:
+        if len(held.ids):
+            yield from answers(held.ids[held.asks], held.unit[held.asks], held)
 
     met = routed.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "role")
     return met.mapInArrow(run, "q bigint, c bigint, similarity double")
@@ -258,6 +292,7 @@ def nearest(
     whose number in id order among all, copies too, it divides are asked for; all are searched.
     """
     spark = vectors.sparkSession
+    vectors = materialise(vectors.select("id", "vector"), "usable")  # read by every step below
     copies = Window.partitionBy(direction("vector")).orderBy("id")
     rows = vectors.select("id", "vector", F.lit(True).alias("asks"))
     if one_in > 1:

@@ -61,7 +61,7 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 @REGISTRY.add("p3_nearest")
 def p3_nearest(spark: SparkSession, root: str) -> DataFrame:
     """The five most similar of every twentieth vector, among all."""
-    return neighbours.nearest(_vectors(spark, root), one_in=20, trees=16, probes=160)
+    return neighbours.nearest(_vectors(spark, root), one_in=20, trees=8, probes=48)
 
 
 @REGISTRY.add("p5_found")

@@ -57,6 +57,17 @@ def test_split_leaves_give_the_same(spark, monkeypatch):
     assert whole == split == {(a, o) for a, best in exact(rows, 3).items() for o, _ in best}
 
 
+def test_large_leaves_get_a_forest_of_their_own(spark, monkeypatch):
+    rows = clustered(1500, 16, 12)
+    monkeypatch.setattr(nb, "LOCAL", 300)
+    monkeypatch.setattr(nb, "LEAF", 100)
+    links = nb.nearest(frame(spark, rows), 5, dim=16, leaf=5000).collect()  # one leaf of the first forest
+    want, got = exact(rows, 5), {}
+    for r in links:
+        got.setdefault(r["id"], set()).add(r["other"])
+    assert sum(len(got[a] & {o for o, _ in best}) for a, best in want.items()) >= 0.9 * 5 * len(rows)
+
+
 def test_copies_and_ties(spark):
     copies = [(f"c{i:03}", [1.0, 2.0, 3.0]) for i in range(300)]
     others = clustered(200, 3, 4)
