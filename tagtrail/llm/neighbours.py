@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tagtrail.plans.work import materialise
 
 #: Trees, leaves seen by a query, vectors of a leaf, most levels, sample of the fit, most vectors of a block.
-TREES, PROBES, LEAF, DEPTH, SAMPLE, BLOCK = 8, 10, 1024, 14, 65_536, 65_536
+TREES, PROBES, LEAF, DEPTH, SAMPLE, BLOCK = 8, 14, 1024, 14, 65_536, 65_536
 #: Vectors of a leaf that are all compared; trees and leaves seen by a query in the forest of a larger one.
 LOCAL, LOCAL_TREES, LOCAL_PROBES = 8192, 4, 12
 #: More than the order of summation can change in a similarity; most similarities, and most pairs, computed at once.
