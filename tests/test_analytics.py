@@ -123,3 +123,10 @@ def test_related_changelog(spark):
     paths = spark.createDataFrame([("src/a/FooService.php",), ("src/a/x.php",)], "file_path string")
     got = {(r[0], r[1]) for r in analytics.changelog_mentions(df, paths).collect()}
     assert got == {("src/a/FooService.php", c) for c in ("c1", "c2", "c3")} | {("src/a/x.php", "c4")}
+
+
+def test_a_path_is_found_behind_any_folder(spark):
+    said = [("vendor/x/src/a/FooService.php", "c1"), ("see ./src/a/FooService.php.", "c2"), ("Core/FooService.php", "c3"), ("XFooService.php", "c4"), (None, "c5")]
+    df = chunks(spark, *[{"area": "changes", "content": t, "file_path": c} for t, c in said])
+    paths = spark.createDataFrame([("src/a/FooService.php",), ("src/a/FooService.php",)], "file_path string")
+    assert sorted(r[1] for r in analytics.changelog_mentions(df, paths).collect()) == ["c1", "c2", "c3"]
