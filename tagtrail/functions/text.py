@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,15 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often and within whatever lambda it is used.
+
+    The start of a fold over nothing, as that fold's type is known from ``use`` alone: nested
+    elements of nested arrays take the analyser twice as long with each level.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, use)
+
+
 def strip(text: Column | str) -> Column:
     """Without surrounding white space of any kind."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -1,9 +1,10 @@
 """Files cut into symbol-level chunks.
 
 All languages but PHP are cut by column expressions, in the scan's stage: a text is split in front
-of its headers, or its matches are placed by a fold, and line numbers follow from the line ends
-before each piece. PHP needs a scanner that knows strings and nesting, so its files go through one
-Arrow-batched function. Content is cut at 2,000 characters.
+of its headers or around its marks, and line numbers follow from sums of the pieces' line ends, so
+the work grows with the text alone; what is used twice is bound first. PHP needs a scanner that
+knows strings and nesting, so its files go through one Arrow-batched function. Content is cut at
+2,000 characters.
 
 Input: (version, file_path, area, language, content), see :mod:`tagtrail.sources.tree`. Files of
 area ``other``, without language, without a chunker (yaml, markdown that is neither changelog nor
@@ -19,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,8 +39,7 @@ FIELDS = {
     "css_classes": "array<string>", "extends_target": "string",
 }
 _STRUCT = "struct<" + ",".join(f"{k}:{v}" for k, v in FIELDS.items()) + ">"
-_PIECE = "struct<text:string,line:int>"
-_SPAN = "struct<start:int,stop:int>"
+_RUN = 256  # values that are summed one after another
 
 #: What opens declarations, sections, releases and entries.
 _DECLARATION = r"^(?:export\s+(?:default\s+)?)?(?:abstract\s+)?(class|interface|function|const|enum|type)\s+([A-Za-z_$][A-Za-z0-9_$]*)"
@@ -51,11 +51,13 @@ _SUB = r"^##\s+(.+)$"
 
 
 def _chunk(**values: Column) -> Column:
-    given = {"symbol_fqn": F.lit(""), **values}
-    return F.struct(*[
-        (F.left(given[k], F.lit(T.MOST)) if k == "content" else given.get(k, F.lit(None))).cast(kind).alias(k)
-        for k, kind in FIELDS.items()
-    ])
+    def field(key: str, kind: str) -> Column:
+        if key not in values:
+            return F.expr(f"CAST({"''" if key == 'symbol_fqn' else 'NULL'} AS {kind}) AS {key}")
+        given = F.left(values[key], F.lit(T.MOST)) if key == "content" else values[key]
+        return given.cast(kind).alias(key)
+
+    return F.struct(*[field(*f) for f in FIELDS.items()])
 
 
 def _none() -> Column:
@@ -66,31 +68,53 @@ def line_ends(text: Column) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def running(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join``, which is associative, makes of ``zero`` and all values before each one.
+
+    Sums of blocks of ``_RUN`` values are put in front of the sums within them, so that no long
+    array is copied for each of its values.
+    """
+    onto = lambda acc, x: F.array_append(acc, join(F.element_at(acc, -1), x))
+    last = (F.greatest(F.size(values), F.lit(1)) - 1) / _RUN
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(last).cast("int")), lambda b: F.slice(values, b * _RUN + 1, _RUN))
+
+    def joined(within: Column) -> Column:
+        before = F.aggregate(F.transform(within, lambda w: F.element_at(w, -1)), F.array(zero), onto)
+        return T.once(before, lambda base: F.flatten(F.transform(
+            within, lambda w, i: F.transform(F.slice(w, 1, F.size(w) - 1), lambda x: join(base[i], x))
+        )))
+
+    return T.once(F.transform(blocks, lambda b: F.aggregate(b, F.array(zero), onto)), joined)
+
+
+def _sums(counts: Column) -> Column:
+    return T.once(counts, lambda n: running(n, F.lit(0), lambda a, b: a + b))
+
+
 def pieces(text: Column, header: str) -> Column:
     """array<text, line>: a text cut in front of every header, with the line each piece begins at."""
-    start = F.struct(F.lit(1).alias("line"), F.array().cast(f"array<{_PIECE}>").alias("out"))
-    step = lambda acc, p: F.struct(
-        (acc["line"] + line_ends(p)).alias("line"),
-        F.array_append(acc["out"], F.struct(p.alias("text"), acc["line"].alias("line"))).alias("out"),
-    )
-    return F.aggregate(F.split(text, rf"(?dmU)(?={header})"), start, step)["out"]
-
+    return T.once(F.split(text, rf"(?dmU)(?={header})"), lambda parts: F.zip_with(
+        parts, _sums(F.transform(parts, line_ends)), lambda p, n: F.struct(p.alias("text"), (n + 1).alias("line"))
+    ))
 
-def spans(text: Column, matches: Column) -> Column:
-    """array<start, stop>: where matches that follow one another stand in a text, from 0."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = (F.position(m, text, acc["at"] + 1) - 1).cast("int")
-        end = (begin + F.char_length(m)).cast("int")
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("stop"))).alias("out"))
+def placed(text: Column, pattern: str) -> Column:
+    """array<before, text, after, line, last>: matches, what stands up to the neighbours, their first and last line."""
 
-    return F.aggregate(matches, start, step)["out"]
+    def lined(hits: Column) -> Column:
+        lines = _sums(F.transform(hits, lambda h: line_ends(h["before"]) + line_ends(h["text"])))
+        return F.zip_with(hits, lines, lambda h, n: T.once(n + line_ends(h["before"]) + 1, lambda line: F.struct(
+            h["before"].alias("before"), h["text"].alias("text"), h["after"].alias("after"),
+            line.alias("line"), (line + line_ends(h["text"])).alias("last"),
+        )))
 
+    def between(gaps: Column) -> Column:
+        hits = F.transform(T.found(text, pattern, 0), lambda m, i: F.struct(
+            gaps[i].alias("before"), m.alias("text"), gaps[i + 1].alias("after")
+        ))
+        return T.once(hits, lined)
 
-def line_at(text: Column, offset: Column) -> Column:
-    """The line of an offset, from 1."""
-    return line_ends(F.left(text, offset)) + 1
+    return T.once(F.split(text, pattern), between)
 
 
 def _whole(content: Column, name: Column, kind: str = "file", **more: Column) -> Column:
@@ -112,14 +136,14 @@ def script(content: Column, name: Column) -> Column:
     """One chunk per declaration at a line's begin, up to the next; what stands before the first is dropped."""
     starting = rf"(?d)\A{_DECLARATION[1:]}"
     declared = F.filter(pieces(content, _DECLARATION), lambda p: p["text"].rlike(starting))
-    chunks = F.transform(declared, lambda p: _chunk(
+    chunk = lambda p: _chunk(
         symbol_kind=F.concat(F.lit("ts_"), F.regexp_extract(p["text"], starting, 1)),
         symbol_name=F.regexp_extract(p["text"], starting, 2),
         start_line=p["line"],
         end_line=p["line"] + line_ends(F.left(p["text"], F.char_length(p["text"]) - 1)),
         content=p["text"],
-    ))
-    return F.when(F.size(declared) > 0, chunks).otherwise(F.array(_whole(content, name)))
+    )
+    return T.once(declared, lambda d: F.when(F.size(d) > 0, F.transform(d, chunk)).otherwise(F.array(_whole(content, name))))
 
 
 def vue(content: Column, name: Column) -> Column:
@@ -129,85 +153,104 @@ def vue(content: Column, name: Column) -> Column:
         T.first_found(content, r"Component\.override\s*\(\s*['\"]([^'\"]+)['\"]"),
         name,
     )
-    matches = T.found(content, _VUE_SECTION, 0)
-    parts = F.arrays_zip(
-        T.found(content, _VUE_SECTION, 1).alias("kind"), T.found(content, _VUE_SECTION, 3).alias("body"),
-        spans(content, matches).alias("at"),
-    )
-    chunks = F.transform(parts, lambda s: _chunk(
-        symbol_kind=F.concat(F.lit("vue_"), s["kind"]), symbol_name=component, content=s["body"],
-        start_line=line_at(content, s["at"]["start"]), end_line=line_at(content, s["at"]["stop"]),
-    ))
-    return F.when(F.size(matches) > 0, chunks).otherwise(F.array(_whole(content, component, "vue_component")))
+
+    def sections(found: Column, called: Column) -> Column:
+        chunks = F.transform(found, lambda s: _chunk(
+            symbol_kind=F.concat(F.lit("vue_"), F.regexp_extract(s["text"], _VUE_SECTION, 1)), symbol_name=called,
+            content=F.regexp_extract(s["text"], _VUE_SECTION, 3), start_line=s["line"], end_line=s["last"],
+        ))
+        return F.when(F.size(found) > 0, chunks).otherwise(F.array(_whole(content, called, "vue_component")))
+
+    return T.once(component, lambda called: T.once(placed(content, _VUE_SECTION), lambda found: sections(found, called)))
 
 
 def twig(content: Column, name: Column) -> Column:
     """A chunk of the file's first 30 lines, and one per block up to the first end behind its begin.
 
-    Ends are given out in order: a block takes the first end that lies behind its own begin and
-    behind the end taken before, so an outer block may stop at an inner end. A block without a
-    free end is left out.
+    Ends are given out in order: a block takes the first end that lies behind its own begin (not
+    right at it) and behind the end taken before, so an outer block may stop at an inner end. So
+    the i-th block takes the end of number ``i + max(c_j - j)`` over all j up to i, if c_j ends lie
+    before the j-th block's content. A block without a free end is left out.
     """
-    deprecated = T.first_found(content, T.TWIG_DEPRECATED)
     head = F.left(F.array_join(F.slice(F.split(content, "\n"), 1, 30), "\n"), F.lit(1500))
-    file = _chunk(
-        symbol_kind=F.lit("file"), symbol_name=name, content=head, deprecated_in=deprecated, start_line=F.lit(1),
-        end_line=F.least(F.lit(30), line_ends(content) + 1), extends_target=T.first_found(content, T.TWIG_EXTENDS),
-    )
-    opens = F.arrays_zip(T.found(content, T.TWIG_BLOCK).alias("name"), spans(content, T.found(content, T.TWIG_BLOCK, 0)).alias("at"))
-    ends = spans(content, T.found(content, T.TWIG_END, 0))
-    block = "struct<name:string,start:int,stop:int>"
-    start = F.struct(F.lit(0).alias("free"), F.array().cast(f"array<{block}>").alias("out"))
-
-    def step(acc: Column, o: Column) -> Column:
-        end = F.try_element_at(F.filter(ends, lambda e: (e["start"] > o["at"]["stop"]) & (e["start"] >= acc["free"])), F.lit(1))
-        taken = F.struct(
-            end["stop"].alias("free"),
-            F.array_append(acc["out"], F.struct(o["name"].alias("name"), o["at"]["start"].alias("start"), end["stop"].alias("stop"))).alias("out"),
-        )
-        return F.when(end.isNull(), acc).otherwise(taken)
+    is_end = lambda m: m["text"].rlike(r"\A\{%\s*endblock")
+
+    def paired(opens: Column, ends: Column) -> Column:
+        """array<a, b>: the marks each block begins and ends at."""
+        ahead = F.transform(opens, lambda o, i: o["ends"] - i)
+        larger = lambda a, b: F.greatest(a, b)
+        most = T.once(ahead, lambda c: F.zip_with(running(c, F.lit(0), larger), c, larger))
+        both = T.once(most, lambda m: F.transform(opens, lambda o, i: F.struct(
+            o["at"].alias("a"), F.try_element_at(ends, i + m[i] + 1).alias("b")
+        )))
+        return F.filter(both, lambda x: x["b"].isNotNull())
+
+    def ends_before(marks: Column) -> Column:
+        counts = _sums(F.transform(marks, lambda m: is_end(m).cast("int")))
+        at_once = lambda m, i: (m["after"] == "") & F.coalesce(is_end(F.try_element_at(marks, i + 2)), F.lit(False))
+        opens = T.once(counts, lambda n: F.transform(marks, lambda m, i: F.struct(
+            i.alias("at"), is_end(m).alias("end"), (n[i] + at_once(m, i).cast("int")).alias("ends")
+        )))
+        return T.once(opens, lambda all_: T.once(
+            F.transform(F.filter(all_, lambda m: m["end"]), lambda m: m["at"]),
+            lambda ends: T.once(F.filter(all_, lambda m: ~m["end"]), lambda o: paired(o, ends)),
+        ))
+
+    def blocks(marks: Column, deprecated: Column) -> Column:
+        def chunk(begin: Column, end: Column, body: Column) -> Column:
+            return _chunk(
+                symbol_kind=F.lit("twig_block"), symbol_name=F.regexp_extract(begin["text"], T.TWIG_BLOCK, 1), content=body,
+                deprecated_in=F.coalesce(T.first_found(body, T.TWIG_DEPRECATED), deprecated),
+                start_line=begin["line"], end_line=end["last"],
+            )
 
-    blocks = F.aggregate(opens, start, step)["out"]
+        texts = F.flatten(F.transform(marks, lambda m: F.array(m["before"], m["text"])))
+        return T.once(texts, lambda parts: F.transform(ends_before(marks), lambda x: T.once(
+            F.array_join(F.slice(parts, 2 * x["a"] + 2, 2 * (x["b"] - x["a"]) + 1), ""),
+            lambda body: chunk(marks[x["a"]], marks[x["b"]], body),
+        )))
 
-    def chunk(b: Column) -> Column:
-        body = F.substring(content, b["start"] + 1, b["stop"] - b["start"])
-        return _chunk(
-            symbol_kind=F.lit("twig_block"), symbol_name=b["name"], content=body,
-            deprecated_in=F.coalesce(T.first_found(body, T.TWIG_DEPRECATED), deprecated),
-            start_line=line_at(content, b["start"]), end_line=line_at(content, b["stop"]),
+    def whole(deprecated: Column) -> Column:
+        file = _chunk(
+            symbol_kind=F.lit("file"), symbol_name=name, content=head, deprecated_in=deprecated, start_line=F.lit(1),
+            end_line=F.least(F.lit(30), line_ends(content) + 1), extends_target=T.first_found(content, T.TWIG_EXTENDS),
         )
+        marks = placed(content, f"{T.TWIG_BLOCK}|{T.TWIG_END}")
+        return F.concat(F.array(file), T.once(marks, lambda m: blocks(m, deprecated)))
 
-    return F.concat(F.array(file), F.transform(blocks, chunk))
+    return T.once(T.first_found(content, T.TWIG_DEPRECATED), whole)
 
 
 def _front_value(front: Column, key: str) -> Column:
     raw = T.strip(F.regexp_extract(front, rf"(?dm)^{key}:[ \t]*(.*)$", 1))
     bare = F.regexp_replace(raw, r"^(['\"])(.*)\1$", "$2")
-    return F.nullif(F.when(F.lower(bare).isin("null", "~"), F.lit("")).otherwise(bare), F.lit(""))
+    return T.once(bare, lambda v: F.nullif(F.when(F.lower(v).isin("null", "~"), F.lit("")).otherwise(v), F.lit("")))
 
 
 def changelog(content: Column, name: Column, path: Column) -> Column:
     """One chunk per headed section, under the entry's title; the whole text as ``general`` without headers."""
-    front = F.regexp_extract(content, _FRONT, 1)
-    body = F.regexp_replace(content, _FRONT, "")
-    title = F.coalesce(_front_value(front, "title"), F.lit(""))
-    headed = F.filter(pieces(body, _SECTION), lambda p: p["text"].rlike(rf"(?dmU)\A{_SECTION}"))
-    sections = F.transform(headed, lambda p: F.struct(
-        T.strip(F.regexp_extract(p["text"], rf"(?dmU)\A{_SECTION}", 1)).alias("name"), T.strip(p["text"]).alias("text")
+    headed = rf"(?dmU)\A{_SECTION}"
+    of_entry = T.once(F.regexp_extract(content, _FRONT, 1), lambda front: F.struct(
+        F.coalesce(_front_value(front, "title"), F.lit("")).alias("title"),
+        *[_front_value(front, key).alias(key) for key in ("issue", "author", "flag")],
+        T.target_version(path).alias("release"),
     ))
-    general = F.array(F.struct(F.lit("general").alias("name"), body.alias("text")))
-    parts = F.when(F.size(sections) > 0, sections).otherwise(general)
 
-    def chunk(s: Column) -> Column:
-        full = T.strip(F.concat(title, F.lit("\n\n"), s["text"]))
-        return _chunk(
-            symbol_kind=F.lit("changelog_entry"), symbol_name=F.coalesce(F.nullif(title, F.lit("")), name), content=full,
-            start_line=F.lit(1), end_line=line_ends(full) + 1, target_version=T.target_version(path),
-            section=F.lower(s["name"]), issue=_front_value(front, "issue"), author=_front_value(front, "author"),
-            flag=_front_value(front, "flag"),
-        )
+    def chunk(entry: Column, section: Column, text: Column) -> Column:
+        return T.once(T.strip(F.concat(entry["title"], F.lit("\n\n"), text)), lambda full: _chunk(
+            symbol_kind=F.lit("changelog_entry"), symbol_name=F.coalesce(F.nullif(entry["title"], F.lit("")), name), content=full,
+            start_line=F.lit(1), end_line=line_ends(full) + 1, target_version=entry["release"],
+            section=F.lower(section), issue=entry["issue"], author=entry["author"], flag=entry["flag"],
+        ))
 
-    return F.when(T.strip(body) != "", F.transform(parts, chunk)).otherwise(_none())
+    def cut(entry: Column, body: Column) -> Column:
+        sections = F.filter(pieces(body, _SECTION), lambda p: p["text"].rlike(headed))
+        chunks = T.once(sections, lambda found: F.when(F.size(found) > 0, F.transform(
+            found, lambda p: chunk(entry, T.strip(F.regexp_extract(p["text"], headed, 1)), T.strip(p["text"]))
+        )).otherwise(F.array(chunk(entry, F.lit("general"), body))))
+        return F.when(T.strip(body) != "", chunks).otherwise(_none())
+
+    return T.once(of_entry, lambda entry: T.once(F.regexp_replace(content, _FRONT, ""), lambda body: cut(entry, body)))
 
 
 def upgrade_notes(content: Column, name: Column) -> Column:
@@ -221,24 +264,21 @@ def upgrade_notes(content: Column, name: Column) -> Column:
             start_line=line, end_line=line + line_ends(body), target_version=release, title=title,
         )
 
-    def of_release(r: Column) -> Column:
-        number = F.regexp_extract(r["text"], starting, 1)
-        parts = pieces(r["text"], _SUB)
-        titled = F.filter(parts, lambda p: p["text"].rlike(sub))
-
+    def of_release(r: Column, number: Column, parts: Column) -> Column:
         def part(p: Column) -> Column:
-            is_titled = p["text"].rlike(sub)
-            return note(
-                number, F.when(is_titled, T.strip(F.regexp_extract(p["text"], sub, 1))).otherwise("intro"),
-                F.when(is_titled, p["text"]).otherwise(T.strip(p["text"])), r["line"] + p["line"] - 1,
-            )
+            line = r["line"] + p["line"] - 1
+            titled = note(number, T.strip(F.regexp_extract(p["text"], sub, 1)), p["text"], line)
+            return F.when(p["text"].rlike(sub), titled).otherwise(note(number, F.lit("intro"), T.strip(p["text"]), line))
 
         whole = F.array(note(number, F.lit("general"), r["text"], r["line"]))
-        return F.when(F.size(titled) > 0, F.transform(parts, part)).otherwise(whole)
+        return F.when(F.exists(parts, lambda p: p["text"].rlike(sub)), F.transform(parts, part)).otherwise(whole)
 
-    return F.when(F.size(releases) > 0, F.flatten(F.transform(releases, of_release))).otherwise(
+    each = lambda r: T.once(F.regexp_extract(r["text"], starting, 1), lambda number: T.once(
+        pieces(r["text"], _SUB), lambda parts: of_release(r, number, parts)
+    ))
+    return T.once(releases, lambda found: F.when(F.size(found) > 0, F.flatten(F.transform(found, each))).otherwise(
         F.array(_whole(content, name, "upgrade_note"))
-    )
+    ))
 
 
 #: Fixed value: what opens a type in the older reading of PHP.
@@ -255,22 +295,26 @@ def php_types(content: Column, name: Column) -> Column:
     at the types behind it; :func:`php_symbols` is the reading that is indexed.
     """
     space = T.first_found(content, r"(?dm)^namespace\s+([A-Za-z0-9_\\]+)\s*;")
-    matches = T.found(content, _PHP_DECLARATION, 0)
-    at = spans(content, matches)
-    parts = F.arrays_zip(
-        T.found(content, _PHP_DECLARATION, 1).alias("kind"), T.found(content, _PHP_DECLARATION, 2).alias("name"), at.alias("at"),
-        F.concat(F.slice(F.transform(at, lambda x: x["start"]), 2, 1_000_000), F.array(F.char_length(content))).alias("until"),
-    )
 
-    def chunk(p: Column) -> Column:
+    def chunk(m: Column, body: Column, space: Column, marked: Column) -> Column:
+        called = F.regexp_extract(m["text"], _PHP_DECLARATION, 2)
         return _chunk(
-            symbol_kind=p["kind"], symbol_name=p["name"], symbol_fqn=F.concat_ws("\\", space, p["name"]),
-            content=T.strip(F.substring(content, p["at"]["start"] + 1, p["until"] - p["at"]["start"])),
-            deprecated_in=T.last_deprecation(F.left(content, p["at"]["stop"])),
-            start_line=line_at(content, p["at"]["start"]), end_line=line_at(content, p["until"] - 1),
+            symbol_kind=F.regexp_extract(m["text"], _PHP_DECLARATION, 1), symbol_name=called,
+            symbol_fqn=F.concat_ws("\\", space, called), content=T.strip(body), deprecated_in=marked,
+            start_line=m["line"], end_line=m["line"] + line_ends(F.left(body, F.char_length(body) - 1)),
         )
 
-    return F.when(F.size(matches) > 0, F.transform(parts, chunk)).otherwise(F.array(_whole(content, name)))
+    def cut(types: Column, space: Column) -> Column:
+        marks = F.transform(types, lambda m: T.last_deprecation(F.concat(m["before"], m["text"])))
+        latest = lambda a, b: F.coalesce(b, a)
+        so_far = T.once(marks, lambda d: F.zip_with(running(d, F.lit(None).cast("string"), latest), d, latest))
+        return T.once(so_far, lambda marked: F.transform(types, lambda m, i: T.once(
+            F.concat(m["text"], m["after"]), lambda body: chunk(m, body, space, marked[i])
+        )))
+
+    return T.once(space, lambda s: T.once(placed(content, _PHP_DECLARATION), lambda types: F.when(
+        F.size(types) > 0, cut(types, s)
+    ).otherwise(F.array(_whole(content, name)))))
 
 
 _TYPE = re.compile(r"(?<![\w$>:\\])(class|interface|trait|enum)\s+([A-Za-z_\u0080-￿][\w\u0080-￿]*)", re.I)

@@ -155,3 +155,31 @@ def test_documents_without_kind_go_by_their_path(spark, tmp_path):
     }
     assert len({r["point_id"] for r in got}) == len(got) and {tuple(r["version_tuple"]) for r in got} == {(6, 7, 0, 0)}
     assert [r["css_classes"] for r in got if r["language"] == "scss"] == [["a"]]
+
+
+def test_texts_of_many_pieces(spark):
+    text = "// first\n" + "".join(f"const a{i} = 1;\n" + "//\n" * (i % 3) for i in range(700))
+    got = chunks(spark, "src/x.ts", "ts", text)
+    starts, at = [], 2
+    for i in range(700):
+        starts.append((f"a{i}", at, at + i % 3))
+        at += 1 + i % 3
+    assert [(c["symbol_name"], c["start_line"], c["end_line"]) for c in got] == starts
+
+
+def test_blocks_of_a_long_template_against_a_loop(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    part = lambda i: rng.choice([f"{{% block n{i} %}}", "{% endblock %}", "x", "\n", "é\n"])
+    text = "".join(part(i) for i in range(2500))
+    ends, free, want = [m for m in re.finditer(r"\{% endblock %\}", text)], 0, []
+    line = lambda at: text.count("\n", 0, at) + 1
+    for m in re.finditer(r"\{% block (\w+) %\}", text):
+        end = next((e for e in ends if e.start() > m.end() and e.start() >= free), None)
+        if end:
+            free = end.end()
+            want.append((m.group(1), line(m.start()), line(free), text[m.start() : free][:2000]))
+    _, *blocks = chunks(spark, "src/p.html.twig", "twig", text)
+    assert len(want) > 257 and [(b["symbol_name"], b["start_line"], b["end_line"], b["content"]) for b in blocks] == want
