@@ -80,6 +80,15 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode(table(spark, root, "documents"), tokens.vocabulary(spark))
 
 
+@REGISTRY.add("p6_decoded", "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha, length(coalesce(text, '')) AS n_chars FROM documents")
+def p6_decoded(spark: SparkSession, root: str) -> DataFrame:
+    """Every text encoded and put together again from its tokens, each at the byte where it began."""
+    ranks = tokens.vocabulary(spark)
+    encoded = tokens.encode(table(spark, root, "documents"), ranks, offsets=True)
+    back = tokens.decode(encoded, ranks, offsets="offsets")
+    return back.select("doc_id", F.sha2("text", 256).alias("text_sha"), F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def _sized(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     counted = tokens.count_tokens(docs, tokens.vocabulary(spark), ["doc_id", "source"])
@@ -92,6 +101,45 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(_sized(spark, root)).withColumnRenamed("key", "doc_id")
 
 
+#: Share of tokens asked of a source in every window; the others share the rest by their sizes.
+TARGETS = {"platform-trunk": 0.25}
+
+
+@REGISTRY.add("p7_targets")
+def p7_targets(spark: SparkSession, root: str) -> DataFrame:
+    """As ``p7_containers``, with a stated share of the largest source in every window, as long as it lasts."""
+    return packing.pack(_sized(spark, root), targets=TARGETS).withColumnRenamed("key", "doc_id")
+
+
+@REGISTRY.add(
+    "p7_fill",
+    """
+SELECT count(*) AS texts, count(*) FILTER (WHERE coalesce(text, '') = '') AS empty_texts, 0 AS over_capacity, 0 AS split_small,
+       0 AS incomplete, true AS well_filled FROM documents
+""",
+)
+def p7_fill(spark: SparkSession, root: str) -> DataFrame:
+    """One row about ``p7_containers``: what was placed, what breaks a rule, and whether at most 5 % and one container more are used than must be."""
+    sized = _sized(spark, root)
+    placed = packing.pack(sized)
+    per_text = placed.groupBy("key").agg(
+        F.sum("size").alias("placed"), F.count("container").alias("pieces")
+    ).join(sized.groupBy("key").agg(F.sum("size").alias("size")), "key", "full_outer")
+    most = packing.CAPACITY
+    texts = per_text.agg(
+        F.count("*").alias("texts"), F.count_if(F.col("size") == 0).alias("empty_texts"),
+        F.count_if((F.col("pieces") > 1) & (F.col("size") <= most)).cast("int").alias("split_small"),
+        F.count_if(~F.col("placed").eqNullSafe(F.col("size"))).cast("int").alias("incomplete"), F.sum("size").alias("tokens"),
+    )
+    boxes = placed.filter("container is not null").groupBy("container").agg(F.sum("size").alias("held")).agg(
+        F.count("*").alias("boxes"), F.count_if(F.col("held") > most).cast("int").alias("over_capacity")
+    )
+    names = ["texts", "empty_texts", "over_capacity", "split_small", "incomplete", "tokens", "boxes"]
+    both = texts.unionByName(boxes, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])  # one row of each
+    filled = F.col("boxes") <= F.ceil(F.col("tokens") / most * 1.05) + 1
+    return both.select(*names[:5], F.coalesce(filled, F.lit(True)).alias("well_filled"))
+
+
 _SQL_SHARED = """
 w AS (SELECT doc_id, i, hash(substr(text, i, 240)) AS h
       FROM (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS i FROM documents WHERE length(text) >= 240)),

@@ -166,17 +166,31 @@ def count_tokens(docs: DataFrame, ranks: Broadcast, keep: list[str], text: str =
     return docs.select(*keep, text).mapInArrow(run, f"{kinds}, tokens bigint")
 
 
-def decode(encoded: DataFrame, ranks: Broadcast, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, text) from ids; a null list gives null, ids that no vocabulary entry has are an error."""
+def decode(encoded: DataFrame, ranks: Broadcast, key: str = "doc_id", ids: str = "ids", offsets: str | None = None) -> DataFrame:
+    """(key, text) from ids; a null list gives null, ids that no vocabulary entry has are an error.
+
+    With ``offsets``, a column, each token is written at its own byte instead of behind the one
+    before; bytes that no token covers are zero.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {i: t for t, i in _encoder(ranks.value).ranks.items()}
+
+        def text(row: list[int] | None, at: list[int] | None = None) -> str | None:
+            if row is None:
+                return None
+            parts = [token[i] for i in row]
+            if at is None:
+                return b"".join(parts).decode("utf-8", "replace")
+            out = bytearray(max((a + len(p) for a, p in zip(at, parts, strict=True)), default=0))
+            for a, p in zip(at, parts, strict=True):
+                out[a : a + len(p)] = p
+            return out.decode("utf-8", "replace")
+
         for batch in batches:
-            texts = [
-                None if row is None else b"".join(map(token.__getitem__, row)).decode("utf-8", "replace")
-                for row in batch.column(1).to_pylist()
-            ]
+            texts = list(map(text, *[c.to_pylist() for c in batch.columns[1:]]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["k", "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(key, F.col(ids)).mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)
+    columns = [F.col(c) for c in (key, ids, offsets) if c]
+    return encoded.select(*columns).mapInArrow(run, f"k {kind}, text string").withColumnRenamed("k", key)

@@ -71,6 +71,10 @@ def test_column_round_trip_offsets_and_empty_cases(spark, reference):
     assert got[100]["ids"] == [] and got[101]["ids"] == got[3]["ids"]
     back = {r["doc_id"]: r["text"] for r in tokens.decode(tokens.encode(docs, ranks), ranks).collect()}
     assert [back[i] for i in range(len(CORNERS))] == CORNERS and back[100] == ""
+    placed = {r["doc_id"]: r["text"] for r in tokens.decode(tokens.encode(docs, ranks, offsets=True), ranks, offsets="offsets").collect()}
+    assert placed == back
+    late = spark.createDataFrame([(1, want[1][:1], [2]), (2, None, None)], "doc_id bigint, ids array<int>, offsets array<int>")
+    assert {r["doc_id"]: (r["text"] or "")[:2] for r in tokens.decode(late, ranks, offsets="offsets").collect()} == {1: "\0\0" if want[1] else "", 2: ""}
     for i, text in enumerate(CORNERS):
         offsets = list(got[i]["offsets"])
         assert len(offsets) == len(want[i]) and offsets == sorted(offsets) and offsets[:1] == ([0] if text else [])
