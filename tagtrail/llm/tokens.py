@@ -174,21 +174,39 @@ def decode(encoded: DataFrame, ranks: Broadcast, key: str = "doc_id", ids: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {i: t for t, i in _encoder(ranks.value).ranks.items()}
-
-        def text(row: list[int] | None, at: list[int] | None = None) -> str | None:
-            if row is None:
-                return None
-            parts = [token[i] for i in row]
-            if at is None:
-                return b"".join(parts).decode("utf-8", "replace")
-            out = bytearray(max((a + len(p) for a, p in zip(at, parts, strict=True)), default=0))
-            for a, p in zip(at, parts, strict=True):
-                out[a : a + len(p)] = p
-            return out.decode("utf-8", "replace")
+        encoder = _encoder(ranks.value)
+        by_id = sorted((i, t) for t, i in encoder.ranks.items())
+        known = np.zeros(by_id[-1][0] + 1, bool)
+        known[[i for i, _ in by_id]] = True
+        width = np.zeros(len(known), np.int64)
+        width[known] = [len(t) for _, t in by_id]
+        begin, entries = np.cumsum(width) - width, np.frombuffer(b"".join(t for _, t in by_id), np.uint8)
+
+        def text(row: np.ndarray, at: np.ndarray | None) -> str:
+            if not len(row):
+                return ""
+            if row.min() < 0 or row.max() >= len(known) or not known[row].all():
+                raise KeyError("an id that the vocabulary lacks")
+            size = width[row]
+            behind = np.cumsum(size) - size
+            each = np.arange(behind[-1] + size[-1]) - np.repeat(behind, size)  # the byte's place in its token
+            parts = entries[np.repeat(begin[row], size) + each]
+            if at is not None:
+                out = np.zeros((at + size).max(), np.uint8)
+                out[np.repeat(at, size) + each] = parts
+                parts = out
+            return parts.tobytes().decode("utf-8", "replace")
+
+        def lists(column: pa.Array) -> list[np.ndarray]:
+            ends = column.offsets.to_numpy()
+            flat = column.values.to_numpy(zero_copy_only=False).astype(np.int64)
+            return [flat[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
         for batch in batches:
-            texts = list(map(text, *[c.to_pylist() for c in batch.columns[1:]]))
+            rows = lists(batch.column(1))
+            places = lists(batch.column(2)) if offsets else [None] * len(rows)
+            given = batch.column(1).is_valid().to_pylist()
+            texts = [text(*x) if is_list else None for is_list, *x in zip(given, rows, places, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["k", "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
