@@ -9,9 +9,10 @@ run of ``SPAN - GRAM + 1`` consecutive grams of ``GRAM`` characters, the one wit
    ``PER_ANCHOR`` counters a row for every anchor the corpus is expected to hold, so the share of
    unrepeated anchors that get through stays under 1 % at every size. It never lies in one place:
    of each merged block only the counters that count two or more are kept, as rows.
-2. *Test.* Anchors are taken from the records again, as (record, place, hash), and semi-joined on
+2. *Test.* Anchors are taken from the records again, as (key, place, hash), and semi-joined on
    their counter of each row. A sketch never counts too low, so an anchor that is dropped stands in
-   one record. Only records that keep an anchor are then joined to their text.
+   one record. Only records that keep an anchor are then joined to their text, by key; what another
+   text of the same key holds is left out there.
 3. *Exact pass.* The characters around a kept anchor that a span through it can reach are its
    surroundings. Equal surroundings are one class, with its least and greatest record. Within an
    anchor's classes every window of ``SPAN`` characters is compared by a 64-bit hash; it is shared
@@ -97,7 +98,7 @@ def anchors(texts: list[str], span: int, gram: int) -> tuple[np.ndarray, np.ndar
         inside[max(0, end - span + 1) : end] = False
     at = np.unique((low - (least[inside] & low)).astype(np.int64))
     which = np.searchsorted(begin, at, "right") - 1
-    return which, at - begin[which], hashes[at]
+    return which, at - begin[which], _mixed(hashes[at], _MIX[1])  # minima have like upper bits, which counters are taken from
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -187,35 +188,43 @@ def repeated_counters(texts: DataFrame, span: int, gram: int, counters: int) ->
 
 
 def _places(texts: DataFrame, span: int, gram: int) -> DataFrame:
-    """(key, record, at, anchor) of every anchor of texts (key, record, text)."""
+    """(key, at, anchor) of every anchor of texts (key, text)."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, records, column = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            for base, part in _groups(column):
+            keys = batch.column(batch.schema.names.index("key"))
+            for base, part in _groups(batch.column(batch.schema.names.index("text")).to_pylist()):
                 which, at, h = anchors(part, span, gram)
                 number = pa.array(which + base)
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(number), records.take(number), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))],
-                    names=["key", "record", "at", "anchor"],
+                    [keys.take(number), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], names=["key", "at", "anchor"]
                 )
 
     kind = texts.schema["key"].dataType.simpleString()
-    return texts.mapInArrow(take, f"key {kind}, record bigint, at int, anchor bigint")
+    return texts.mapInArrow(take, f"key {kind}, at int, anchor bigint")
 
 
 def repeated_places(texts: DataFrame, span: int, gram: int, counters: int) -> DataFrame:
-    """The anchors (key, record, at, anchor) of texts (key, record, text) that the sketch estimates repeated."""
+    """The anchors (key, at, anchor) of texts (key, text) that the sketch estimates repeated."""
     repeated = materialise(repeated_counters(texts.select("text"), span, gram, counters), "shared-counters", "row")
     kept = _places(texts, span, gram)
     for row in range(ROWS):
-        of_row = repeated.filter(F.col("row") == row).select(F.col("counter").alias(f"counter{row}"))
-        kept = kept.withColumn(f"counter{row}", _counter_column("anchor", row, counters)).join(of_row, f"counter{row}", "left_semi")
-    return kept.select("key", "record", "at", "anchor")
+        of_row = repeated.filter(F.col("row") == row).select("counter")
+        kept = kept.join(of_row, _counter_column("anchor", row, counters) == F.col("counter"), "left_semi")
+    return kept
+
+
+def _own(text: str, marks: list[dict], gram: int) -> list[dict]:
+    """The marks of a key that are of this text: rows of one key may have different texts."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    marks = [m for m in marks if m["at"] + gram <= len(codes)]
+    at, anchor = (np.array([m[c] for m in marks], np.int64) for c in ("at", "anchor"))
+    h = _mixed(rolling(codes[at[:, None] + np.arange(gram)], gram)[:, 0], _MIX[1])
+    return [marks[i] for i in np.flatnonzero(h.view(np.int64) == anchor)]
 
 
 def _surroundings(kept: DataFrame, span: int, gram: int) -> DataFrame:
-    """(key, anchor, before, around, places) from (key, text, kept array of place and anchor), once for each surroundings of a record."""
+    """(key, anchor, before, around, places) from (key, text, kept array of place and anchor), once for each surroundings of a text."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = span - gram
@@ -224,7 +233,7 @@ def _surroundings(kept: DataFrame, span: int, gram: int) -> DataFrame:
             number, anchor, before, around, places = [], [], [], [], []
             for i, (text, marks) in enumerate(zip(texts, places_of, strict=True)):
                 seen: dict[tuple, list[int]] = {}
-                for mark in marks:
+                for mark in _own(text, marks, gram):
                     p, left = mark["at"], min(mark["at"], reach)
                     seen.setdefault((mark["anchor"], left, text[p - left : p + span]), []).append(p)
                 for (g, left, near), where in seen.items():
@@ -347,18 +356,22 @@ def shared_spans(
     given = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(
         F.col("key").isNotNull() & (F.char_length("text") >= span)
     )
-    texts = given.select("key", F.xxhash64("key", "text").alias("record"), "text")
-    kept = repeated_places(texts, span, gram, counters or sketch_size(texts, span, gram))
-    marks = kept.groupBy("key", "record").agg(F.collect_set(F.struct("at", "anchor")).alias("kept"))
-    found = _surroundings(texts.join(marks, ["key", "record"]).select("key", "text", "kept"), span, gram).withColumns(
+    kept = repeated_places(given, span, gram, counters or sketch_size(given, span, gram))
+    marks = kept.groupBy("key").agg(F.collect_set(F.struct("at", "anchor")).alias("kept"))
+    found = _surroundings(given.join(marks, "key").select("key", "text", "kept"), span, gram).withColumns(
         {"c1": F.xxhash64("around", "before"), "c2": F.xxhash64(F.lit(span), "before", "around")}
     )
     found = materialise(found, "shared-anchors")
-    classes = found.groupBy("anchor", "c1", "c2", "before", "around").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    repeated = classes.groupBy("anchor").agg(F.count("*").alias("n"), F.min("low").alias("a"), F.max("high").alias("b"))
-    classes = classes.join(repeated.filter("a <> b").select("anchor", "n"), "anchor")
+    ends = [F.min("key").alias("low"), F.max("key").alias("high")]
+    repeated = found.groupBy("anchor", "c1", "c2").agg(*ends).groupBy("anchor").agg(
+        F.count("*").alias("n"), F.min("low").alias("a"), F.max("high").alias("b")
+    )
+    repeated = materialise(repeated.filter("a <> b").select("anchor", "n"), "shared-repeated")  # counted without the text
+    classes = found.groupBy("anchor", "c1", "c2", "before", "around").agg(*ends).join(repeated, "anchor")
     few = classes.filter(F.col("n") <= MANY).drop("n").repartition("anchor").sortWithinPartitions("anchor")
-    runs = few.mapInPandas(_compare(span), _RUNS).unionByName(_by_shuffle(classes.filter(F.col("n") > MANY), span))
+    runs = few.mapInPandas(_compare(span), _RUNS)
+    if not repeated.filter(F.col("n") > MANY).isEmpty():
+        runs = runs.unionByName(_by_shuffle(classes.filter(F.col("n") > MANY), span))
     hits = found.select("key", "anchor", "c1", "c2", "places").join(runs, ["anchor", "c1", "c2"])
     stretches = (
         hits.select("key", F.explode("places").alias("at"), "first", "last")

@@ -129,3 +129,21 @@ def test_few_anchors_that_stand_once_get_through_at_any_size(spark, monkeypatch,
     total = s._places(texts, SPAN, GRAM).count()
     assert counters >= s.PER_ANCHOR * 0.9 * total
     assert s.repeated_places(texts, SPAN, GRAM, counters).count() < 0.02 * total
+
+
+def test_each_row_of_the_sketch_tells_anchors_apart():
+    rng = random.Random(10)
+    h = np.unique(s.anchors(["".join(rng.choices("abcdefghijklmnop \n", k=400_000))], s.SPAN, s.GRAM)[2])
+    counters = 1 << 17
+    for row in range(s.ROWS):  # a counter is shared with about 5 % of the others, in either row
+        assert len(np.unique(s._counter(h, row, counters))) > 0.93 * len(h) > 5000
+
+
+def test_texts_of_one_key_keep_their_own_anchors(spark):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    shared = [text(40) for _ in range(4)]
+    rows = [(1, text(90) + shared[0]), (1, shared[1]), (1, text(200) + shared[2] + text(9)), (2, shared[0] + shared[2]), (3, text(30) + shared[1]), (3, "x" * 12 + shared[3])]
+    found = s.shared_spans(spark.createDataFrame(rows, "doc_id bigint, text string"), SPAN, GRAM)
+    assert {(r["doc_id"], r["stop"] - r["start"]) for r in found.collect()} >= {(1, 40), (2, 80), (3, 40)}
+    assert {r["doc_id"] for r in found.collect()} == {1, 2, 3}
