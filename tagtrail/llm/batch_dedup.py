@@ -21,10 +21,14 @@ the buckets and hashed there, and the history is scanned where it lies: it is ne
 sorted. All that a delivery appends is published by one marker file; a delivery that was cut off is
 not seen, and what it left is overwritten when it is sent again.
 
+A *sieve* goes to the tasks that cut probes: a Bloom filter, bounded in size, of the segments that
+can be met. Nearly all probes meet none and end there; a full sieve lets more through and loses none.
+
 Rows are judged by delivery, and within one in order; only what an *accepted* earlier row holds
-counts. Small deliveries that follow one another are judged together, up to ``FIRST`` rows; a larger
-one is judged in parts of growing size. Each part is appended for the next, so of a great many near
-copies in a delivery only those of the part in which the first of them stands are linked with each
+counts. What the store holds at the begin of a call doesn't depend on what is accepted in it, so all
+its deliveries are held against that at once, and the history is scanned once a call. What is left is
+judged in order, in parts of growing size, and meets only what the parts before it appended. So of a
+great many near copies only those of the part in which the first of them stands are linked with each
 other. Within a part, links are found at the level of distinct word sequences;
 then rounds decide every row that has no undecided earlier link, until none is left. The number
 of rounds is the longest chain of links, not the number of rows.
@@ -47,8 +51,10 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import Row
 
 from tagtrail.llm.shared_spans import _MIX, _mixed, rolling
 from tagtrail.operators.greedy import first_accepted
@@ -56,12 +62,14 @@ from tagtrail.plans.work import materialise
 
 #: One edit is allowed for so many words of the longer text.
 EVERY = 10
-#: Rows of a delivery's first part, how much larger each next part is, and most rows of a part that is hashed in memory.
+#: Rows of a call's first part, how much larger each next part is, and most rows of a part that is hashed in memory.
 FIRST, GROWTH, SMALL = 16384, 16, 1 << 18
 #: Fewest buckets of the store, and keys of a bucket when it is laid out.
 BUCKETS, PER_BUCKET = 8, 1 << 20
 #: Segments of a class that are numbered one by one; words cut at once.
 NUMBERED, WORDS = 32, 1 << 17
+#: Bits of a sieve for an expected hash, most bits, and bits of a block, a power of two (at most 1 << 20).
+PER_HASH, SIEVE, SIEVE_BLOCK = 16, 1 << 28, 1 << 20
 
 
 def _bases() -> list[int]:
@@ -158,8 +166,67 @@ def segments(texts: DataFrame) -> DataFrame:
     return _long_enough(texts).mapInArrow(cut, "h bigint, number int, place int, n int, p0 bigint, p1 bigint, cls binary")
 
 
-def probes(texts: DataFrame) -> DataFrame:
-    """(h, at, m, q0, q1, q) of texts (cls, codes): the word runs of each text that a segment may equal, by the numbers it may have."""
+def sieve_blocks(expected: int) -> int:
+    """Blocks of a sieve for so many hashes, a power of two."""
+    return min(SIEVE // SIEVE_BLOCK, max(2, 1 << (PER_HASH * expected // SIEVE_BLOCK).bit_length()))
+
+
+def _sieve_bits(h: np.ndarray, blocks: int) -> Iterator[np.ndarray]:
+    """The bits of hashes: two of the block that the upper bits tell."""
+    block = (h >> np.uint64(64 - (blocks.bit_length() - 1))).astype(np.int64) * SIEVE_BLOCK
+    for shift in (0, 20):
+        yield block + ((h >> np.uint64(shift)) & np.uint64(SIEVE_BLOCK - 1)).astype(np.int64)
+
+
+def sieve(hashes: DataFrame, blocks: int) -> np.ndarray:
+    """The bits of hashes (h), packed; on the driver, as they are bounded (``SIEVE``)."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.unique(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            block = (h >> np.uint64(64 - (blocks.bit_length() - 1))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(h.view(np.int64))], names=["block", "h"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, bits = None, np.zeros(SIEVE_BLOCK, bool)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(bits).tobytes()])], names=["block", "bits"])
+
+        for batch in batches:
+            block, h = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            edges = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if block[a] != number:
+                    if number is not None:
+                        yield out()
+                    number = int(block[a])
+                    bits[:] = False
+                for at in _sieve_bits(h[a:b], blocks):
+                    bits[at & (SIEVE_BLOCK - 1)] = True
+        if number is not None:
+            yield out()
+
+    packed = np.zeros((blocks, SIEVE_BLOCK // 8), np.uint8)
+    by_block = hashes.select("h").mapInArrow(once, "block int, h bigint").repartition("block").sortWithinPartitions("block")
+    for block, bits in by_block.mapInArrow(merge, "block int, bits binary").collect():
+        packed[block] = np.frombuffer(bits, np.uint8)
+    return packed
+
+
+def _passes(h: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Which hashes a sieve lets through: all that were put in, and few others."""
+    flat, out = packed.reshape(-1), np.ones(len(h), bool)
+    for at in _sieve_bits(h.view(np.uint64), len(packed)):
+        out &= (flat[at >> 3] << (at & 7).astype(np.uint8) & 128) > 0
+    return out
+
+
+def probes(texts: DataFrame, packed: Broadcast | None = None) -> DataFrame:
+    """(h, at, m, q0, q1, q) of texts (cls, codes): the word runs of each text that a segment may equal, by the numbers it may have.
+
+    Of these only what the sieve ``packed`` lets through, if there is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bases, widths, numbers = np.array(_BASES), np.array(_WIDTHS), np.array(_NUMBERS)
@@ -187,6 +254,9 @@ def probes(texts: DataFrame) -> DataFrame:
                 r = some[r]
                 text = i[r]
                 h = t.hashed(width[r], t.begin[text] + at[r], k[r], -1 - number if right else number)
+                if packed is not None:
+                    through = np.flatnonzero(_passes(h, packed.value))
+                    h, r, text = h[through], r[through], text[through]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(at[r].astype(np.int32)), pa.array(t.n[text].astype(np.int32)), pa.array(t.sketch[0][text]),
                      pa.array(t.sketch[1][text]), t.cls.take(pa.array(text))],
@@ -339,9 +409,10 @@ class AcceptedIndex:
             self.names[kind] = name
         self.buckets = laid_out[0]
 
-    def _table(self, kind: str) -> DataFrame:
-        """What was published of a table."""
-        return self.spark.table(self.names[kind]).filter(F.col("append").isin(self.published())).drop("append")
+    def _table(self, kind: str, appends: list[int] | None = None) -> DataFrame:
+        """What was published of a table, or what these appends brought."""
+        appends = self.published() if appends is None else appends
+        return self.spark.table(self.names[kind]).filter(F.col("append").isin(appends)).drop("append")
 
     def append(self, keys: DataFrame, texts: DataFrame, kept: DataFrame, counts: DataFrame) -> None:
         """Take in and publish keys (key), texts (cls, codes), their kept segments, and counts of all their segments."""
@@ -382,22 +453,28 @@ class AcceptedIndex:
         """(row_id) of the rows found to repeat something; the others are accepted and appended.
 
         ``rows``: row_id, batch_no, point_id, content_sha, content; each batch_no is a delivery, judged
-        by row_id. The number of deliveries is the length of a driver's loop.
+        by row_id. The number of parts is the length of a driver's loop.
         """
         self._open()
         sha = F.coalesce("content_sha", F.sha2("content", 256))
         read = _text_columns(rows.select("row_id", "batch_no", "point_id", sha.alias("content_sha"), "content"))
         keys = F.array_compact(F.array(point_key(F.col("point_id")), sha_key(F.col("content_sha")), F.col("cls")))
-        read = materialise(read.withColumn("keys", keys).drop("point_id", "content_sha"), "deliveries")
-        accepted: list[DataFrame] = []
-        sizes = read.groupBy("batch_no").count().collect()  # one row per delivery
-        together: list = []
-        for number, count in sorted(sizes, key=lambda r: (r[0] is not None, r[0])):
-            if together and sum(n for _, n in together) + count > FIRST:
-                accepted += self._judge_deliveries(read, together)
-                together = []
-            together.append((number, count))
-        accepted += self._judge_deliveries(read, together)
+        rank = F.struct("batch_no", "row_id")
+        read = read.select("row_id", rank.alias("rank"), "cls", "codes", keys.alias("keys"))
+        read = materialise(read, "deliveries")
+        if not (count := read.count()):
+            return read.select("row_id")
+        before = self.published()
+        unheld = self._without_keys(read, before, count <= SMALL)
+        texts = self._classes(unheld).select("cls", "codes")
+        held = self._table("segments", before)
+        packed = self.spark.sparkContext.broadcast(sieve(held, sieve_blocks(held.count())))
+        runs = probes(texts, packed)
+        near = near_pairs(runs, texts, held, self._table("texts", before), count <= SMALL).select(F.col("q").alias("cls")).distinct()
+        undecided = materialise(unheld.join(near, "cls", "left_anti").select(*read.columns), "undecided")
+        count = undecided.count()
+        own = np.zeros((sieve_blocks(EVERY * count), SIEVE_BLOCK // 8), np.uint8)  # of the segments kept of this call's rows
+        accepted = [self._judge_part(part, own, before, size <= SMALL) for part, size in _parts(undecided, count)]
         if not accepted:
             return read.select("row_id")
         ids = accepted[0]
@@ -405,34 +482,37 @@ class AcceptedIndex:
             ids = ids.unionByName(more)
         return read.select("row_id").join(ids, "row_id", "left_anti")
 
-    def _judge_deliveries(self, read: DataFrame, deliveries: list) -> list[DataFrame]:
-        """(row_id) of the accepted rows of deliveries (batch_no, count of rows), part by part."""
-        if not deliveries:
-            return []
-        chosen = F.lit(False)
-        for number, _ in deliveries:
-            chosen = chosen | F.col("batch_no").eqNullSafe(F.lit(number))
-        rows = read.filter(chosen).withColumn("rank", F.struct("batch_no", "row_id")).drop("batch_no")
-        if len(deliveries) > 1:
-            return [self._judge_part(rows, True)]
-        return [self._judge_part(part, size <= SMALL) for part, size in _parts(rows, deliveries[0][1])]
-
-    def _judge_part(self, part: DataFrame, small: bool) -> DataFrame:
-        """(row_id) of the accepted rows of a part (row_id, rank, cls, codes, keys), which are appended."""
-        asked = part.select("row_id", F.explode("keys").alias("key"))
-        repeated = self._table("keys").join(_hashed(asked, small), "key").select("row_id").distinct()
-        unheld = materialise(part.join(repeated, "row_id", "left_anti"), "unheld")
-        # spread by number, as a part is small in bytes and heavy in probes
-        spread = unheld.filter("cls is not null").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "cls")
-        classes = spread.groupBy("cls").agg(F.min("rank").alias("first"), F.first("codes").alias("codes"))
+    def _without_keys(self, rows: DataFrame, appends: list[int], small: bool) -> DataFrame:
+        """Rows none of whose keys these appends hold."""
+        asked = rows.select("row_id", F.explode("keys").alias("key"))
+        repeated = self._table("keys", appends).join(_hashed(asked, small), "key").select("row_id").distinct()
+        return materialise(rows.join(repeated, "row_id", "left_anti"), "unheld")
+
+    def _classes(self, rows: DataFrame) -> DataFrame:
+        """(cls, first, codes): the distinct word sequences of rows, and the least rank of each."""
+        # spread by number, as they are small in bytes and heavy in probes
+        spread = rows.filter("cls is not null").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "cls")
+        return materialise(spread.groupBy("cls").agg(F.min("rank").alias("first"), F.first("codes").alias("codes")), "classes")
+
+    def _judge_part(self, part: DataFrame, own: np.ndarray, before: list[int], small: bool) -> DataFrame:
+        """(row_id) of the accepted rows of a part (row_id, rank, cls, codes, keys), which are appended.
+
+        The part repeats nothing of the appends ``before``. Its kept segments are put into the sieve ``own``.
+        """
+        since = [n for n in self.published() if n not in before]
+        unheld = self._without_keys(part, since, small) if since else part
+        classes = self._classes(unheld)
         texts = classes.select("cls", "codes")
         every = segments(texts)
         every = materialise(ranked(every, self._often(every, small)), "part-segments")
-        runs = probes(texts)
-        held = near_pairs(runs, texts, self._table("segments"), self._table("texts"), small).withColumn("held", F.lit(True))
-        beside = near_pairs(runs, classes, every.filter("kept"), classes, small).withColumn("held", F.lit(False))
-        near = materialise(held.unionByName(beside), "part-near")
-        undecided = unheld.join(near.filter("held").select(F.col("q").alias("cls")).distinct(), "cls", "left_anti").drop("codes")
+        own |= sieve(every.filter("kept"), len(own))
+        runs = materialise(probes(texts, self.spark.sparkContext.broadcast(own)), "part-runs")
+        near = near_pairs(runs, classes, every.filter("kept"), classes, small).withColumn("held", F.lit(False))
+        if since:
+            held = near_pairs(runs, texts, self._table("segments", since), self._table("texts", since), small)
+            near = near.unionByName(held.withColumn("held", F.lit(True)))
+        near = materialise(near, "part-near")
+        undecided = unheld.join(near.filter("held").select(F.col("q").alias("cls")).distinct(), "cls", "left_anti")
         undecided = materialise(undecided.select("row_id", "cls", "keys", "rank"), "part-undecided")
         links = near.filter("not held").select("q", F.col("cls").alias("other"))
         links = links.unionByName(links.select(F.col("other").alias("q"), F.col("q").alias("other")))
@@ -449,23 +529,29 @@ class AcceptedIndex:
 
 
 def _parts(rows: DataFrame, count: int) -> list[tuple[DataFrame, int]]:
-    """Rows in parts of growing size, in order of row_id: about ``FIRST`` rows, then ``GROWTH`` times as many, and so on.
+    """Rows in parts of growing size, in order of rank: about ``FIRST`` rows, then ``GROWTH`` times as many, and so on.
 
-    With each part goes about how many rows it has. Bounds come from a bounded sample, of about ``8 * FIRST`` numbers.
+    With each part goes about how many rows it has. Bounds come from a bounded sample, of about ``8 * FIRST`` ranks.
     """
     if count <= FIRST:
         return [(rows, count)] if count else []
-    seen = sorted(r[0] for r in rows.sample(min(1.0, 8 * FIRST / count), 5).select("row_id").filter("row_id is not null").collect())
+    seen = [r[0] for r in rows.sample(min(1.0, 8 * FIRST / count), 5).select("rank").collect()]
+    seen.sort(key=lambda r: [(x is not None, x) for x in r])
     bounds, upto, size = [], FIRST, FIRST
     while upto < count and seen:
         bounds.append(seen[min(len(seen) - 1, int(upto / count * len(seen)))])
         size *= GROWTH
         upto += size
     edges, size = [None, *dict.fromkeys(bounds), None], FIRST
+    kind = rows.schema["rank"].dataType
+
+    def upper(bound: Row) -> Column:
+        return F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(bound, kind.fields, strict=True)])
+
     parts = []
     for low, high in zip(edges, edges[1:], strict=False):
-        part = rows if low is None else rows.filter(F.col("row_id") > low)
-        parts.append((part if high is None else part.filter(F.col("row_id") <= high), min(size, count)))
+        part = rows if low is None else rows.filter(F.col("rank") > upper(low))
+        parts.append((part if high is None else part.filter(F.col("rank") <= upper(high)), min(size, count)))
         size *= GROWTH
     return parts
 

@@ -184,3 +184,32 @@ def test_the_history_is_not_shuffled(spark):
     for small in (True, False):
         plan = index._table("keys").join(_hashed(asked, small), "key")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1 and ("ShuffledHashJoin" in plan) == small
+
+
+def test_the_history_is_scanned_once_a_call(spark, monkeypatch):
+    from tagtrail.llm import batch_dedup
+
+    monkeypatch.setattr(batch_dedup, "FIRST", 16)
+    held, batch = case(12, 60)
+    index, asked, kept = loaded(spark, held), [], AcceptedIndex._table
+
+    def table(self, kind, *appends):
+        asked.append((kind, appends[0] if appends else self.published()))
+        return kept(self, kind, *appends)
+
+    monkeypatch.setattr(AcceptedIndex, "_table", table)
+    assert judged(spark, index, batch) == loop(held, batch) and len(index.published()) > 2
+    assert [sum(k == kind and 1 in appends for k, appends in asked) for kind in ("keys", "segments", "texts")] == [1, 1, 1]
+
+
+def test_a_sieve_lets_through_what_was_put_in_and_little_else(spark, monkeypatch):
+    import numpy as np
+    from tagtrail.llm import batch_dedup
+
+    monkeypatch.setattr(batch_dedup, "SIEVE_BLOCK", 1 << 16)
+    rng = np.random.default_rng(13)
+    put, others = (rng.integers(-(1 << 63), 1 << 63, n) for n in (30_000, 200_000))
+    hashes = spark.createDataFrame([(int(h),) for h in put], "h bigint").repartition(3)
+    packed = batch_dedup.sieve(hashes, batch_dedup.sieve_blocks(len(put)))
+    assert len(packed) >= 8 and batch_dedup._passes(put, packed).all() and batch_dedup._passes(others, packed).mean() < 0.02
+    assert not batch_dedup._passes(put, np.zeros_like(packed)).any()
